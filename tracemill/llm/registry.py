@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import media
+from . import langid, media, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_langid": langid.op2_langid,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_media": media.op10_media,
     }
 

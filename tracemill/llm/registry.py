@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, media, toxicity
+from . import langid, media, pii, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_langid": langid.op2_langid,
+        "op5_pii": pii.op5_pii,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_secrets": secrets.op9_secrets,
         "op10_media": media.op10_media,
     }
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, media, pii, secrets, toxicity
+from . import langid, media, mixing, pii, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_langid": langid.op2_langid,
+        "op3_mixing": mixing.op3_mixing,
         "op5_pii": pii.op5_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_secrets": secrets.op9_secrets,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, pii, secrets, toxicity
+from . import langid, lm, media, mixing, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
         "op5_pii": pii.op5_pii,
+        "op7_lm": lm.op7_lm,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_secrets": secrets.op9_secrets,
         "op10_media": media.op10_media,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, lm, media, mixing, pii, secrets, toxicity
+from . import langid, lm, media, mixing, neardup, pii, secrets, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_neardup": neardup.op1_neardup,
         "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
         "op5_pii": pii.op5_pii,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lm, media, mixing, neardup, pii, secrets, toxicity
+from . import decontam, langid, lm, media, mixing, neardup, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
         "op5_pii": pii.op5_pii,
+        "op6_decontam": decontam.op6_decontam,
         "op7_lm": lm.op7_lm,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_secrets": secrets.op9_secrets,

@@ -56,57 +56,62 @@ def _grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, n
 
 
 def _counts(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, gram, n) of all given documents; summed in each task before the shuffle."""
+    """(lang, gram, n) of all given documents; summed over each piece of a batch before the shuffle."""
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
         for batch in pieces(batches):
             langs = column(batch, "lang")
             for lang in pc.unique(langs).to_pylist():
                 own = batch.filter(pc.equal(langs, lang))
-                key, _ = _grams(*flat(column(own, "text")), order)
-                found = np.bincount(key, minlength=CLASSES ** (order + 1))
-                total[lang] = total[lang] + found if lang in total else found
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            for a in range(0, len(at), 1 << 16):
-                part = at[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.int64()), pa.array(n[part], pa.int64())], ["lang", "gram", "n"])
+                gram, n = np.unique(_grams(*flat(column(own, "text")), order)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def code_table(count: np.ndarray, order: int) -> np.ndarray:
-    """Bits of each gram (order + 1 classes), from the counts of a language's grams: escapes with exclusion."""
+def _ppm(n: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probabilities [context, class] from counts: own share, and an escape to below among the classes not seen."""
+    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
+    free = np.where(n > 0, 0, below).sum(axis=1, keepdims=True)
+    full = free <= 1e-12  # nothing left to escape to
+    scale = np.maximum(np.where(full, total, total + kinds), 1)
+    escaped = np.where(full, 0, kinds / scale * below / np.where(full, 1, free))
+    return np.where(total > 0, np.where(n > 0, n / scale, escaped), below)
+
+
+def code_table(gram: np.ndarray, n: np.ndarray, contexts: np.ndarray, order: int) -> np.ndarray:
+    """Bits of each class after every context of order - 1 classes, then after each of the given contexts of order classes."""
     _, size = byte_classes()
     prob = np.full((1, CLASSES), 1.0 / CLASSES)
-    for k in range(order + 1):
-        n = count.reshape(-1, CLASSES**k, CLASSES).sum(axis=0)
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        below = np.tile(prob, (CLASSES, 1)) if k else prob
-        free = np.where(n > 0, 0, below).sum(axis=1, keepdims=True)
-        full = free <= 1e-12  # nothing left to escape to
-        scale = np.where(full, total, total + kinds)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            escaped = np.where(full, 0, kinds / scale * below / np.where(full, 1, free))
-            own = np.where(n > 0, n / scale, escaped)
-        prob = np.where(total > 0, own, below)
-    return (-np.log2(np.maximum(prob, 1e-30)) + np.log2(size)).astype(np.float32).ravel()
+    for k in range(order):
+        count = np.bincount(gram % CLASSES ** (k + 1), weights=n, minlength=CLASSES ** (k + 1)).reshape(-1, CLASSES)
+        prob = _ppm(count, np.tile(prob, (CLASSES, 1)) if k else prob)
+    count = np.zeros((len(contexts), CLASSES))
+    np.add.at(count, (np.searchsorted(contexts, gram // CLASSES), gram % CLASSES), n)
+    deep = _ppm(count, prob[contexts % CLASSES ** (order - 1)])
+    return (-np.log2(np.maximum(np.concatenate([prob, deep]), 1e-30)) + np.log2(size)).astype(np.float32)
 
 
 class Model:
-    """Frozen code-length tables: languages by name, order of the contexts, bits[gram, language]."""
+    """Frozen code lengths: a row for each shorter context and for each full one seen in training; an unseen one has the row of its suffix."""
+
+    def __init__(self, langs: list[str], order: int, contexts: np.ndarray, bits: np.ndarray):
+        self.langs, self.order, self.contexts, self.bits = langs, order, contexts, bits
 
-    def __init__(self, langs: list[str], order: int, bits: np.ndarray):
-        self.langs, self.order, self.bits = langs, order, bits
+    def rows(self) -> np.ndarray:
+        shorter = CLASSES ** (self.order - 1)
+        row = np.tile(np.arange(shorter, dtype=np.int32), CLASSES)
+        row[self.contexts] = shorter + np.arange(len(self.contexts), dtype=np.int32)
+        return row
 
-    def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def lengths(self, data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Bits of each document under each language."""
         key, _ = _grams(data, off, self.order)
         out = np.zeros((len(off) - 1, len(self.langs)))
         some = np.flatnonzero(np.diff(off) > 0)
         if len(some):
-            out[some] = np.add.reduceat(self.bits[key], off[some], axis=0, dtype=np.float64)
+            context, last = np.divmod(key, CLASSES)
+            out[some] = np.add.reduceat(self.bits[rows[context] * CLASSES + last], off[some], axis=0, dtype=np.float64)
         return out
 
 
@@ -116,32 +121,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
     known = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(known)
     order = min(order, 2) if len(langs) > WIDE else order
-    width = CLASSES ** (order + 1)
-    bits = np.zeros((width, max(1, len(langs))), np.float32)
     if not langs:
-        return Model([], order, bits)
+        return Model([], order, np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     spark = docs.sparkSession
     rate = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in known.items()], "lang string, rate double")
     picked = docs.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     rows = _counts(picked, order).toArrow()  # at most CLASSES ** (order + 1) rows for each language
     names = np.array(rows["lang"].to_pylist(), object)
-    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy()
-    for k, lang in enumerate(langs):
-        count = np.zeros(width)
-        own = names == lang
-        count[gram[own]] = n[own]
-        bits[:, k] = code_table(count, order)
-    return Model(langs, order, bits)
+    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy().astype(float)
+    contexts = np.unique(gram // CLASSES)
+    bits = np.stack([code_table(gram[names == lang], n[names == lang], contexts, order) for lang in langs], axis=-1)
+    return Model(langs, order, contexts, bits.reshape(-1, len(langs)))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep, then lang_pred, score, bits_per_byte; reads text once."""
-    langs, order = model.langs, model.order
-    shared = docs.sparkSession.sparkContext.broadcast(model.bits)
+    langs = model.langs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
     def run(batches):
-        own = Model(langs, order, shared.value)
+        own = shared.value
+        rows = own.rows()
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
             letter = pc.fill_null(pc.match_substring_regex(column(batch, "text"), _LETTER), False).to_numpy(zero_copy_only=False)
@@ -149,7 +150,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             names = np.full(len(size), UNKNOWN, object)
             score, rate = np.zeros(len(size)), np.zeros(len(size))
             if langs:
-                length = own.lengths(data, off)
+                length = own.lengths(data, off, rows)
                 best = length.argmin(axis=1)
                 scale = np.log(2) * np.minimum(size, EVIDENCE) / np.maximum(size, 1)
                 gap = np.exp(-(length - length[np.arange(len(size)), best][:, None]) * scale[:, None])

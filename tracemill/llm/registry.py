@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lm, media, mixing, neardup, pii, secrets, toxicity
+from . import decontam, langid, lines, lm, media, mixing, neardup, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_neardup": neardup.op1_neardup,
         "op2_langid": langid.op2_langid,
         "op3_mixing": mixing.op3_mixing,
+        "op4_lines": lines.op4_lines,
         "op5_pii": pii.op5_pii,
         "op6_decontam": decontam.op6_decontam,
         "op7_lm": lm.op7_lm,

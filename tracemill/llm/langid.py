@@ -174,3 +174,19 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = predict(docs.select("doc_id", "text"), fit(training(docs)), ["doc_id"])
     return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def accept(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows of docs (any columns, with text) in a language of the model: with a letter, and at most most_bits a byte under the best one."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        rows = own.rows() if own.langs else None
+        for batch in pieces(batches):
+            data, off = flat(column(batch, "text"))
+            letter = pc.fill_null(pc.match_substring_regex(column(batch, "text"), _LETTER), False).to_numpy(zero_copy_only=False)
+            fits = own.lengths(data, off, rows).min(axis=1) <= most_bits * np.diff(off) if own.langs else np.zeros(batch.num_rows, bool)
+            yield batch.filter(pa.array(letter & fits))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,8 @@ DIGESTS = 4000
 SHORTEST = 20
 MARGIN = 12.0
 RATE = 0.5
+#: Weight of a chain's single symbols in its pairs: rare first symbols lean on the symbols' own frequencies.
+PRIOR = 4.0
 _MARK = "￾"
 #: The base patterns, and the least length of a match (of group 2 for assign).
 _ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -41,29 +43,33 @@ _WIDTH = len(_SYMBOLS) + 1
 _STEP = 256
 
 
+_SPANS = "array<struct<s:int,e:int,t:string>>"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; what a lambda names from outside it is else evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _starts(size: Column) -> Column:
+    """The place of each piece (and one more for each block of ``_STEP``), from the pieces' lengths: sums in two levels, about linear."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(size) - 1) / _STEP).cast("int")), lambda k: F.slice(size, k * _STEP + 1, _STEP))
+    running = lambda items, first: F.aggregate(items, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    sums = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+    placed = lambda both: F.flatten(F.transform(both["blocks"], lambda b, k: running(b, F.get(both["heads"], k))))
+    return let(blocks, lambda blocks: let(F.struct(blocks.alias("blocks"), running(sums(blocks), F.lit(0)).alias("heads")), placed))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as array<struct<s, e, t>>: code points from zero, end exclusive.
-
-    Places are summed in two levels of ``_STEP`` pieces, so the work is about linear in the number of matches.
-    """
-    part = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    size = F.transform(part, F.length)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(part) - 1) / _STEP).cast("int")), lambda k: F.slice(size, k * _STEP + 1, _STEP))
-    add = lambda a, x: a + x
-    heads = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(b, F.lit(0), add))))
-    starts = F.flatten(F.transform(blocks, lambda b, k: F.aggregate(b, F.array(F.get(heads, k)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))).alias("x")))
-    # each block gives one number more than it has pieces (its end), so piece i starts at place i + i / _STEP
-    return F.when(
-        F.size(part) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(part) - 2, F.lit(2)),
-            lambda i: F.struct(
-                F.get(starts, i + F.floor(i / _STEP).cast("int")).alias("s"),
-                (F.get(starts, i + F.floor(i / _STEP).cast("int")) + F.get(size, i)).alias("e"),
-                F.get(part, i).alias("t"),
-            ),
-        ),
-    ).otherwise(F.array().cast("array<struct<s:int,e:int,t:string>>"))
+    """All leftmost non-overlapping matches as array<struct<s, e, t>>: code points from zero, end exclusive."""
+
+    def span(x: Column, i: Column) -> Column:
+        start = F.get(x["starts"], i + F.floor(i / _STEP).cast("int"))  # each block has its end besides its pieces
+        return F.struct(start.alias("s"), (start + F.length(F.get(x["part"], i))).alias("e"), F.get(x["part"], i).alias("t"))
+
+    placed = lambda x: F.transform(F.sequence(F.lit(1), F.size(x["part"]) - 2, F.lit(2)), lambda i: span(x, i))
+    found = lambda part: F.when(F.size(part) > 1, let(F.struct(part.alias("part"), _starts(F.transform(part, F.length)).alias("starts")), placed)).otherwise(F.array().cast(_SPANS))
+    return let(F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1), found)
 
 
 def _clean(text: Column) -> Column:
@@ -72,7 +78,7 @@ def _clean(text: Column) -> Column:
 
 def base_matches(text: Column) -> dict[str, Column]:
     """The base spans by kind, of a text without markers. A short text without the needed characters skips the scan."""
-    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
+    none = F.array().cast(_SPANS)
     assign = F.filter(matches(text, _ASSIGN), lambda m: F.length(F.regexp_extract(m["t"], _ASSIGN, 2)) >= 6)
     return {
         "assign": F.when(text.rlike(_ASSIGN), assign).otherwise(none),
@@ -104,11 +110,15 @@ def fit(docs: DataFrame) -> list[float]:
     digest = spark.range(0, DIGESTS, 1, 8).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("x"), "id")
     random = found.unionByName(digest.select(F.when(F.col("id") % 4 == 0, F.substring("x", 1, 40)).otherwise(F.rtrim(F.base64(F.unhex("x")), F.lit("="))).alias("word")))
     rows = _pairs(random.select("word", F.lit(1).alias("random")).unionByName(plain.select("word", F.lit(0).alias("random")))).collect()
-    count = [[[0.5] * _WIDTH for _ in range(_WIDTH)] for _ in range(2)]
+    count = [[[0] * _WIDTH for _ in range(_WIDTH)] for _ in range(2)]
     for r in rows:
         count[r.random][r.a - 1][r.b - 1] += r.n
-    total = [[sum(row) for row in c] for c in count]
-    return [math.log(count[1][a][b] / total[1][a]) - math.log(count[0][a][b] / total[0][a]) for a in range(_WIDTH) for b in range(_WIDTH)]
+    log_p = []
+    for pairs in count:
+        single = [0.5 + sum(row[b] for row in pairs) for b in range(_WIDTH)]
+        share = [x / sum(single) for x in single]
+        log_p.append([[math.log((row[b] + PRIOR * share[b]) / (sum(row) + PRIOR)) for b in range(_WIDTH)] for row in pairs])
+    return [log_p[1][a][b] - log_p[0][a][b] for a in range(_WIDTH) for b in range(_WIDTH)]
 
 
 def ratio(word: Column, weights: Column) -> Column:
@@ -123,14 +133,15 @@ def scan(docs: DataFrame, weights: list[float]) -> DataFrame:
     found = text.select("doc_id", "text", *(c.alias(k) for k, c in base_matches(F.col("text")).items()))
     named = lambda kind, order: F.transform(F.col(kind), lambda m: F.struct(m["s"].alias("s"), F.lit(order).alias("o"), m["e"].alias("e"), F.lit(kind).alias("k")))
     based = found.select("*", F.array_sort(F.concat(*(named(k, i) for i, k in enumerate(KINDS[:3])))).alias("base"))
-    likely = F.when(F.col("text").rlike(_WORD), matches(F.col("text"), _WORD)).otherwise(F.array().cast("array<struct<s:int,e:int,t:string>>"))
+    likely = F.when(F.col("text").rlike(_WORD), matches(F.col("text"), _WORD)).otherwise(F.array().cast(_SPANS))
     mixed = based.select("*", F.filter(likely, lambda m: m["t"].rlike("[0-9]") & m["t"].rlike("[A-Za-z]") & ~F.exists(F.col("base"), lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))).alias("likely"))
     added = F.filter("likely", lambda m: ratio(m["t"], table_) >= F.greatest(F.lit(MARGIN), F.lit(RATE) * F.length(m["t"])))
     return mixed.select("doc_id", "assign", "access", "hex", "base", F.transform(added, lambda m: F.struct(m["s"].alias("s"), F.lit(3).alias("o"), m["e"].alias("e"), F.lit("markov").alias("k"))).alias("added"))
 
 
-def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+def report(docs: DataFrame) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     found = scan(docs, fit(docs))
     listed = lambda spans: F.array_join(F.transform(spans, lambda m: F.concat_ws(":", m["k"], m["s"].cast("string"), m["e"].cast("string"))), ",")
     return found.select(
@@ -140,3 +151,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_markov"),
     )
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))

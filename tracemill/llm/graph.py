@@ -4,9 +4,9 @@ Buckets (equal band hashes) never become all pairs. Each task first links the me
 a bucket that it holds to the least of them and to their neighbours in order, and sends
 only that least one on, so a bucket is shuffled once for each task at most, however many
 members it has; what meets after the shuffle is linked in the same way, in streams.
-Pairs are verified in two rounds: first each node's pair with its least partner; then,
-of all other pairs, those whose nodes aren't in one component yet. Verifying the rest
-couldn't change a component. Links, nodes and components stay in tables.
+All pairs are verified. The nodes of pairs that fail are bucketed anew among themselves, in
+another order each round, until a round links nothing more: so a bucket's least member
+that is like none of the others doesn't part those that are alike. Links, nodes and components stay in tables.
 """
 
 from __future__ import annotations
@@ -117,12 +117,13 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         star = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
-        below = cut(star.groupBy("a").agg(F.min("b").alias("m")), "below")
-        near = star.join(below, "a")
-        edges = cut(near.select("a", F.col("m").alias("b")).unionByName(near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.xxhash64("a", "b") / 4096).cast("long") % 1000003)).first())
+        near = star.join(star.groupBy("a").agg(F.min("b").alias("m")), "a")
+        # each row gives (a, m), and (b, m) where b isn't the least
+        out = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
+        edges = cut(near.select(out).select("e.*").where("a <> b").distinct(), "edges")
+        new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first())
         if new == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = new
@@ -143,18 +144,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes
     return pairs.join(left, "a").join(right, "b").select(*names, "left", "right").mapInArrow(run, pairs.schema)
 
 
-def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes."""
+def _rebucketed(sets: DataFrame, nodes: DataFrame, keys: Callable[[list[bytes]], np.ndarray], turn: int) -> DataFrame:
+    """Pairs (a, b) of the given nodes by the keys of their sets, in an order of this turn."""
+    seed = int(mix(np.array([turn], np.uint64))[0]) - (1 << 63)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = keys(part.column(1).to_pylist())
+                key = np.ascontiguousarray(got).ravel().view(np.int64)
+                id_ = np.repeat(part.column(0).to_numpy() ^ np.int64(seed), got.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_), pa.nulls(len(key), pa.int64())], ["key", "id", "other"])
+
+    rows = sets.join(nodes, "node", "left_semi").select("node", "blob").mapInArrow(run, LINK_SCHEMA)
+    back = lambda c: F.col(c).bitwiseXOR(F.lit(seed))
+    return candidate_pairs(rows).select(F.least(back("a"), back("b")).alias("a"), F.greatest(back("a"), back("b")).alias("b"))
+
+
+def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes, keys the band keys [blob, band] of a list of blobs."""
     pairs = cut(pairs, "pairs")
     sets = cut(fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "sets")
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    base = cut(components(_verified(first, sets, similar)), "base")
-    at = lambda side: base.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    placed = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
-    rest = placed.select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y")
-    more = cut(_verified(rest, sets, similar).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "more")
-    if more.isEmpty():
-        return base
-    upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    every = base.unionByName(more.select(F.col("a").alias("node"), F.col("a").alias("root"))).unionByName(more.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-    return cut(every.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "classes")
+    good = links = cut(_verified(pairs, sets, similar), "links")
+    tested, turn = pairs, 0
+    while True:
+        failed = pairs.join(good, ["a", "b"], "left_anti")
+        nodes = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
+        turn += 1
+        pairs = cut(_rebucketed(sets, nodes, keys, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = cut(_verified(pairs, sets, similar), "links")
+        if good.isEmpty():
+            return components(links)
+        links, tested = links.unionByName(good), tested.unionByName(pairs)

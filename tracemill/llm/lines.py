@@ -27,6 +27,8 @@ from .common import IS_SPACE, LOWER, column, cut, flat, mix, pieces, span_hashes
 Q = 8
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
+#: Copies' places are sent to all tasks up to so many numbers (16 MB); beyond, texts are joined with them by a shuffle.
+BROADCAST_LINES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
@@ -66,7 +68,7 @@ def nodes(data: np.ndarray, line_off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def grams(body: np.ndarray) -> np.ndarray:
     if len(body) < Q:
         return np.zeros(0, np.uint64)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, Q)).view(np.uint64).ravel()
+    return np.ndarray(len(body) - Q + 1, np.uint64, np.ascontiguousarray(body), strides=(1,)).copy()
 
 
 def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -78,42 +80,43 @@ def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarra
         cuts = cuts[:-1]
     keys = np.zeros((len(which), BANDS), np.uint64)
     for j in range(BANDS):
-        key = np.full(len(which), np.uint64(j + 1) * _STEP)
+        key = np.full(len(which), np.uint64(j + 1)) * _STEP
         for i in range(j * ROWS, (j + 1) * ROWS):
             key = mix(key ^ np.minimum.reduceat(x * _ODD[i] + _ADD[i], cuts)[::2].astype(np.uint64))
         keys[:, j] = key
     return keys
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node) of each non-blank line, and what Buckets yields (key, id, other)."""
-    names = ["doc_id", "line", "node", "key", "id", "other"]
-
-    def lift(batch: pa.RecordBatch) -> pa.RecordBatch:
-        void = pa.nulls(batch.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([void, pa.nulls(batch.num_rows, pa.int32()), void, *batch.columns], names)
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, node) of each non-blank line."""
 
     def run(batches):
-        buckets = graph.Buckets()
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
             line_off, doc, number = split(data, off)
-            node, body, at = nodes(data, line_off)
+            node = nodes(data, line_off)[0]
             some = np.flatnonzero(node)
-            if not len(some):
-                continue
-            void = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(doc[some])), pa.array(number[some].astype(np.int32)), pa.array(node[some].view(np.int64)), void, void, void], names)
-            _, once = np.unique(node[some], return_index=True)
-            fit = np.sort(some[once])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(doc[some])), pa.array(number[some].astype(np.int32)), pa.array(node[some].view(np.int64))], ["doc_id", "line", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, node long")
+
+
+def _links(docs: DataFrame) -> DataFrame:
+    """What Buckets yields for the bands of all lines of Q bytes or more; not kept, it goes straight to a shuffle."""
+
+    def run(batches):
+        buckets = graph.Buckets()
+        for batch in pieces(batches):
+            data, off = flat(column(batch, "text"))
+            node, body, at = nodes(data, split(data, off)[0])
+            own, once = np.unique(node, return_index=True)
+            fit = np.sort(once[own > 0])
             fit = fit[np.diff(at)[fit] >= Q]
             if len(fit):
-                for out in buckets.add(band_keys(body, at, fit).ravel(), np.repeat(node[fit], BANDS)):
-                    yield lift(out)
-        for out in buckets.flush():
-            yield lift(out)
+                yield from buckets.add(band_keys(body, at, fit).ravel(), np.repeat(node[fit], BANDS))
+        yield from buckets.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, node long, key long, id long, other long")
+    return docs.select("text").mapInArrow(run, graph.LINK_SCHEMA)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -125,31 +128,41 @@ def _texts(docs: DataFrame) -> DataFrame:
             node, body, at = nodes(data, split(data, off)[0])
             own, once = np.unique(node, return_index=True)
             once = once[own > 0]
-            blobs = [body[at[k] : at[k + 1]].tobytes() for k in once]
-            yield pa.RecordBatch.from_arrays([pa.array(node[once].view(np.int64)), pa.array(blobs, pa.binary())], ["node", "blob"])
+            if len(once):
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(node), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))]).take(pa.array(once)).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(node[once].view(np.int64)), blobs], ["node", "blob"])
 
     return docs.select("text").mapInArrow(run, "node long, blob binary")
 
 
+def gram_set(text: bytes) -> np.ndarray:
+    """The sorted distinct shingles."""
+    g = np.sort(grams(np.frombuffer(text, np.uint8)))
+    return g[np.append(True, g[1:] != g[:-1])] if len(g) else g
+
+
 def jaccard(x: bytes, y: bytes) -> float:
-    a, b = (np.unique(grams(np.frombuffer(t, np.uint8))) for t in (x, y))
+    a, b = gram_set(x), gram_set(y)
     if not len(a) or not len(b):
         return float(x == y)
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = np.sort(np.concatenate([a, b]))
+    both = int((every[1:] == every[:-1]).sum())
     return both / (len(a) + len(b) - both)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line) of the lines that are copies, and (doc_id, line, node) of all non-blank lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(_signed(docs), "signed")
-    lines = signed.where("key is null").select("doc_id", "line", "node")
-    pairs = graph.candidate_pairs(signed.where("key is not null").select("key", "id", "other"))
+    lines = cut(_lines(docs), "lines")
+    pairs = graph.candidate_pairs(_links(docs))
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return _texts(docs).join(graph.small(cut(wanted, "wanted")), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
 
-    roots = cut(graph.classes(pairs, fetch, lambda x, y: jaccard(x, y) >= threshold - 1e-12), "roots")
+    def keys(texts: list[bytes]) -> np.ndarray:
+        return band_keys(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(len(texts)))
+
+    roots = cut(graph.classes(pairs, fetch, lambda x, y: jaccard(x, y) >= threshold - 1e-12, keys), "roots")
     placed = cut(lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root")), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
     groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
@@ -161,6 +174,8 @@ def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the lines that are copies (n_chars follows, if it is a column), and without documents that were copies only."""
     copies, _ = removed_lines(docs, threshold)
     per_doc = cut(copies.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("dropped_lines_")), "copies")
+    if per_doc.agg(F.coalesce(F.sum(F.size("dropped_lines_") + 8), F.lit(0))).first()[0] <= BROADCAST_LINES:
+        per_doc = F.broadcast(per_doc)
     schema = docs.schema
     joined = docs.join(per_doc.withColumnRenamed("doc_id", "doc_id_"), docs["doc_id"] == F.col("doc_id_"), "left").drop("doc_id_")
 

@@ -4,7 +4,7 @@ Lines end at U+000A. A line is compared by its words in lower case (A-Z) with si
 with equal words are one node from the start, so copies cost nothing further. Nodes of ``Q``
 bytes or more have the set of their byte shingles of length ``Q`` (characters, for ASCII), a MinHash
 signature of it in ``BANDS`` bands of ``ROWS`` values (a pair at similarity 0.8 is found with
-probability 1 - (1 - 0.8 ** 4) ** 12 > 0.998), and candidates are verified by the exact
+probability 1 - (1 - 0.8 ** 4) ** 16 > 0.9997), and candidates are verified by the exact
 Jaccard similarity of the sets, ``THRESHOLD`` or more. Components of the verified links
 are found by distributed union-find (large-star and small-star steps). Of the lines of a
 component, over the whole corpus, the one first by (doc_id, line number) is kept.
@@ -25,7 +25,7 @@ from . import graph
 from .common import IS_SPACE, LOWER, column, cut, flat, mix, pieces, span_hashes, table, words
 
 Q = 8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 4
 THRESHOLD = 0.8
 #: Copies' places are sent to all tasks up to so many numbers (16 MB); beyond, texts are joined with them by a shuffle.
 BROADCAST_LINES = 4_000_000

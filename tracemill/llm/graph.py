@@ -4,8 +4,8 @@ Buckets (equal band hashes) never become all pairs. Each task first links the me
 a bucket that it holds to the least of them and to their neighbours in order, and sends
 only that least one on, so a bucket is shuffled once for each task at most, however many
 members it has; what meets after the shuffle is linked in the same way, in streams.
-All pairs are verified. The nodes of pairs that fail are bucketed anew among themselves, in
-another order each round, until a round links nothing more: so a bucket's least member
+All pairs are verified. The nodes of pairs that stay in different components are bucketed anew among
+themselves, in another order each round, until a round joins no more components: so a bucket's least member
 that is like none of the others doesn't part those that are alike. Links, nodes and components stay in tables.
 """
 
@@ -166,14 +166,30 @@ def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar:
     """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes, keys the band keys [blob, band] of a list of blobs."""
     pairs = cut(pairs, "pairs")
     sets = cut(fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "sets")
-    good = links = cut(_verified(pairs, sets, similar), "links")
-    tested, turn = pairs, 0
+    base = cut(components(_verified(pairs, sets, similar)), "base")
+    tested, failed, turn = pairs, cut(_apart(pairs, base), "apart"), 0
     while True:
-        failed = pairs.join(good, ["a", "b"], "left_anti")
         nodes = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
         turn += 1
         pairs = cut(_rebucketed(sets, nodes, keys, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = cut(_verified(pairs, sets, similar), "links")
+        good = cut(_verified(_apart(pairs, base), sets, similar).select("x", "y").distinct(), "links")
         if good.isEmpty():
-            return components(links)
-        links, tested = links.unionByName(good), tested.unionByName(pairs)
+            return base
+        base = _joined(base, good)
+        tested = tested.unionByName(pairs)
+        failed = cut(_apart(failed.select("a", "b").unionByName(pairs), base), "apart")
+
+
+def _apart(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with these as x and y."""
+    at = lambda side: base.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    placed = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return placed.select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y")
+
+
+def _joined(base: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after links (x, y) between roots, or nodes without one, of base."""
+    upper = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
+    every = base.unionByName(ends.join(base.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
+    return cut(every.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "base")

@@ -154,6 +154,50 @@ def test_components_of_random_graphs(spark):
     assert got == components([e for e in edges if e[0] != e[1]], nodes)
 
 
+def edited(rng, parts, places, swap, n):
+    """The parts, and n variants with one part in each of some stretches changed."""
+    out = [list(parts)]
+    for k in range(n):
+        new = list(parts)
+        for j in range(places):
+            size = len(parts) // places
+            at = j * size + rng.randrange(size // 4, size - size // 4)
+            new[at] = swap(k, j, at)
+        out.append(new)
+    return out
+
+
+def test_one_text_with_many_edited_variants_is_one_class(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    rng = random.Random(8)
+    texts = [" ".join(x) for x in edited(rng, [f"w{i}" for i in range(300)], 6, lambda k, j, at: f"v{k}x{j}", 1200)]
+    bags = [shingle_bag(t) for t in texts[:40]]
+    near = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    assert all(near(bags[0], x) >= 0.8 for x in bags) and max(near(x, y) for x in bags[1:] for y in bags[1:] if x is not y) < 0.8
+    rows = spark.createDataFrame([(5000 - i, t) for i, t in enumerate(texts)] + [(9000, "quite another text of a few words")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_classes(rows).collect()}
+    # a variant shares no bucket with its original with probability 0.0002
+    assert got.pop(9000) == (9000, 1) and collections.Counter(got.values()).most_common(1)[0][1] >= 1198
+
+
+def test_one_line_with_many_edited_variants_is_one_line(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 100)
+    rng = random.Random(9)
+    line = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)]
+    every = ["".join(x) for x in edited(rng, line, 5, lambda k, j, at: "0123456789"[(k + j) % 10], 1200)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(every)], "doc_id long, text string").repartition(3)
+    copies, _ = lines.removed_lines(rows)
+    assert copies.count() >= 1198
+
+
+def test_alike_equals_sets():
+    rng = np.random.default_rng(3)
+    sides = [[np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(n)] for n in (30, 20)]
+    got = graph.alike(*sides, 0.3)
+    want = [[len({*x} & {*y}) / len({*x} | {*y}) >= 0.3 - 1e-12 for y in sides[1]] for x in sides[0]]
+    assert got.tolist() == want and got.any() and not got.all()
+
+
 # language
 
 

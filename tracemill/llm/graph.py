@@ -4,9 +4,9 @@ Buckets (equal band hashes) never become all pairs. Each task first links the me
 a bucket that it holds to the least of them and to their neighbours in order, and sends
 only that least one on, so a bucket is shuffled once for each task at most, however many
 members it has; what meets after the shuffle is linked in the same way, in streams.
-All pairs are verified. The nodes of pairs that stay in different components are bucketed anew among
-themselves, in another order each round, until a round joins no more components: so a bucket's least member
-that is like none of the others doesn't part those that are alike. Links, nodes and components stay in tables.
+All pairs are verified. Where such a pair stays in different components, these components' nodes are
+bucketed anew and all pairs of a bucket that are in different components are verified, large buckets
+in tiles: so no order of a bucket's members parts those that are alike. Links, nodes and components stay in tables.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import cut, mix
 #: So many ids at most (32 MB) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 FLUSH = 1 << 20
+#: A block of a bucket has about so many members, or bytes; a product of two blocks takes so many values at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
 LINK_SCHEMA = "key long, id long, other long"
 
 
@@ -144,40 +146,150 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes
     return pairs.join(left, "a").join(right, "b").select(*names, "left", "right").mapInArrow(run, pairs.schema)
 
 
-def _rebucketed(sets: DataFrame, nodes: DataFrame, keys: Callable[[list[bytes]], np.ndarray], turn: int) -> DataFrame:
-    """Pairs (a, b) of the given nodes by the keys of their sets, in an order of this turn."""
-    seed = int(mix(np.array([turn], np.uint64))[0]) - (1 << 63)
+def _keyed(held: DataFrame, keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(key, node, root, size) of each band of the sets in held (node, root, blob); size in bytes."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = keys(part.column(1).to_pylist())
-                key = np.ascontiguousarray(got).ravel().view(np.int64)
-                id_ = np.repeat(part.column(0).to_numpy() ^ np.int64(seed), got.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(id_), pa.nulls(len(key), pa.int64())], ["key", "id", "other"])
+                blobs = part.column(2).to_pylist()
+                got = keys(blobs)
+                spread = [np.repeat(x, got.shape[1]) for x in (part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(x) for x in blobs], np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got).ravel().view(np.int64)), *map(pa.array, spread)], ["key", "node", "root", "size"])
+
+    return held.select("node", "root", "blob").mapInArrow(run, "key long, node long, root long, size long")
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
+    """[left, right] whether the Jaccard similarity of sets (sorted distinct values, none empty) is the threshold or more, from products of 0/1 matrices."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    own, at = np.unique(np.concatenate(left), return_inverse=True)
+    other = np.concatenate(right)
+    place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+    shared = own[place] == other
+    used = np.zeros(len(own), bool)
+    used[place[shared]] = True
+    rank = np.cumsum(used) - 1
+    rows, columns = np.repeat(np.arange(len(left)), n)[used[at]], rank[at[used[at]]]
+    rows2, columns2 = np.repeat(np.arange(len(right)), m)[shared], rank[place[shared]]
+    both = np.zeros((len(left), len(right)))
+    order, order2 = np.argsort(columns, kind="stable"), np.argsort(columns2, kind="stable")
+    rows, columns, rows2, columns2 = rows[order], columns[order], rows2[order2], columns2[order2]
+    for low in range(0, int(used.sum()), COLUMNS):
+        a, b = np.zeros((len(left), COLUMNS), np.float32), np.zeros((len(right), COLUMNS), np.float32)
+        for matrix, r, c in ((a, rows, columns), (b, rows2, columns2)):
+            part = slice(*np.searchsorted(c, [low, low + COLUMNS]))
+            matrix[r[part], c[part] - low] = 1
+        both += a @ b.T
+    return both / (n[:, None] + m - both) >= threshold - 1e-12
+
+
+def _linked(tile: list[tuple[int, int, bytes]], one: bool, elements: Callable[[bytes], np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join all roots of a tile's members (root, block, blob) with similar sets: of each pair of members, or of different blocks."""
+    first = tile[0][1]
+    left = tile if one else [x for x in tile if x[1] == first]
+    right = tile if one else [x for x in tile if x[1] != first]
+    if not left or not right:
+        return []
+    x, y = (np.array([root for root, *_ in side], np.int64) for side in (left, right))
+    if (x[0] == x).all() and (x[0] == y).all():
+        return []
+    sets = [elements(blob) for *_, blob in left]
+    good = alike(sets, sets if one else [elements(blob) for *_, blob in right], threshold) & (x[:, None] != y)
+    i, j = np.nonzero(good)
+    links = np.unique(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])], axis=1), axis=0)
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    out = []
+    for v, w in links.tolist():
+        p, q = top(v), top(w)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((v, w))
+    return out
+
+
+def _bucket_links(held: DataFrame, keys: Callable[[list[bytes]], np.ndarray], elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """Distinct (x, y): links of roots by all similar pairs of held (node, root, blob) that share a bucket, each such pair tested.
+
+    A bucket of one root has nothing to test. Of the others, equal ones are tested once, and large ones
+    as tiles, block against block: a member goes to as many tiles as its bucket has blocks.
+    """
+    rows = cut(_keyed(held, keys), "keyed")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("low <> high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES))
+    mixed = cut(mixed.withColumn("blocks", blocks).groupBy("n", "sign", "size", "blocks").agg(F.min("key").alias("key")).select("key", "blocks"), "mixed")
+    placed = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS // 2 else mixed, "key").select("key", "node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "root", "block")
+    tiles = dealt.join(held.select("node", "blob"), "node").select("key", "i", "j", "block", "root", "blob").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+
+    def run(batches):
+        key, tile = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            block, root = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            blob, found = batch.column(5).to_pylist(), []
+            for a, b in zip(edges[:-1], edges[1:]):
+                now = tuple(at[:, a].tolist())
+                if now != key:
+                    found += _linked(tile, key[1] == key[2], elements, threshold) if tile else []
+                    key, tile = now, []
+                tile += zip(root[a:b], block[a:b], blob[a:b])
+            if found:
+                yield _roots(found)
+        if tile and (found := _linked(tile, key[1] == key[2], elements, threshold)):
+            yield _roots(found)
+
+    return tiles.mapInArrow(run, "x long, y long").distinct()
 
-    rows = sets.join(nodes, "node", "left_semi").select("node", "blob").mapInArrow(run, LINK_SCHEMA)
-    back = lambda c: F.col(c).bitwiseXOR(F.lit(seed))
-    return candidate_pairs(rows).select(F.least(back("a"), back("b")).alias("a"), F.greatest(back("a"), back("b")).alias("b"))
 
+def _roots(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["x", "y"])
+
+
+def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable[[bytes], np.ndarray], threshold: float, keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes, elements the sorted distinct values of a blob, keys the band keys [blob, band] of a list of blobs.
+
+    The members of a bucket hang together by its pairs, so each member of a bucket with several components is in a
+    component that a failed pair names: the sets of these components are bucketed whole, and all their pairs tested.
+    """
+
+    def similar(x: bytes, y: bytes) -> bool:
+        a, b = elements(x), elements(y)
+        return min(len(a), len(b)) >= (threshold - 1e-9) * max(len(a), len(b)) and jaccard(a, b) >= threshold - 1e-12
 
-def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], similar: Callable[[bytes, bytes], bool], keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes, keys the band keys [blob, band] of a list of blobs."""
     pairs = cut(pairs, "pairs")
     sets = cut(fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "sets")
     base = cut(components(_verified(pairs, sets, similar)), "base")
-    tested, failed, turn = pairs, cut(_apart(pairs, base), "apart"), 0
-    while True:
-        nodes = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
-        turn += 1
-        pairs = cut(_rebucketed(sets, nodes, keys, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
-        good = cut(_verified(_apart(pairs, base), sets, similar).select("x", "y").distinct(), "links")
-        if good.isEmpty():
-            return base
-        base = _joined(base, good)
-        tested = tested.unionByName(pairs)
-        failed = cut(_apart(failed.select("a", "b").unionByName(pairs), base), "apart")
+    apart = _apart(pairs, base)
+    roots = cut(apart.select(F.col("x").alias("root")).unionByName(apart.select(F.col("y").alias("root"))).distinct(), "apart")
+    if roots.isEmpty():
+        return base
+    placed = sets.select("node").join(base, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    some = cut(placed.join(small(roots), "root", "left_semi").select("node", "root"), "placed")
+    held = cut(sets.join(small(some), "node").select("node", "root", "blob"), "held")
+    links = cut(_bucket_links(held, keys, elements, threshold), "links")
+    return base if links.isEmpty() else _joined(base, links)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct values; 0 if one is empty."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return both / (len(a) + len(b) - both)
 
 
 def _apart(pairs: DataFrame, base: DataFrame) -> DataFrame:

@@ -141,15 +141,6 @@ def gram_set(text: bytes) -> np.ndarray:
     return g[np.append(True, g[1:] != g[:-1])] if len(g) else g
 
 
-def jaccard(x: bytes, y: bytes) -> float:
-    a, b = gram_set(x), gram_set(y)
-    if not len(a) or not len(b):
-        return float(x == y)
-    every = np.sort(np.concatenate([a, b]))
-    both = int((every[1:] == every[:-1]).sum())
-    return both / (len(a) + len(b) - both)
-
-
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line) of the lines that are copies, and (doc_id, line, node) of all non-blank lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -162,7 +153,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     def keys(texts: list[bytes]) -> np.ndarray:
         return band_keys(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(len(texts)))
 
-    roots = cut(graph.classes(pairs, fetch, lambda x, y: jaccard(x, y) >= threshold - 1e-12, keys), "roots")
+    roots = cut(graph.classes(pairs, fetch, gram_set, threshold, keys), "roots")
     placed = cut(lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root")), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
     groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))

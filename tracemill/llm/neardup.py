@@ -162,15 +162,6 @@ def set_keys(blobs: list[bytes], bands: int, rows: int) -> np.ndarray:
     return band_keys(least, bands, rows)
 
 
-def overlap(left: np.ndarray, right: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct values."""
-    if not len(left) or not len(right):
-        return 0.0
-    at = np.minimum(np.searchsorted(left, right), len(left) - 1)
-    both = int((left[at] == right).sum())
-    return both / (len(left) + len(right) - both)
-
-
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, class_size) of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -183,11 +174,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
         found = _sets(docs.join(graph.small(cut(one.distinct(), "chosen")), "doc_id", "left_semi"))
         return found.groupBy("node").agg(F.first("blob").alias("blob"))
 
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and overlap(a, b) >= threshold - 1e-12
-
-    root = cut(graph.classes(pairs, fetch, similar, lambda blobs: set_keys(blobs, bands, rows)), "roots")
+    root = cut(graph.classes(pairs, fetch, lambda blob: np.frombuffer(blob, np.uint64), threshold, lambda blobs: set_keys(blobs, bands, rows)), "roots")
     placed = cut(nodes.join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "placed")
     groups = cut(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "groups")
     grouped = placed.where("root is not null").join(groups, "root").select("doc_id", "class_id", "class_size")

@@ -182,6 +182,7 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS_SQL = "token_rows as (select doc_id, list_transform(string_split(substr(text, 1, 400), ' '), lambda w: cast(length(w) % 10 as integer)) as ids from documents)"
 
 
-def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word lengths modulo 10 as token ids (a view of the data, not a text operator): 7 ends thinking, 8 is a fence."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 400), " "), lambda w: (F.length(w) % 10).cast("int")).alias("ids"))
+def token_rows(spark: SparkSession, sf_dir: str, chars: int | None = 400) -> DataFrame:
+    """Word lengths modulo 10 as token ids: 7 ends thinking, 8 is a fence. Of each text's first chars characters, as TOKENS_SQL has it, or of the whole text (None)."""
+    body = F.col("text") if chars is None else F.substring("text", 1, chars)
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(body, " "), lambda w: (F.length(w) % 10).cast("int")).alias("ids"))

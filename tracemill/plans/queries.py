@@ -1,6 +1,7 @@
 """The registered queries: each is a function of (spark, sf_dir) and, beside it, the SQL that the oracle runs.
 
-All run over whole tables. Names of columns are the same on both sides.
+All run over whole tables, but for those with a ``_whole`` beside them: their SQL reads a part of each text
+or of the rows, and the ``_whole`` query reads all (without SQL; tested by brute force). Names of columns are the same on both sides.
 """
 
 from __future__ import annotations
@@ -543,26 +544,59 @@ _CLOSE = """ends as (select doc_id, ids, unnest(range(1, len(ids) + 1)) as i fro
 
 @query(f"with {b.TOKENS_SQL}, {_CLOSE} select t.doc_id, len(t.ids) as n, coalesce(least(c, len(t.ids)), len(t.ids)) as kept from token_rows t left join closes using (doc_id)")
 def fence_mask(spark, sf):
-    rows = b.token_rows(spark, sf)
+    return _fence_mask(b.token_rows(spark, sf))
+
+
+@query()
+def fence_mask_whole(spark, sf):
+    return _fence_mask(b.token_rows(spark, sf, None))
+
+
+def _fence_mask(rows: DataFrame) -> DataFrame:
     mask = tokens.fence_mask(F.col("ids"), F.transform("ids", lambda t: F.lit(1)), 7, 8)
     return rows.select("doc_id", F.size("ids").alias("n"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("kept"))
 
 
 @query(f"with {b.TOKENS_SQL}, {_CLOSE}, l7 as (select doc_id, max(last7) as z from marks group by doc_id), f as (select m.doc_id, count(*) filter (where t = 8 and last7 = z) as k from marks m join l7 using (doc_id) group by m.doc_id) select t.doc_id, coalesce(k, 0) >= 2 as done from token_rows t left join f using (doc_id)")
 def fence_stop(spark, sf):
-    return b.token_rows(spark, sf).select("doc_id", tokens.fence_done(F.col("ids"), 7, 8).alias("done"))
+    return _fence_stop(b.token_rows(spark, sf))
+
+
+@query()
+def fence_stop_whole(spark, sf):
+    return _fence_stop(b.token_rows(spark, sf, None))
+
+
+def _fence_stop(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", tokens.fence_done(F.col("ids"), 7, 8).alias("done"))
 
 
 @query(f"with {b.TOKENS_SQL} select doc_id, len(ids) = 30 and not list_contains(ids, 7) as reached, len(ids) - case when len(ids) > 20 and ids[21] = 7 then 1 else 0 end as kept from token_rows")
 def loss_mask(spark, sf):
-    rows = b.token_rows(spark, sf)
+    return _loss_mask(b.token_rows(spark, sf))
+
+
+@query()
+def loss_mask_whole(spark, sf):
+    return _loss_mask(b.token_rows(spark, sf, None))
+
+
+def _loss_mask(rows: DataFrame) -> DataFrame:
     mask = tokens.forced_mask(F.col("ids"), F.transform("ids", lambda t: F.lit(1)), 20, 7)
     return rows.select("doc_id", tokens.budget_reached(F.col("ids"), 30, 7).alias("reached"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("kept"))
 
 
 @query(f"with {b.TOKENS_SQL}, x as (select doc_id, unnest(ids) as t from token_rows), y as (select doc_id, t, case when t % 3 = 0 then 0 else 1 end as m, case when t % 3 = 0 then 0.0::double else (t % 4)::double / 4 - t::double / 8 end as r from x) select doc_id, round(sum(-(0.5::double - 0.04::double * (exp(r) - r - 1)) * m) / greatest(1, sum(m)), 6) as loss from y group by doc_id")
 def grpo_objective(spark, sf):
-    rows = b.token_rows(spark, sf)
+    return _grpo_objective(b.token_rows(spark, sf))
+
+
+@query()
+def grpo_objective_whole(spark, sf):
+    return _grpo_objective(b.token_rows(spark, sf, None))
+
+
+def _grpo_objective(rows: DataFrame) -> DataFrame:
     each = lambda f: F.transform("ids", f)
     loss = tokens.masked_loss(each(lambda t: t.cast("double") / 8), each(lambda t: (t % 4).cast("double") / 4), F.lit(0.5), each(lambda t: F.when(t % 3 == 0, 0).otherwise(1)), 0.04)
     return rows.select("doc_id", F.round(loss, 6).alias("loss"))

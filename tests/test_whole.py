@@ -50,3 +50,18 @@ def test_fences_budgets_and_losses_read_whole_texts(whole):
         assert got[i][0] == pytest.approx(sum(-(0.5 - 0.04 * (math.exp(x) - x - 1)) for x in ratio) / max(1, len(ratio)), abs=2e-6)
     # the first 400 characters give other results
     assert all(whole(name) != whole(f"{name}_whole") for name in ("fence_mask", "fence_stop", "loss_mask", "grpo_objective"))
+
+
+def test_lenient_scores_of_all_forms(spark, tmp_path):
+    n = 27
+    spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    want = {}
+    for i in range(n):
+        s = [float(f"{4 + i * k % 7}.{i % 2 * 5}") for k in range(1, 6)]
+        form = i % 9
+        # fields that the form lacks: all, overall (then the mean), or clarity
+        want[i] = [0.0] * 5 if form == 8 else [*s[:4], sum(s[:4]) / 4] if form in (4, 7) else [*s[:4], 0.0] if form == 5 else [0.0, *s[1:]] if form == 6 else s
+    assert {r.doc_id: list(r)[1:] for r in run("judge_scores_lenient_whole")} == {i: pytest.approx(x) for i, x in want.items()}
+    assert list(run("readability_means_whole")[0]) == pytest.approx([n, *(sum(x[k] for x in want.values()) / n for k in range(5))])
+    assert run("readability_means")[0].n == n * 4 // 9

@@ -37,10 +37,15 @@ def judged(text: Column) -> Column:
     then each flat object in it (or the span from the first to the last brace); without one, numbers after
     the keys' names anywhere in the text. Details are mandatory; overall is their mean if its key is absent.
     """
+    return let(_read(text), _decided)
+
+
+def _read(text: Column) -> Column:
+    """struct(body, parsed, spelled): the stripped text, its first JSON object, and the numbers after the keys' names."""
     inner = lambda body: F.when(body.rlike(_FENCED), strip(F.regexp_extract(body, _FENCED, 1))).otherwise(body)
     spelled = lambda body: F.struct(*(F.nullif(F.regexp_extract(body, rf"(?i)[\"']?{k}[\"']?{WS}*[:=]{WS}*([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double").alias(k) for k in SCORE_KEYS))
     found = lambda body: F.struct(body.alias("body"), let(inner(body), _first_object).alias("parsed"), spelled(body).alias("spelled"))
-    return let(let(strip(F.coalesce(text, F.lit(""))), found), _decided)
+    return let(strip(F.coalesce(text, F.lit(""))), found)
 
 
 def _first_object(raw: Column) -> Column:
@@ -80,6 +85,18 @@ def lenient(json: Column) -> Column:
     return let(F.try_parse_json(json), _leniently)
 
 
+def lenient_answer(text: Column) -> Column:
+    """As lenient, of a judge's answer in any form that judged reads; 0 where there is no score at all."""
+    return let(_read(text), lambda s: F.when(s["parsed"].isNotNull(), _leniently(s["parsed"])).otherwise(_spelled(s["spelled"])))
+
+
+def _spelled(s: Column) -> Column:
+    value = {k: F.coalesce(s[k], F.lit(0.0)) for k in SCORE_KEYS}
+    some = F.greatest(*(s[k].isNotNull() for k in DETAILS))
+    mean = sum((value[k] for k in DETAILS[1:]), value[DETAILS[0]]) / len(DETAILS)
+    return F.struct(*(value[k].alias(k) for k in DETAILS), F.when(s["overall"].isNull() & some, mean).otherwise(value["overall"]).alias("overall"))
+
+
 def _leniently(v: Column) -> Column:
     value = {k: F.coalesce(_number(v, k), F.lit(0.0)) for k in SCORE_KEYS}
     some = F.greatest(*(F.coalesce(F.variant_get(v, f"$.{k}", "variant").isNotNull() & ~F.is_variant_null(F.variant_get(v, f"$.{k}", "variant")), F.lit(False)) for k in DETAILS))

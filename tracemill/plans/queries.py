@@ -346,6 +346,17 @@ def readability_means(spark, sf):
     return metrics.readability_means(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("n", *SCORE_KEYS)
 
 
+@query()
+def judge_scores_lenient_whole(spark, sf):
+    return b.judge(spark, sf).select("doc_id", scores.lenient_answer(F.col("answer")).alias("s")).select("doc_id", "s.*")
+
+
+@query()
+def readability_means_whole(spark, sf):
+    rows = b.judge(spark, sf).withColumn("scores", scores.lenient_answer(F.col("answer")))
+    return metrics.readability_means(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("n", *SCORE_KEYS)
+
+
 @query(f"with {_CAND}, g as (select doc_id, case when has_overall then overall else {_MEAN} end as overall from f where full_ and not (has_overall and overall is null)) select a.doc_id from g a join labels l using (doc_id) where a.overall >= 6.0 and a.overall > 4.0 + l.toxic * 2 and a.overall - (4.0 + l.toxic * 2) >= 0.5")
 def pairs_judged(spark, sf):
     rows = b.judge(spark, sf).join(b.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").withColumn("j", scores.judged(F.col("answer")))

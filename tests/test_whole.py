@@ -65,3 +65,10 @@ def test_lenient_scores_of_all_forms(spark, tmp_path):
     assert {r.doc_id: list(r)[1:] for r in run("judge_scores_lenient_whole")} == {i: pytest.approx(x) for i, x in want.items()}
     assert list(run("readability_means_whole")[0]) == pytest.approx([n, *(sum(x[k] for x in want.values()) / n for k in range(5))])
     assert run("readability_means")[0].n == n * 4 // 9
+
+
+def test_stdout_keeps_rows_with_other_line_ends(spark, tmp_path):
+    texts = {i: t for i, t in enumerate(["a \r\nb\t\r\n\r\n", "a\x0bb \x0c c", "x\x1cy\x1dz\x1e", "p\x85q \u2028r\u2029", "plain \n\n", "\r", None])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.out for r in registry.queries()["stdout_normal_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else "\n".join(x.rstrip() for x in t.splitlines()).rstrip("\n") for i, t in texts.items()}

@@ -630,6 +630,11 @@ def stdout_normal(spark, sf):
     return rows.select("doc_id", pytext.normal_stdout(F.col("text")).alias("out"))
 
 
+@query()
+def stdout_normal_whole(spark, sf):
+    return b.table(spark, sf, "documents").select("doc_id", pytext.normal_stdout(F.col("text")).alias("out"))
+
+
 # programs (fixtures of our own only)
 
 _SOLUTIONS = ("def f(x):\n    return x + 1\n", "def f(x):\n    return x\n", "def f(x):\n    return x +\n", "")

@@ -351,6 +351,14 @@ def edits(passage, text):
     return best
 
 
+def test_passages_without_an_id_are_found(spark):
+    passage = "a passage of a benchmark that has no item id in its table"
+    df = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (7, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontam.matches(df, bench).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontam.without(df, bench).collect()] == [2]
+
+
 def test_passages_equal_brute_force(spark):
     rng = random.Random(11)
     bench = [(i, prose(rng, "en", 12 + i)) for i in range(6)] + [(50, None), (51, ""), (52, "odd x"), (53, "tiny passage here")]

@@ -9,9 +9,9 @@ a banded alignment of the whole passage against the region. The result is a row
 document and passage found, with the least distance.
 
 The passages are sent to all tasks in blocks of at most ``BLOCK_BYTES``, chosen by a hash
-of item_id; each block is matched against all rows. Passages of fewer than ``SHORTEST``
+of item_id and text; each block is matched against all rows. Passages of fewer than ``SHORTEST``
 bytes say too little and are matched exactly, as whole words. Null and empty texts and
-passages match nothing; repeated rows are found each.
+passages match nothing; a passage without an id is found with a null item_id; repeated rows are found each.
 """
 
 from __future__ import annotations
@@ -80,10 +80,10 @@ def aligned(passage: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, i
 class Passages:
     """An index of a block of passages: items, their bytes, and postings of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         data, off = flat(pc.utf8_lower(pa.array([" ".join(t.split()) for _, t in items], pa.string())))
         body, off, _ = normal(data, off)
-        self.items = np.array([i for i, _ in items], np.int64)
+        self.items = [i for i, _ in items]
         self.bytes = [body[a:b] for a, b in zip(off[:-1], off[1:])]
         self.size = np.diff(off)
         self.edits = np.where(self.size >= SHORTEST, self.size * EDITS, 0).astype(np.int64)
@@ -141,7 +141,7 @@ class Passages:
         key = key[:, head]
         return key[:, total >= self.bound[key[1]]].T
 
-    def find(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def find(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
         """(document, item, distance, start, end) with byte places in the document, the best for each document and item."""
         body, spot, back = normal(data, off)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -172,14 +172,14 @@ class Passages:
                 at = text.find(p)
                 if at >= 0:
                     best[doc, k] = (0, int(back[spot[doc] + at] - off[doc]), int(back[spot[doc] + at + len(p) - 3] + 1 - off[doc]))
-        return [(doc, int(self.items[k]), d, a, b) for (doc, k), (d, a, b) in sorted(best.items())]
+        return [(doc, self.items[k], d, a, b) for (doc, k), (d, a, b) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
     """(item_id, text) in as many parts as keep each one under about limit bytes."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // limit)
-    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

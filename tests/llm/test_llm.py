@@ -136,14 +136,29 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.045
 
 
-def test_buckets_link_without_all_pairs(spark):
-    one = np.full(5000, 77, np.uint64)
-    buckets = graph.Buckets()
-    out = [*buckets.add(one, np.arange(5000, dtype=np.uint64)), *buckets.flush()]
-    assert sum(b.num_rows for b in out) < 3 * 5000 and sum(b.column(2).null_count for b in out) == 1
-    data = [(5, i, None) for i in range(50)] + [(6, 1, None), (6, 1, None), (9, 3, 4)]
-    pairs = {(r.a, r.b) for r in graph.candidate_pairs(spark.createDataFrame(data, "key long, id long, other long")).collect()}
-    assert {(0, i) for i in range(1, 50)} <= pairs and (3, 4) in pairs and len(pairs) <= 99
+def test_buckets_give_members_without_pairs(spark):
+    rng = np.random.default_rng(2)
+    key = np.concatenate([np.full(5000, 77), rng.integers(100, 4000, 6000)]).astype(np.uint64)
+    node = np.concatenate([np.arange(5000), rng.integers(0, 500, 6000)]).astype(np.uint64)
+    rows = []
+    for part in np.array_split(rng.permutation(len(key)), 7):
+        buckets = graph.Buckets()
+        out = [*buckets.add(key[part], node[part]), *buckets.flush()]
+        assert sum(b.num_rows for b in out) <= len(part) and sum(sum(k is None or k == r for k, r in zip(b.column(2).to_pylist(), b.column(0).to_pylist())) for b in out) == len(np.unique(key[part]))
+        rows += [tuple(r.values()) for b in out for r in b.to_pylist()]
+    got = {(r.key, r.node) for r in graph.members(spark.createDataFrame(rows, graph.ROUTE_SCHEMA).repartition(3)).collect()}
+    both = {*zip(key.tolist(), node.tolist())}
+    size = collections.Counter(k for k, _ in both)
+    assert got == {x for x in both if size[x[0]] > 1}
+
+
+def test_a_text_that_shares_only_its_id_stays(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, "en", 60).replace("\n", " "), prose(rng, "de", 60).replace("\n", " ")
+    rows = spark.createDataFrame([(3, a), (7, a), (7, b), (7, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.dedup(rows).collect()) == sorted([(3, a), (7, b), (7, b)])
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_text(rows).collect()) == sorted([(3, a), (7, b), (7, b)])
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in neardup.near_classes(rows).collect()) == [(3, 3, 2), (7, 3, 2), (7, 7, 2), (7, 7, 2)]
 
 
 def test_components_of_random_graphs(spark):

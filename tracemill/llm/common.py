@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, one temporary folder (a single machine)."""
+    """The folder of spark.checkpoint.dir; where it is unset, one temporary folder on a single machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="tracemill-"))
     return root.rstrip("/")
 
@@ -40,7 +42,22 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tracemill/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path_ = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path_)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key():
+    """A hash of id and text: rows that share both count as one document, rows that share an id only do not."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def crc_fold(doc_id, mod: int):

@@ -1,12 +1,15 @@
-"""Near-duplicate classes: links from buckets, verification of candidate pairs, connected components.
-
-Buckets (equal band hashes) never become all pairs. Each task first links the members of
-a bucket that it holds to the least of them and to their neighbours in order, and sends
-only that least one on, so a bucket is shuffled once for each task at most, however many
-members it has; what meets after the shuffle is linked in the same way, in streams.
-All pairs are verified. Where such a pair stays in different components, these components' nodes are
-bucketed anew and all pairs of a bucket that are in different components are verified, large buckets
-in tiles: so no order of a bucket's members parts those that are alike. Links, nodes and components stay in tables.
+"""Near-duplicate classes: members of shared buckets, verification of their pairs, connected components.
+
+Buckets (equal band hashes) never become all pairs. A task sends the least member of each of its
+buckets on, and all other members past that shuffle, since they are known to share a bucket; so a bucket
+is met by one row for each task at most, however many members it has. Only members of buckets of two or
+more nodes are kept, and buckets of the same members count once.
+
+Each bucket's members are verified against its most central one, the member whose buckets are
+the largest: the text that edited copies were made from, where there is one. Buckets whose members are
+then still in different components have all their pairs tested that cross components, large buckets in tiles,
+block against block. So every pair of a bucket is linked, in one component already, or tested.
+Links, members and components stay in tables of the shared folder; each is deleted when its successor is written.
 """
 
 from __future__ import annotations
@@ -18,28 +21,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix
+from .common import cut, mix, release
 
 #: So many ids at most (32 MB) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: A block of a bucket has about so many members, or bytes; a product of two blocks takes so many values at once.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
-LINK_SCHEMA = "key long, id long, other long"
+#: route: where a row is sent; key: null for a bucket's least member in a task, route if it has others there, else the bucket of another member.
+ROUTE_SCHEMA = "route long, id long, key long"
 
 
 def small(ids: DataFrame) -> DataFrame:
-    """ids (one long column), marked for broadcast if their counted number allows it."""
+    """ids (a few long columns, a table), marked for broadcast if their counted number allows it."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _batch(key, id_, other, valid) -> pa.RecordBatch:
-    arrays = [pa.array(key.view(np.int64)), pa.array(id_.view(np.int64)), pa.array(other.view(np.int64), mask=~valid)]
-    return pa.RecordBatch.from_arrays(arrays, ["key", "id", "other"])
-
-
 class Buckets:
-    """Collects (key, id) of a task: yields (key, least id, null) for each bucket, and pairs (any key, id, other)."""
+    """Collects (key, id) of a task and yields rows of ROUTE_SCHEMA."""
 
     def __init__(self):
         self.keys: list[np.ndarray] = []
@@ -58,107 +57,110 @@ class Buckets:
             return
         key, id_ = np.concatenate(self.keys), np.concatenate(self.ids).view(np.int64)
         self.__init__()
-        order = np.lexsort((id_, key))
+        order = np.argsort(key)
         key, id_ = key[order], id_[order]
-        once = np.ones(len(key), bool)
-        once[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
-        key, id_ = key[once], id_[once]
-        head = np.ones(len(key), bool)
-        head[1:] = key[1:] != key[:-1]
-        least = id_[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-        a, b = _pairs(id_, least, np.concatenate([id_[:1], id_[:-1]]), head)
-        none = np.zeros(int(head.sum()), np.int64)
-        for n, (x, y, z, valid) in enumerate(((key[head], id_[head], none, np.zeros(len(none), bool)), (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))), a, b, np.ones(len(a), bool)))):
-            for at in range(0, len(x), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield _batch(x[part], y[part], z[part], valid[part])
-
-
-def _pairs(id_: np.ndarray, least: np.ndarray, before: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each member that isn't a head with its bucket's least member and with the one before it, once each."""
-    star = ~head & (least != id_)
-    chain = ~head & (before != id_) & (before != least)
-    a, b = np.concatenate([least[star], before[chain]]), np.concatenate([id_[star], id_[chain]])
-    if len(a):
-        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) > 1 else np.stack([a, b], axis=1)
-        a, b = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-    return a, b
-
-
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, from the rows that Buckets yielded (key, id, other)."""
+        same = np.append(False, key[1:] == key[:-1])
+        at = np.flatnonzero(same | np.append(same[1:], False))
+        if len(at):
+            # only buckets of several rows need their ids in order, and once each
+            inner = at[np.lexsort((id_[at], key[at]))]
+            id_[at] = id_[inner]
+            once = ~same | np.append(True, id_[1:] != id_[:-1])
+            key, id_ = key[once], id_[once]
+            same = np.append(False, key[1:] == key[:-1])
+        more = np.append(same[1:], False)
+        route = np.where(same, mix(key ^ mix(id_.view(np.uint64))), key).view(np.int64)
+        valid = same | more
+        for a in range(0, len(key), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(id_[part]), pa.array(key[part].view(np.int64), mask=~valid[part])], ["route", "id", "key"])
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """Distinct (key, node) of all buckets of two nodes or more, from rows of ROUTE_SCHEMA."""
 
     def run(batches):
-        last_key, least, before = None, 0, 0
+        # the last bucket may go on in the next batch: its last id, whether that was yielded, and its route
+        last_id = last_route = None
+        known = False
         for batch in batches:
             if not batch.num_rows:
                 continue
+            route, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             valid = np.array(batch.column(2).is_valid())
-            key, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            a, b = id_[valid], batch.column(2).filter(batch.column(2).is_valid()).to_numpy()
-            key, id_ = key[~valid], id_[~valid]
-            if len(key):
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                head[0] = last_key is None or key[0] != last_key
-                at = np.maximum.accumulate(np.where(head, np.arange(len(key)), -1))
-                low = np.where(at < 0, least, id_[at])
-                prior = np.concatenate([[before], id_[:-1]])
-                x, y = _pairs(id_, low, prior, head)
-                a, b = np.concatenate([a, x]), np.concatenate([b, y])
-                last_key, least, before = key[-1], low[-1], id_[-1]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
+            key = batch.column(2).fill_null(0).to_numpy()
+            other = valid & (key != route)
+            out_key, out_id = [key[other]], [id_[other]]
+            route, id_, flag = route[~other], id_[~other], valid[~other]
+            if len(route):
+                if last_route is not None:
+                    route, id_, flag = np.append(last_route, route), np.append(last_id, id_), np.append(known, flag)
+                head = np.append(True, route[1:] != route[:-1])
+                bucket = np.cumsum(head) - 1
+                fresh = head | np.append(True, id_[1:] != id_[:-1])
+                many = (np.bincount(bucket, fresh) > 1) | (np.bincount(bucket, flag) > 0)
+                out = many[bucket] & fresh
+                if last_route is not None and known:
+                    out[0] = False
+                last_route, last_id, known = route[-1], id_[-1], bool(many[-1])
+                out_key.append(route[out])
+                out_id.append(id_[out])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_id))], ["key", "node"])
+
+    return rows.repartition("route").sortWithinPartitions("route", "id").mapInArrow(run, "key long, node long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in edges (a, b): the least node of its component, by large-star and small-star steps."""
+    """(node, root) of every node in edges (a, b): the least node of its component, by large-star and small-star steps until all are stars."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "star")
+        star = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "star")
         near = star.join(star.groupBy("a").agg(F.min("b").alias("m")), "a")
         # each row gives (a, m), and (b, m) where b isn't the least
         out = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        edges = cut(near.select(out).select("e.*").where("a <> b").distinct(), "edges")
-        new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first())
-        if new == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = new
+        now = cut(near.select(out).select("e.*").where("a <> b").distinct(), "edges")
+        release(edges, star)
+        edges = now
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The rows of pairs (a, b, and any others) whose sets are similar; sets: (node, blob), a row for each node."""
-    names = pairs.columns
+def _central(held: DataFrame) -> DataFrame:
+    """Distinct (a, b): each member b of each bucket of held (key, node, n, times) with the bucket's most central member a."""
+    rank = held.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("rank"))
+    leader = held.join(rank, "node").groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top")).select("key", F.col("top.node").alias("a"))
+    return held.join(leader, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            keep = pa.array([x is not None and y is not None and similar(x, y) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
-            yield batch.select(names).filter(keep)
 
-    left = sets.select(F.col("node").alias("a"), F.col("blob").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("blob").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select(*names, "left", "right").mapInArrow(run, pairs.schema)
+def _verified(pairs: DataFrame, sets: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """The rows of pairs (a, b) whose sets are similar; sets: (node, blob), a row for each node.
 
-
-def _keyed(held: DataFrame, keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """(key, node, root, size) of each band of the sets in held (node, root, blob); size in bytes."""
+    All pairs of one a are met with its set; an a of many pairs in parts of about BLOCK pairs.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("node"))
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
+    rows = dealt.unionByName(heads).join(sets.select("node", "blob"), "node").select("a", "part", (F.col("node") != F.col("a")).alias("other"), "node", "blob")
 
     def run(batches):
+        now = head = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                blobs = part.column(2).to_pylist()
-                got = keys(blobs)
-                spread = [np.repeat(x, got.shape[1]) for x in (part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(x) for x in blobs], np.int64))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got).ravel().view(np.int64)), *map(pa.array, spread)], ["key", "node", "root", "size"])
+            a, part, other, node = (batch.column(k).to_pylist() for k in range(4))
+            found = []
+            for i, blob in enumerate(batch.column(4)):
+                if not other[i]:
+                    now, head = (a[i], part[i]), elements(blob.as_py())
+                elif now == (a[i], part[i]):
+                    x = elements(blob.as_py())
+                    if min(len(x), len(head)) >= (threshold - 1e-9) * max(len(x), len(head)) and jaccard(head, x) >= threshold - 1e-12:
+                        found.append((a[i], node[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return held.select("node", "root", "blob").mapInArrow(run, "key long, node long, root long, size long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "other").mapInArrow(run, "a long, b long")
 
 
 def alike(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -216,20 +218,19 @@ def _linked(tile: list[tuple[int, int, bytes]], one: bool, elements: Callable[[b
     return out
 
 
-def _bucket_links(held: DataFrame, keys: Callable[[list[bytes]], np.ndarray], elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
-    """Distinct (x, y): links of roots by all similar pairs of held (node, root, blob) that share a bucket, each such pair tested.
+def _crossing(held: DataFrame, placed: DataFrame, sets: DataFrame, elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """Distinct (a, b): links of roots by all similar pairs, in different components, of a bucket of held (key, node).
 
-    A bucket of one root has nothing to test. Of the others, equal ones are tested once, and large ones
-    as tiles, block against block: a member goes to as many tiles as its bucket has blocks.
+    placed: (node, root, size in bytes) of all nodes. A bucket of one root has nothing to test; of the others, equal ones
+    are tested once, and large ones as tiles, block against block: a member goes to as many tiles as its bucket has blocks.
     """
-    rows = cut(_keyed(held, keys), "keyed")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("sign")).where("low <> high")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES))
-    mixed = cut(mixed.withColumn("blocks", blocks).groupBy("n", "sign", "size", "blocks").agg(F.min("key").alias("key")).select("key", "blocks"), "mixed")
-    placed = rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS // 2 else mixed, "key").select("key", "node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
-    dealt = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = held.select("key", "node").join(placed, "node")
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = mixed.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).alias("blocks"))
+    blocked = at.join(mixed, "key").select("key", "node", "root", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "blocks")
+    dealt = blocked.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "root", "block")
-    tiles = dealt.join(held.select("node", "blob"), "node").select("key", "i", "j", "block", "root", "blob").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
+    tiles = dealt.join(sets.select("node", "blob"), "node").select("key", "i", "j", "block", "root", "blob").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
 
     def run(batches):
         key, tile = None, []
@@ -247,40 +248,39 @@ def _bucket_links(held: DataFrame, keys: Callable[[list[bytes]], np.ndarray], el
                     key, tile = now, []
                 tile += zip(root[a:b], block[a:b], blob[a:b])
             if found:
-                yield _roots(found)
+                yield _links(found)
         if tile and (found := _linked(tile, key[1] == key[2], elements, threshold)):
-            yield _roots(found)
+            yield _links(found)
 
-    return tiles.mapInArrow(run, "x long, y long").distinct()
+    return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def _roots(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["x", "y"])
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
 
-def classes(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable[[bytes], np.ndarray], threshold: float, keys: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
-    """(node, root) of the nodes that similar pairs join; fetch gives (node, blob) of a table of nodes, elements the sorted distinct values of a blob, keys the band keys [blob, band] of a list of blobs.
+def classes(found: DataFrame, fetch: Callable[[DataFrame], DataFrame], elements: Callable[[bytes], np.ndarray], threshold: float) -> DataFrame:
+    """(node, root) of the nodes that similar pairs of a bucket join, a table.
 
-    The members of a bucket hang together by its pairs, so each member of a bucket with several components is in a
-    component that a failed pair names: the sets of these components are bucketed whole, and all their pairs tested.
+    found: distinct (key, node) of all buckets of two nodes or more. fetch gives (node, blob), a row for each of a table of
+    nodes; elements gives the sorted distinct values of a blob.
     """
-
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = elements(x), elements(y)
-        return min(len(a), len(b)) >= (threshold - 1e-9) * max(len(a), len(b)) and jaccard(a, b) >= threshold - 1e-12
-
-    pairs = cut(pairs, "pairs")
-    sets = cut(fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()), "sets")
-    base = cut(components(_verified(pairs, sets, similar)), "base")
-    apart = _apart(pairs, base)
-    roots = cut(apart.select(F.col("x").alias("root")).unionByName(apart.select(F.col("y").alias("root"))).distinct(), "apart")
-    if roots.isEmpty():
-        return base
-    placed = sets.select("node").join(base, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    some = cut(placed.join(small(roots), "root", "left_semi").select("node", "root"), "placed")
-    held = cut(sets.join(small(some), "node").select("node", "root", "blob"), "held")
-    links = cut(_bucket_links(held, keys, elements, threshold), "links")
-    return base if links.isEmpty() else _joined(base, links)
+    found = cut(found, "members")
+    wanted = cut(found.select("node").distinct(), "wanted")
+    sets = cut(fetch(wanted).withColumn("size", F.length("blob")), "sets")
+    buckets = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "n", "times")
+    held = cut(found.join(buckets, "key"), "held")
+    release(found, wanted)
+    pairs = cut(_central(held), "pairs")
+    base = cut(components(cut(_verified(pairs, sets, elements, threshold), "links")), "base")
+    placed = cut(sets.select("node", "size").join(base, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size"), "placed")
+    links = cut(_crossing(held, placed, sets, elements, threshold), "links")
+    if not links.isEmpty():
+        upper = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        base = cut(placed.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "base")
+    release(sets, held, pairs)
+    return base
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -290,18 +290,3 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
     return both / (len(a) + len(b) - both)
-
-
-def _apart(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components, with these as x and y."""
-    at = lambda side: base.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    placed = pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    return placed.select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x <> y")
-
-
-def _joined(base: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after links (x, y) between roots, or nodes without one, of base."""
-    upper = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    ends = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
-    every = base.unionByName(ends.join(base.select("node"), "node", "left_anti").select("node", F.col("node").alias("root")))
-    return cut(every.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "base")

@@ -2,16 +2,19 @@
 
 Lines end at U+000A. A line is compared by its words in lower case (A-Z) with single spaces; lines
 with equal words are one node from the start, so copies cost nothing further. Nodes of ``Q``
-bytes or more have the set of their byte shingles of length ``Q`` (characters, for ASCII), a MinHash
+bytes or more have the set of their byte shingles of length ``Q`` (characters, for ASCII; a shorter line
+would be one shingle, so it is like none but its equals), a MinHash
 signature of it in ``BANDS`` bands of ``ROWS`` values (a pair at similarity 0.8 is found with
 probability 1 - (1 - 0.8 ** 4) ** 16 > 0.9997), and candidates are verified by the exact
 Jaccard similarity of the sets, ``THRESHOLD`` or more. Components of the verified links
 are found by distributed union-find (large-star and small-star steps). Of the lines of a
 component, over the whole corpus, the one first by (doc_id, line number) is kept.
 
-Blank lines are no copies of each other and stay. Null texts have no lines. Rows with
-equal ids count as one document: the same lines of each are kept. ``dedup_text`` drops
-documents of whose lines, all non-blank ones were copies, and keeps all other columns.
+Blank lines are no copies of each other and stay. Null texts have no lines. Rows with the same id and
+text count as one document, whose same lines are kept in each; rows with the same id and
+other texts are documents of their own. Null ids come last. ``dedup_text`` drops documents of
+whose lines, all non-blank ones were copies, and keeps all other columns. Lines of any length are
+compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import IS_SPACE, LOWER, column, cut, flat, mix, pieces, span_hashes, table, words
+from .common import IS_SPACE, LOWER, column, cut, flat, mix, pieces, row_key, span_hashes, table, words
 
 Q = 8
 BANDS, ROWS = 16, 4
 THRESHOLD = 0.8
+#: Lines are hashed about so many shingles at a time.
+BLOCK = 1 << 15
 #: Copies' places are sent to all tasks up to so many numbers (16 MB); beyond, texts are joined with them by a shuffle.
 BROADCAST_LINES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -72,23 +77,32 @@ def grams(body: np.ndarray) -> np.ndarray:
 
 
 def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """[lines, bands] hashes of the bands of the given lines, each of Q bytes or more."""
-    x = (mix(grams(body)) >> np.uint64(32)).astype(np.uint32)
-    first, last = off[which], off[which + 1] - Q + 1
-    cuts = np.stack([first, last], axis=1).ravel()
-    if cuts[-1] == len(x):
-        cuts = cuts[:-1]
-    keys = np.zeros((len(which), BANDS), np.uint64)
-    for j in range(BANDS):
-        key = np.full(len(which), np.uint64(j + 1)) * _STEP
-        for i in range(j * ROWS, (j + 1) * ROWS):
-            key = mix(key ^ np.minimum.reduceat(x * _ODD[i] + _ADD[i], cuts)[::2].astype(np.uint64))
-        keys[:, j] = key
+    """[lines, bands] hashes of the bands of the given lines, each of Q bytes or more, in blocks of lines that a CPU's cache holds."""
+    first, size = off[which], off[which + 1] - off[which] - Q + 1
+    keys = np.empty((len(which), BANDS), np.uint64)
+    group = np.cumsum(size) // BLOCK
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(which)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        n = size[lo:hi]
+        at = np.cumsum(n) - n
+        every = grams(body[first[lo] : first[hi - 1] + size[hi - 1] + Q - 1])
+        if int(n.sum()) < len(every):
+            every = every[np.repeat(first[lo:hi] - first[lo] - at, n) + np.arange(int(n.sum()))]
+        x = (mix(every) >> np.uint64(32)).astype(np.uint32)
+        y = np.empty_like(x)
+        key = np.empty(hi - lo, np.uint64)
+        for j in range(BANDS):
+            key[:] = np.uint64(j + 1) * _STEP
+            for i in range(j * ROWS, (j + 1) * ROWS):
+                np.multiply(x, _ODD[i], out=y)
+                np.add(y, _ADD[i], out=y)
+                key = mix(key ^ np.minimum.reduceat(y, at).astype(np.uint64))
+            keys[lo:hi, j] = key
     return keys
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, node) of each non-blank line."""
+    """(doc_id, row, line, node, of) of each non-blank line; of: how many its document has."""
 
     def run(batches):
         for batch in pieces(batches):
@@ -96,9 +110,11 @@ def _lines(docs: DataFrame) -> DataFrame:
             line_off, doc, number = split(data, off)
             node = nodes(data, line_off)[0]
             some = np.flatnonzero(node)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(doc[some])), pa.array(number[some].astype(np.int32)), pa.array(node[some].view(np.int64))], ["doc_id", "line", "node"])
+            own = pa.array(doc[some])
+            of = np.bincount(doc[some], minlength=batch.num_rows)[doc[some]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(own), column(batch, "row").take(own), pa.array(number[some].astype(np.int32)), pa.array(node[some].view(np.int64)), pa.array(of)], ["doc_id", "row", "line", "node", "of"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line int, node long")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, node long, of int")
 
 
 def _links(docs: DataFrame) -> DataFrame:
@@ -116,7 +132,7 @@ def _links(docs: DataFrame) -> DataFrame:
                 yield from buckets.add(band_keys(body, at, fit).ravel(), np.repeat(node[fit], BANDS))
         yield from buckets.flush()
 
-    return docs.select("text").mapInArrow(run, graph.LINK_SCHEMA)
+    return docs.select("text").mapInArrow(run, graph.ROUTE_SCHEMA)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -142,48 +158,46 @@ def gram_set(text: bytes) -> np.ndarray:
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line) of the lines that are copies, and (doc_id, line, node) of all non-blank lines."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, row, line, first_doc, first_line) of the lines that are copies, with the line that stays for each, and the table _lines gives."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
     lines = cut(_lines(docs), "lines")
-    pairs = graph.candidate_pairs(_links(docs))
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        return _texts(docs).join(graph.small(cut(wanted, "wanted")), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("blob"))
-
-    def keys(texts: list[bytes]) -> np.ndarray:
-        return band_keys(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), np.arange(len(texts)))
-
-    roots = cut(graph.classes(pairs, fetch, gram_set, threshold, keys), "roots")
-    placed = cut(lines.join(roots, "node", "left").select("doc_id", "line", F.coalesce("root", "node").alias("root")), "placed")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")
-    groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
-    copies = placed.join(cut(groups, "groups"), "root").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line")))).select("doc_id", "line")
+        return _texts(docs).join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob"))
+
+    roots = graph.classes(graph.members(_links(docs)), fetch, gram_set, threshold)
+    placed = lines.join(graph.small(roots), "node", "left").select("doc_id", "row", "line", F.coalesce("root", "node").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
+    groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = cut(groups.select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "groups")
+    copies = placed.join(graph.small(groups), "root").where("row <> first_row or line <> first_line").select("doc_id", "row", "line", "first_doc", "first_line")
     return copies, lines
 
 
 def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the lines that are copies (n_chars follows, if it is a column), and without documents that were copies only."""
-    copies, _ = removed_lines(docs, threshold)
-    per_doc = cut(copies.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("line").alias("dropped_lines_")), "copies")
+    copies, _ = removed_lines(docs.select("doc_id", "text"), threshold)
+    per_doc = cut(copies.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line").alias("dropped_lines_")), "copies")
     if per_doc.agg(F.coalesce(F.sum(F.size("dropped_lines_") + 8), F.lit(0))).first()[0] <= BROADCAST_LINES:
         per_doc = F.broadcast(per_doc)
     schema = docs.schema
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "doc_id_"), docs["doc_id"] == F.col("doc_id_"), "left").drop("doc_id_")
+    joined = docs.join(per_doc, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == per_doc["row_"], "left").select(*(docs[c] for c in schema.names), per_doc["dropped_lines_"])
 
     def run(batches):
         for batch in batches:
-            gone = batch.column(batch.num_columns - 1).to_pylist()
+            gone = [drop and set(drop) for drop in batch.column(batch.num_columns - 1).to_pylist()]
             if not any(gone):
-                yield batch.select(schema.names)
+                yield batch.select(list(range(len(schema.names))))
                 continue
-            text, keep = batch.column(schema.names.index("text")).to_pylist(), []
+            at, keep = schema.names.index("text"), []
+            text = batch.column(at).to_pylist()
             for i, (t, drop) in enumerate(zip(text, gone)):
                 left = [x for k, x in enumerate(t.split("\n")) if k not in drop] if drop else None
                 keep.append(left is None or any(x.strip(" \t\n\v\f\r") for x in left))
                 if left is not None:
                     text[i] = "\n".join(left)
-            arrays = list(batch.select(schema.names).columns)
-            arrays[schema.names.index("text")] = pa.array(text, arrays[schema.names.index("text")].type)
+            arrays = list(batch.columns[:-1])
+            arrays[at] = pa.array(text, arrays[at].type)
             if "n_chars" in schema.names:
                 k = schema.names.index("n_chars")
                 arrays[k] = pa.array([len(t) if drop else n for t, drop, n in zip(text, gone, arrays[k].to_pylist())], arrays[k].type)
@@ -193,13 +207,17 @@ def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its non-blank lines, how many stay, the numbers of those that go, and for each of them line:doc_id:line of the one that stays."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies, lines = removed_lines(docs)
-    gone = cut(copies.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_removed"), F.array_join(F.sort_array(F.collect_list("line")), ",").alias("removed_lines")), "copies")
-    every = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
-    ids = docs.select("doc_id")
+    first = F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("")), "first_line")
+    gone = copies.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("line", first.alias("first")))).alias("gone"))
+    gone = gone.select("row", F.size("gone").alias("n_removed"), F.array_join("gone.line", ",").alias("removed_lines"), F.array_join(F.transform("gone", lambda x: F.concat_ws(":", x["line"], x["first"])), ",").alias("copies_of"))
+    every = lines.groupBy("row").agg(F.max("of").cast("long").alias("n_lines"))
+    counted = every.join(gone, "row", "left")
+    n = F.coalesce("n_lines", F.lit(0))
     return (
-        ids.join(every, "doc_id", "left")
-        .join(gone, "doc_id", "left")
-        .select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.coalesce("n_lines", F.lit(0)) - F.coalesce("n_removed", F.lit(0))).alias("n_kept"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"))
+        docs.select("doc_id", row_key().alias("row"))
+        .join(counted, "row", "left")
+        .select("doc_id", n.alias("n_lines"), (n - F.coalesce("n_removed", F.lit(0))).alias("n_kept"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"), F.coalesce("copies_of", F.lit("")).alias("copies_of"))
     )

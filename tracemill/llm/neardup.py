@@ -14,8 +14,10 @@ Jaccard similarity, without bias.
 the shingles' counts is ``THRESHOLD`` or more. Documents with the same words are one node
 from the start. Classes are the connected components of the verified links.
 
-Null texts and texts without words are classes of their own. Repeated rows (equal ids)
-are rows of one class. The class id is the least doc_id of the class.
+Null texts and texts without words are classes of their own. Rows with the same id and text count as
+one document; rows with the same id and other texts are compared like any others. The class id is the
+least doc_id of the class, nulls last (null if the class has none). Texts of any length are compared
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import LOWER, column, cut, flat, mix, pieces, span_hashes, table, unit, words
+from .common import LOWER, column, cut, flat, mix, pieces, release, row_key, span_hashes, table, unit, words
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
@@ -112,26 +114,32 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node) of each document, and what Buckets yields (key, id, other)."""
-
-    def lift(batch: pa.RecordBatch) -> pa.RecordBatch:
-        void = pa.nulls(batch.num_rows, pa.int64())
-        return pa.RecordBatch.from_arrays([void, void, *batch.columns], ["doc_id", "node", "key", "id", "other"])
+    """(doc_id, row, node) of each document, and what Buckets yields (route, id, key)."""
+    names = ["doc_id", "row", "node", "route", "id", "key"]
 
     def run(batches):
         buckets = graph.Buckets()
         for batch in pieces(batches):
             key, doc, node = shingles(*flat(column(batch, "text")))
-            signature = bag_minhash(*counted(key, doc), len(node), bands * rows)
-            some = np.flatnonzero(node)
+            some = np.unique(node, return_index=True)[1]
+            some = np.sort(some[node[some] > 0])
             void = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(node.view(np.int64), mask=node == 0), void, void, void], ["doc_id", "node", "key", "id", "other"])
-            for out in buckets.add(band_keys(signature[some], bands, rows).ravel(), np.repeat(node[some], bands)):
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(node.view(np.int64), mask=node == 0), void, void, void], names)
+            # texts with the same words are signed once
+            place = np.full(len(node), -1)
+            place[some] = np.arange(len(some))
+            own = place[doc] >= 0
+            signature = bag_minhash(*counted(key[own], place[doc[own]]), len(some), bands * rows)
+            for out in buckets.add(band_keys(signature, bands, rows).ravel(), np.repeat(node[some], bands)):
                 yield lift(out)
         for out in buckets.flush():
             yield lift(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, key long, id long, other long")
+    def lift(batch: pa.RecordBatch) -> pa.RecordBatch:
+        void = pa.nulls(batch.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([void, void, void, *batch.columns], names)
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, node long, " + graph.ROUTE_SCHEMA)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -153,32 +161,36 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, blob binary").where("node is not null")
 
 
-def set_keys(blobs: list[bytes], bands: int, rows: int) -> np.ndarray:
-    """Band keys of sets by plain MinHash: of (shingle, occurrence), their similarity is that of the multisets."""
-    values = np.frombuffer(b"".join(blobs), np.uint64)
-    first = np.cumsum([0, *(len(x) // 8 for x in blobs)])[:-1]
-    seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _STEP)
-    least = np.stack([np.minimum.reduceat(mix(values ^ s), first) for s in seeds], axis=1)
-    return band_keys(least, bands, rows)
+def _placed(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, root) of every row of docs, a table, and of each root of two rows or more its first row, (root, class_id, class_row, class_size)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    signed = cut(_signed(docs, bands, rows), "signed")
+    nodes = signed.where("route is null").select("doc_id", "row", "node")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        one = cut(nodes.where("node is not null").join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct(), "chosen")
+        return _sets(docs.join(graph.small(one), "row", "left_semi")).groupBy("node").agg(F.min("blob").alias("blob"))
+
+    root = graph.classes(graph.members(signed.where("route is not null").select("route", "id", "key")), fetch, lambda blob: np.frombuffer(blob, np.uint64), threshold)
+    placed = cut(nodes.join(graph.small(root), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
+    groups = placed.where("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    groups = cut(groups.select("root", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("class_row"), "class_size"), "groups")
+    release(signed, root)
+    return placed, groups
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, class_size) of every row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(_signed(docs, bands, rows), "signed")
-    nodes = signed.where("key is null").select("doc_id", "node")
-    pairs = graph.candidate_pairs(signed.where("key is not null").select("key", "id", "other"))
+    placed, groups = _placed(docs, threshold, bands, rows)
+    return placed.join(graph.small(groups), "root", "left").select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
-    def fetch(wanted: DataFrame) -> DataFrame:
-        one = nodes.where("node is not null").join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-        found = _sets(docs.join(graph.small(cut(one.distinct(), "chosen")), "doc_id", "left_semi"))
-        return found.groupBy("node").agg(F.first("blob").alias("blob"))
-
-    root = cut(graph.classes(pairs, fetch, lambda blob: np.frombuffer(blob, np.uint64), threshold, lambda blobs: set_keys(blobs, bands, rows)), "roots")
-    placed = cut(nodes.join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "placed")
-    groups = cut(placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "groups")
-    grouped = placed.where("root is not null").join(groups, "root").select("doc_id", "class_id", "class_size")
-    return grouped.unionByName(placed.where("root is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+
+def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the documents that have an earlier one, by doc_id, in their class; all columns stay."""
+    placed, groups = _placed(docs.select("doc_id", "text"), threshold, BANDS, ROWS)
+    gone = graph.small(cut(placed.join(graph.small(groups), "root").where("row <> class_row").select(F.col("row").alias("row_")).distinct(), "gone"))
+    return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == gone["row_"], "left_anti")
 
 
 def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

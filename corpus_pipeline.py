@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontam, graph, langid, lines, mixing, neardup
+from tracemill.llm import decontam, langid, lines, mixing, neardup
 from tracemill.llm.common import cut, table
 
 
@@ -24,9 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near-duplicates (rows with that id; rows without an id stay)."""
-    gone = cut(neardup.near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    return docs.join(graph.small(gone), "doc_id", "left_anti").select(docs.columns)
+    """Keeps the first document, by id, of each class of near-duplicates; a text that only shares its id stays."""
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,6 +205,22 @@ def test_one_line_with_many_edited_variants_is_one_line(spark, monkeypatch):
     assert copies.count() >= 1198
 
 
+def test_small_tiles_give_the_same_links():
+    rng = np.random.default_rng(7)
+    for one in (True, False):
+        for _ in range(60):
+            n = int(rng.integers(2, 9))
+            sets = [np.unique(rng.integers(0, 25, rng.integers(8, 40))).astype(np.uint64) for _ in range(n)]
+            tile = [(int(rng.integers(0, 6)), int(k >= n // 2) if not one else 0, s.tobytes()) for k, s in enumerate(sets)]
+            read = lambda blob: np.frombuffer(blob, np.uint64)
+            joined = []
+            for few in (0, 12):
+                with pytest.MonkeyPatch.context() as m:
+                    m.setattr(graph, "FEW", few)
+                    joined.append(components(graph._linked(tile, one, read, 0.6), {r for r, *_ in tile}))
+            assert joined[0] == joined[1]
+
+
 def test_alike_equals_sets():
     rng = np.random.default_rng(3)
     sides = [[np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(n)] for n in (30, 20)]
@@ -489,31 +505,73 @@ def test_random_words_are_told_from_identifiers(spark):
 # language model
 
 
-def test_base_scores_and_a_complete_model(spark, docs, corpus):
+def plain_language_model(rows):
+    """The same model with dicts: (n, v, base and score of a text)."""
+    fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
+    text = lambda t: [*tokens(t), None]
+    sides = {False: (collections.Counter(), collections.Counter()), True: (collections.Counter(), collections.Counter())}
+    spelled = np.zeros((257, 257))
+    for i, t, *_ in rows:
+        if fold(i) != 2:
+            w = text(t)
+            sides[fold(i) == 4][0].update(w)
+            sides[fold(i) == 4][1].update(zip([None, *w[:-1]], w))
+            for x in w:
+                path = [256, *(x or "").encode(), 256]
+                np.add.at(spelled, (path[:-1], path[1:]), 1)
+    one, two = (sides[False][k] + sides[True][k] for k in range(2))
+    n, v, kept = sum(one.values()), len(one), sum(sides[False][0].values())
+    chain = lm.chain(spelled)
+    bucket = lambda c: min(int(math.log2(c + 1)), 40)
+    step = lambda f: 1 + round(-math.log2(f) * 4) if f > 0 else 0
+    held = collections.Counter()
+    for (a, b), k in sides[True][1].items():
+        c = sides[False][0][a]
+        held[bucket(c), step(sides[False][1][a, b] / c if c else 0), step(sides[False][0][b] / kept)] += k
+    weight = lm.learn(*(np.array(x) for x in zip(*(x for x in held))), np.array(list(held.values())), 1 / (v + 1))
+
+    def scored(t):
+        w, base, total = text(t), 0.0, 0.0
+        for a, b in zip([None, *w[:-1]], w):
+            base += math.log10((one[b] + 1) / (n + 1 * (v + 1)))
+            at = weight[bucket(one[a])]
+            path = [256, *(b or "").encode(), 256]
+            total += math.log10(at[2] * two[a, b] / max(one[a], 1) + at[1] * one[b] / n + at[0] / (v + 1)) if one[b] else math.log10(at[0] / (v + 1)) + sum(chain[x, y] for x, y in zip(path, path[1:]))
+        return len(w), sum(one[x] > 0 for x in w), n, base, total
+
+    return fold, scored
+
+
+@pytest.mark.parametrize("block,ranges", [(1 << 20, 1 << 20), (500, 300)])
+def test_language_model_equals_brute_force(spark, docs, corpus, monkeypatch, block, ranges):
+    monkeypatch.setattr(lm, "BLOCK", block)
+    monkeypatch.setattr(lm, "RANGE", ranges)
     rows = corpus + ODD
     got = collections.defaultdict(list)
-    for r in lm.score(docs.select("doc_id", "text")).collect():
+    for r in lm.score(docs.withColumns({"score": F.lit("clash"), "word": F.lit(1)})).collect():
         got[r.doc_id].append(r)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    count = collections.Counter(w for i, t, *_ in rows if not held(i) for w in [*tokens(t), None])
-    n, v = sum(count.values()), len(count)
-    base = model = 0
+    fold, scored = plain_language_model(rows)
     for i, t, *_ in rows:
-        w = [*tokens(t), None]
-        r = next(x for x in got[i] if x.n_tokens == len(w))
-        want = sum(math.log10((count[x] + 1) / (n + 1 * (v + 1))) for x in w)
-        assert r.held_out is held(i) and r.n_known == sum(count[x] > 0 for x in w) and r.train_tokens == n
-        assert r.base_score == pytest.approx(want, rel=1e-9) and r.score < 0
-        if held(i):
-            base, model = base + r.base_score, model + r.score
-    assert model > base and sum(map(len, got.values())) == len(rows)
+        n, known, total, want, score = scored(t)
+        r = next(x for x in got[i] if x.n_tokens == n)
+        assert r.held_out is (fold(i) == 2) and (r.n_known, r.train_tokens) == (known, total)
+        assert r.base_score == pytest.approx(want, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+    assert sum(map(len, got.values())) == len(rows)
+
 
+def test_word_probabilities_sum_to_one_at_most():
+    weight = lm.learn(np.array([0, 3, 3]), np.array([0, 4, 0]), np.array([9, 9, 12]), np.array([5, 6, 7]), 0.01)
+    assert np.allclose(weight.sum(axis=1), 1) and weight[0, 2] == 0 and (weight >= 0).all()
+    assert lm.learn(*[np.zeros(0, int)] * 4, 1.0, False)[:, 0].tolist() == [1.0] * lm.BUCKETS
+    chain = lm.chain(np.random.default_rng(1).integers(0, 9, (257, 257)))
+    assert np.allclose((10**chain).sum(axis=1), 1)
+    text = np.frombuffer(b"ab a ba", np.uint8)
+    assert lm.spelling(text, np.array([0, 3, 5]), np.array([2, 4, 7]), chain) == pytest.approx([chain[256, 97] + chain[97, 98] + chain[98, 256], chain[256, 97] + chain[97, 256], chain[256, 98] + chain[98, 97] + chain[97, 256]])
 
-def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    gram = np.unique(rng.integers(0, lm.CLASSES ** (lm.ORDER + 1), 400))
-    p = lm.learn(gram, rng.integers(1, 9, len(gram)), rng.integers(0, 5, len(gram)))
-    assert np.allclose((10 ** p.astype(float)).reshape(-1, lm.CLASSES).sum(axis=1), 1, atol=1e-4)
+
+def test_packed_arrays():
+    x = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
+    assert (lm.unpack_sorted(lm.pack_sorted(x), 1000) == x).all() and (lm.unpack(lm.pack(x.astype(np.uint32)), 1000, np.uint32) == x.astype(np.uint32)).all()
 
 
 # toxicity
@@ -571,23 +629,56 @@ def test_area_resize_weighs_fractions():
     assert media.area_resize(np.array([[0, 3, 6]], np.uint8), 1, 2)[0].tolist() == pytest.approx([1.0, 5.0])
 
 
+def test_other_images():
+    assert media.decode(b"P1\n3 2\n1 0 1\n010").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(b"P4 # c\n10 2\n" + bytes([0b10100000, 0b01000000, 0, 0])).tolist() == [[0, 255, 0] + [255] * 6 + [0], [255] * 10]
+    assert media.decode(b"P5\n2 1\n65535\n\x01\x02\xff\xff").tolist() == [[258, 65535]] and media.decode(b"P2 2 1 15 15 7").tolist() == [[255, 119]]
+    head = lambda w, h, bits, packed=0, start=54: b"BM" + np.array([0, 0, start, 40, w, h], "<i4").tobytes() + np.array([1, bits], "<u2").tobytes() + np.array([packed, 0, 0, 0, 0, 0], "<u4").tobytes()
+    two = bytes([0, 0, 0, 0, 255, 255, 255, 0])
+    assert media.decode(head(3, 1, 1, start=62) + two + bytes([0b10100000, 0, 0, 0])).tolist() == [[255, 0, 255]]
+    assert media.decode(head(3, -1, 4, start=62) + two + bytes([0x10, 0x10, 0, 0])).tolist() == [[255, 0, 255]]
+    assert media.decode(head(1, 1, 16) + bytes([0x1F, 0x7C, 0, 0])).tolist() == [[[255, 0, 255]]] and media.decode(head(1, 1, 32) + bytes([1, 2, 3, 9])).tolist() == [[[3, 2, 1]]]
+    assert media.decode(head(1, 1, 32, 3, 66) + np.array([0xFF, 0xFF00, 0xFF0000], "<u4").tobytes() + bytes([1, 2, 3, 9])).tolist() == [[[1, 2, 3]]]
+    bad = [b"", b"P5", b"P5 1 1 0 x", b"P5 2 2 255 x", b"P2 1 1 255 300", b"P2 1 1 255 -1", b"P2 1 1 255 x", b"P3 1 1 255 1 2", b"P1 9 9 1", b"BM", head(1, 1, 8), head(1, 1, 8, start=58) + bytes([0, 0, 0, 0, 9, 0, 0, 0]), head(1, 1, 8, 1, 58) + bytes(9), head(1, 1, 24, start=10) + bytes(9), head(0, 1, 24) + bytes(9), head(1, 1, 16, 3, 66) + bytes(16), b"P5 999999999 999999999 255 "]
+    for raw in bad:
+        with pytest.raises(ValueError):
+            media.decode(raw)
+
+
 def test_tiles_and_unreadable_media(spark):
     image = np.arange(300 * 70, dtype=np.uint32).astype(np.uint8).reshape(300, 70)
-    df = spark.createDataFrame([(1, media.encode_pgm(image)), (2, b"nothing"), (3, None), (4, media.encode_pgm(image)[:50])], "media_id long, media binary")
-    got = sorted(media.media_tiles(df, side=256).collect(), key=lambda r: r.tile_row)
-    import io
-
-    assert [(r.media_id, r.tile_row, r.tile_col) for r in got] == [(1, 0, 0), (1, 1, 0)]
-    assert (np.concatenate([np.load(io.BytesIO(r.npy)) for r in got]) == image).all()
+    df = spark.createDataFrame([(1, media.encode_pgm(image)), (2, b"nothing"), (3, None), (4, media.encode_pgm(image)[:50]), (5, media.encode_pgm(image[:0]))], "media_id long, media binary")
+    got = sorted(media.media_tiles(df, side=256).collect(), key=lambda r: (r.media_id, r.tile_row or 0))
+    assert [(r.media_id, r.tile_row, r.tile_col) for r in got] == [(1, 0, 0), (1, 1, 0), (2, None, None), (3, None, None), (4, None, None), (5, None, None)]
+    assert (media.untiled([tuple(r)[1:4] for r in got[:2]]) == image).all() and got[0].dhash == media.difference_hash(image[:256]) and got[5].npy is None
 
 
 def test_text_media_digests(docs, corpus):
     rows = {i: t for i, t, *_ in corpus + ODD}
+    seen = set()
     for r in media.text_media(docs.withColumn("feature", F.lit("clash"))).collect():
         raw = (rows[r.doc_id] or "").encode()
         payload = raw + bytes(64 if not raw else -len(raw) % 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes > r.payload_bytes
+        n = len(payload) // 64
+        kind = {(0, 0): "bmp24", (0, 1): "ppm"}.get((n % 3, n % 2)) if n % 3 == 0 else ("bmp8", "pgm")[n % 2]
+        samples = np.frombuffer(payload, np.uint8)
+        image = samples.reshape(-1, 64, 3) if n % 3 == 0 else samples.reshape(-1, 64)
+        stored = {"bmp8": media.encode_bmp, "bmp24": media.encode_bmp, "pgm": media.encode_pgm, "ppm": media.encode_ppm}[kind](image)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        hashes = [plain_hash(image[k : k + 256]) for k in range(0, len(image), 256)]
+        assert r.feature == f"{kind};shape:{'x'.join(map(str, image.shape))};dhash:{'.'.join(hashes)}" and r.n_tiles == len(hashes)
+        seen.add(kind)
+    assert len(seen) == 4
+
+
+def plain_hash(image):
+    """The difference hash with fractional areas summed cell by cell."""
+    grey = image @ np.array([0.299, 0.587, 0.114]) if image.ndim == 3 else image.astype(float)
+    share = lambda n, m: np.array([[max(0.0, min((k + 1) * n / m, j + 1) - max(k * n / m, j)) for j in range(n)] for k in range(m)])
+    small = share(grey.shape[0], 8) @ grey @ share(grey.shape[1], 9).T / (grey.shape[0] / 8 * grey.shape[1] / 9)
+    return np.packbits(small[:, :-1] + 1e-9 < small[:, 1:]).tobytes().hex()
 
 
 # shared

@@ -1,292 +1,388 @@
-"""Operator 7, LM scoring: deleted interpolation of n-gram maximum-likelihood estimates.
-
-A text is its words (A-Z as a-z) and one end. The model is a class n-gram: P(word |
-history) = P(class | the ``ORDER`` classes before) P(word | class), a word's class being
-given by its first and last byte (50 classes with the end, see ``word_classes``).
-P(class | history) is a mixture of the maximum-likelihood estimates of all orders from 0
-to ``ORDER`` and a uniform one; the mixture weights depend on the bucket of the context's
-frequency (by powers of two) and are learned by expectation-maximisation on held-out
-counts: those of the training documents whose crc32 modulo 7 is ``DELETED``; the counts
-proper are of the other training documents. P(word | class) is (1 - u) c(word) / c(class)
-for words of the training documents and u for any other, with u the share of training
-tokens that occur once. (Full word bigrams would have to exchange nearly every bigram of
-the corpus, five times the input or more, so histories are classes.)
-
-The base score is a unigram model of words with one added to each count. Exact counts of
-all words come from a table of blocks of documents: each block sends every distinct word
-once, with its count (so a frequent word is sent once for each block), and gets the
-count of the whole corpus back; blocks keep their documents as word numbers.
-
-Null texts are empty: one end, no words. Without training documents N and V are 0,
-class probabilities are uniform and u is 1. Every document is scored; repeated rows are
-scored each.
+"""Operator 7, LM scoring: deleted interpolation of word n-gram maximum-likelihood estimates.
+
+A text is its words (A-Z as a-z) and one end. P(word | word before) is a mixture of the
+maximum-likelihood estimates of word pairs and of single words, and of a uniform one over the words
+of the training documents and an unknown symbol; the end stands before a text. The mixture weights depend on the bucket
+of the context's frequency (by powers of two) and are learned by expectation-maximisation on held-out
+counts: of those training documents whose crc32 modulo 7 is ``DELETED``, against the counts of
+the other training documents. The scores take the counts of all training documents. An unknown word shares the
+unknown symbol's probability by a chain of bytes (each byte given the one before, and a border), so the
+probabilities of all texts sum to one at most.
+
+The base score is a unigram model of words with one added to each count.
+
+Counts are exact and of the whole corpus. Documents are gathered in blocks of about ``BLOCK`` tokens. A block asks
+for each of its distinct words and pairs once, with its own counts: sorted 64-bit hashes, cut into
+ranges that hold about ``RANGE`` of all requests each, as differences in compressed planes of bytes. A
+range sums its requests (each word or pair is one request a block, so a frequent one is no hot key) and answers
+each block in the block's order. Blocks meet their answers by their numbers. What a task holds is a block, or a range.
+
+Null texts are empty: one end, no words. Without training documents N and V are 0 and only the uniform
+part is left. Every document is scored; repeated rows are scored each. A text longer than a block makes
+one of its own. Columns other than doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, column, crc_fold, cut, flat, pieces, span_hashes, table, words
+from .common import IS_SPACE, LOWER, column, crc_fold, cut, flat, mix, pieces, release, span_hashes, table, words
 
-ORDER = 2
-CLASSES, END_CLASS = 50, 48
 MOD, HELD_OUT, DELETED = 7, 2, 4
-ROUNDS = 30
-#: Words in a block of documents.
-BLOCK = 1 << 20
+ROUNDS = 40
+#: Tokens in a block, and requests in a range.
+BLOCK, RANGE = 1 << 20, 1 << 20
+BUCKETS = 41
+#: Estimates are counted for the mixture weights in steps of a quarter of a power of two.
+STEPS = 4
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_SCALE = [CLASSES**k for k in range(ORDER + 1)]
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Roles of blocks: counted, counted as held out for the weights, scored only.
+KEPT, LEFT, SCORED = 0, 1, 2
+BORDER = 256
 
 
-def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
-    """Six kinds of first bytes, eight of last bytes."""
-    first, last = np.full(256, 4, np.uint8), np.full(256, 6, np.uint8)
-    for kinds, other in ((first, 5), (last, 7)):
-        kinds[97:110], kinds[110:123], kinds[128:] = 1, 2, other
-        kinds[[97, 101, 105, 111, 117]] = 0
-        kinds[48:58] = 3
-    last[46], last[44] = 4, 5
-    return first, last
+def pack(x: np.ndarray) -> bytes:
+    """The array's bytes by place, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
-_FIRST, _LAST = _byte_kinds()
+def unpack(blob: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def word_classes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _FIRST[low[start]] * np.uint8(8) + _LAST[low[end - 1]]
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def _stream(low: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The classes of all documents' tokens, an end after each document; offsets; which tokens are words."""
-    off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n) + 1)])
-    out = np.full(off[-1], END_CLASS, np.uint8)
-    inner = np.ones(off[-1], bool)
-    inner[off[1:] - 1] = False
-    out[inner] = word_classes(low, start, end)
-    return out, off, inner
+def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(blob, n, np.uint64), dtype=np.uint64)
 
 
-def _keys(c: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each token: its class and the ORDER before it as one number; ends stand before a document."""
-    key = c.astype(np.int32)
-    for k in range(1, ORDER + 1):
-        before = np.full(len(c), END_CLASS, np.uint8)
-        before[k:] = c[:-k] if k < len(c) else c[:0]
-        for j in range(k):
-            at = off[:-1] + j
-            before[at[at < off[1:]]] = END_CLASS
-        key += before.astype(np.int32) * np.int32(_SCALE[k])
-    return key
+# the chain of bytes
 
 
-def _gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, kept, deleted) over (text, fold); each task sums its documents in one array first."""
+def _spelling_counts(docs: DataFrame) -> np.ndarray:
+    """[byte before, byte] counts over all words, each with a border around it, and ends, of (text); a table of at most 257 * 257 rows is gathered."""
 
     def run(batches):
-        total = None
+        total = np.zeros(257 * 257, np.int64)
+        add = lambda before, byte: np.add(total, np.bincount(before * 257 + byte, minlength=257 * 257), out=total)
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
-            low = LOWER[data]
-            start, end, doc = words(low, off)
-            c, at, _ = _stream(low, start, end, doc, len(off) - 1)
-            key = _keys(c, at)
-            fold = column(batch, "fold").fill_null(-1).to_numpy(zero_copy_only=False)
-            held = np.repeat(fold == DELETED, np.diff(at))
-            found = np.stack([np.bincount(key[~held], minlength=CLASSES ** (ORDER + 1)), np.bincount(key[held], minlength=CLASSES ** (ORDER + 1))])
-            total = found.astype(np.int64) if total is None else total + found
-        if total is not None:
-            some = np.flatnonzero(total.sum(axis=0))
-            for a in range(0, len(some), 1 << 16):
-                part = some[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[0, part]), pa.array(total[1, part])], ["gram", "kept", "deleted"])
-
-    return docs.select("text", "fold").mapInArrow(run, "gram long, kept long, deleted long").groupBy("gram").agg(F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted"))
-
-
-def _orders(count: np.ndarray) -> list[np.ndarray]:
-    """Counts of orders 0 to ORDER: arrays [contexts of k classes, class]."""
-    return [count.reshape(-1, _SCALE[k], CLASSES).sum(axis=0) for k in range(ORDER + 1)]
-
-
-def learn(gram: np.ndarray, kept: np.ndarray, deleted: np.ndarray) -> np.ndarray:
-    """log10 probability of each gram's last class: mixture weights by EM on the deleted counts, estimates from the kept ones."""
-    width = CLASSES ** (ORDER + 1)
-    count = np.zeros(width)
-    count[gram] = kept
-    orders = _orders(count)
-    totals = [o.sum(axis=1) for o in orders]
-    bucket = np.minimum(np.log2(totals[ORDER] + 1).astype(int), 40)
-    some = np.flatnonzero(deleted)
-    g, n = gram[some], deleted[some].astype(float)
-    context = g // CLASSES
-    part = np.empty((len(g), ORDER + 2))
-    part[:, 0] = 1 / CLASSES
-    for k, (o, t) in enumerate(zip(orders, totals)):
-        at = context % _SCALE[k]
-        part[:, k + 1] = o[at, g % CLASSES] / np.maximum(t[at], 1)
-    own = bucket[context]
-    weight = np.full((41, ORDER + 2), 1 / (ORDER + 2))
-    for _ in range(ROUNDS):
-        share = part * weight[own]
-        share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        new = np.zeros_like(weight)
-        np.add.at(new, own, share)
-        new += 1e-3  # a bucket without held-out counts keeps an even mixture
-        weight = new / new.sum(axis=1, keepdims=True)
-    out = np.full((_SCALE[ORDER], CLASSES), 1 / CLASSES) * weight[bucket, 0][:, None]
-    missing = np.zeros(_SCALE[ORDER])
-    for k, (o, t) in enumerate(zip(orders, totals)):
-        ml = o / np.maximum(t, 1)[:, None]
-        w = weight[bucket, k + 1]
-        tile = _SCALE[ORDER] // _SCALE[k]
-        out += np.tile(ml, (tile, 1)) * w[:, None]
-        missing += np.where(np.tile(t, tile) > 0, 0, w)
-    out += missing[:, None] / CLASSES  # the weight of an unseen context goes to the uniform part
-    return np.log10(out).astype(np.float32).ravel()
+            low = LOWER[data].astype(np.int64)
+            start, end, _ = words(LOWER[data], off)
+            if len(start):
+                inner = ~IS_SPACE[data]
+                inner[start] = False
+                at = np.flatnonzero(inner)
+                add(low[at - 1], low[at])
+                add(np.full(len(start), BORDER), low[start])
+                add(low[end - 1], np.full(len(end), BORDER))
+            total[BORDER * 257 + BORDER] += batch.num_rows
+        some = np.flatnonzero(total)
+        for a in range(0, len(some), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a : a + (1 << 16)]), pa.array(total[some[a : a + (1 << 16)]])], ["pair", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(257 * 257)
+    count[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return count.reshape(257, 257)
+
+
+def chain(count: np.ndarray) -> np.ndarray:
+    """log10 P(byte | byte before), half a count added to each."""
+    return np.log10((count + 0.5) / (count + 0.5).sum(axis=1, keepdims=True))
+
+
+def spelling(low: np.ndarray, start: np.ndarray, end: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """log10 probability of each word's bytes and the border after it."""
+    if not len(start):
+        return np.zeros(0)
+    value = np.zeros(len(low))
+    value[1:] = log_p[low[:-1], low[1:]]
+    value[start] = log_p[BORDER, low[start]]
+    total = np.concatenate([[0.0], np.cumsum(value)])
+    return total[end] - total[start] + log_p[low[end - 1], BORDER]
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Learn from (text, fold): log10 P(class | history), log10 of the classes' counts; the gathered table has at most CLASSES ** (ORDER + 1) rows."""
-    rows = _gram_counts(docs).toArrow()
-    gram, kept, deleted = (rows[k].to_numpy() for k in ("gram", "kept", "deleted"))
-    count = np.bincount(gram % CLASSES, weights=kept + deleted, minlength=CLASSES)
-    return learn(gram, kept, deleted), np.log10(np.maximum(count, 1))
+# blocks, requests and answers
 
 
-_BLOCKS = "block long, doc_id array<long>, held array<boolean>, n array<int>, score array<double>, ids binary, words binary, counts binary, classes binary"
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, one at a time."""
+    names = batch.schema.names
+    for k in range(batch.num_rows):
+        yield {x: batch.column(i)[k].as_py() for i, x in enumerate(names)}
 
 
-def _blocks(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Blocks of scored documents (doc_id, text, fold), with the distinct words' hashes and training counts, and the documents as word numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["block", "doc_id", "held", "n", "score", "ids", "words", "counts", "classes"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.float64()), *[pa.binary()] * 4]
+_BLOCK = "block long, role int, doc_id array<long>, n array<int>, size long, n_words int, n_pairs int, ids binary, words binary, spelled binary"
+
+
+def pairs_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The hash of each token with the one before; the end stands before a document."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first] = _END
+    return mix(mix(before ^ _PAIR) + h)
+
+
+def _blocks(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
+    """Blocks of documents (doc_id, text, fold) of one role each: numbers of words in the sorted table of the block's words."""
+    shared = docs.sparkSession.sparkContext.broadcast(log_p)
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
 
     def run(batches):
-        log_p = shared.value[0]
         task, serial = TaskContext.get().partitionId(), 0
-        hashes: list[np.ndarray] = []
-        classes: list[np.ndarray] = []
-        ids, held, n, score, size = [], [], [], [], 0
-
-        def block():
-            h, place, inverse = np.unique(np.concatenate(hashes).view(np.int64), return_index=True, return_inverse=True)
-            count = np.concatenate([x for x in n])
-            train = np.repeat(~np.concatenate(held), count)
-            c = np.bincount(inverse[train], minlength=len(h)).astype(np.int32)
-            row = [(task << 24) + serial, [x for y in ids for x in y], np.concatenate(held).tolist(), count.tolist(), np.concatenate(score).tolist(), pa.compress(inverse.astype(np.uint32).tobytes(), codec="zstd", asbytes=True), h.tobytes(), c.tobytes(), np.concatenate(classes)[place].tobytes()]
+        open_: list[list[tuple]] = [[], [], []]
+
+        def block(role):
+            nonlocal serial
+            ids, n, hashes, spell = zip(*open_[role])
+            h, n = np.concatenate(hashes), np.concatenate(n)
+            own, place, ids_ = np.unique(h, return_index=True, return_inverse=True)
+            pairs = len(np.unique(pairs_of(h, np.cumsum(n) - n)))
+            row = [(task << 24) + serial, role, [x for y in ids for x in y], n, len(h), len(own), pairs, pack(ids_.astype(np.uint32)), pack_sorted(own), np.concatenate(spell)[place].tobytes() if role == SCORED else None]
+            serial += 1
+            open_[role] = []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
 
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
             low = LOWER[data]
             start, end, doc = words(low, off)
-            docs_ = len(off) - 1
-            c, at, inner = _stream(low, start, end, doc, docs_)
-            score.append(np.add.reduceat(log_p[_keys(c, at)], at[:-1], dtype=np.float64))
-            count = np.diff(at)
-            h = np.full(len(c), _END, np.uint64)
+            n = np.bincount(doc, minlength=batch.num_rows) + 1
+            inner = np.ones(int(n.sum()), bool)
+            inner[np.cumsum(n) - 1] = False
+            h = np.full(len(inner), _END, np.uint64)
             h[inner] = span_hashes(low, start, end)
-            hashes.append(h)
-            classes.append(c)
-            n.append(count)
-            ids.append(column(batch, "doc_id").to_pylist())
-            held.append(column(batch, "fold").fill_null(-1).to_numpy(zero_copy_only=False) == HELD_OUT)
-            size += len(h)
-            if size >= BLOCK:
-                yield block()
-                serial += 1
-                hashes, classes, ids, held, n, score, size = [], [], [], [], [], [], 0
-        if size:
-            yield block()
-
-    return docs.select("doc_id", "text", "fold").mapInArrow(run, _BLOCKS)
+            fold = column(batch, "fold").fill_null(-1).to_numpy(zero_copy_only=False)
+            roles = np.where(fold == HELD_OUT, SCORED, np.where(fold == DELETED, LEFT, KEPT))
+            spell = np.zeros(0)
+            if (roles == SCORED).any():
+                spell = np.full(len(inner), shared.value[BORDER, BORDER], np.float32)
+                spell[inner] = spelling(low, start, end, shared.value)
+            ids = np.array(column(batch, "doc_id").to_pylist(), object)
+            each = np.repeat(roles, n)
+            for role in np.unique(roles).tolist():
+                open_[role].append((ids[roles == role].tolist(), n[roles == role], h[each == role], spell[each == role] if role == SCORED else spell))
+                if sum(len(x[2]) for x in open_[role]) >= BLOCK:
+                    yield block(role)
+        for role in (KEPT, LEFT, SCORED):
+            if open_[role]:
+                yield block(role)
+
+    return docs.select("doc_id", "text", "fold").mapInArrow(run, _BLOCK)
+
+
+class Block:
+    """A block's tokens: hashes, the tables of its words and pairs, and each token's number in both."""
+
+    def __init__(self, n: list, n_words: int, ids: bytes, words_: bytes):
+        self.n = np.array(n, np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        self.words = unpack_sorted(words_, n_words)
+        self.word = unpack(ids, int(self.n.sum()), np.uint32)
+        self.pairs, self.pair = np.unique(pairs_of(self.words[self.word], self.first), return_inverse=True)
+
+
+def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
+    """(range, order, block, role, size, keys, counts): each block's distinct words (1) and pairs (2) by ranges of their hashes."""
+    names = ["range", "order", "block", "role", "size", "keys", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                b = Block(row["n"], row["n_words"], row["ids"], row["words"])
+                for order, (keys, place) in enumerate(((b.words, b.word), (b.pairs, b.pair)), 1):
+                    count = np.bincount(place, minlength=len(keys)).astype(np.uint32)
+                    at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                    rows = [(k, order, row["block"], row["role"], y - x, pack_sorted(keys[x:y]), None if row["role"] == SCORED else pack(count[x:y])) for k, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
+
+    return blocks.select("block", "role", "n", "n_words", "ids", "words").mapInArrow(run, "range long, order int, block long, role int, size int, keys binary, counts binary")
+
+
+_ANSWER = "block long, order int, range long, size int, counts binary, kept binary, distinct long"
+
+
+def _answers(requests: DataFrame, ranges: int) -> DataFrame:
+    """The corpus counts of each request's keys, in their order, and for blocks that are left out those without them; distinct: new words of a range."""
+    names = [x.split()[0] for x in _ANSWER.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+
+    def answer(at, asked):
+        keys = [unpack_sorted(r["keys"], r["size"]) for r in asked]
+        own, place = np.unique(np.concatenate(keys), return_inverse=True)
+        edges = np.cumsum([0, *map(len, keys)])
+        every, kept = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for k, r in enumerate(asked):
+            if r["role"] != SCORED:
+                here, count = place[edges[k] : edges[k + 1]], unpack(r["counts"], r["size"], np.uint32)
+                every[here] += count
+                if r["role"] == KEPT:
+                    kept[here] += count
+        rows = []
+        for k, r in enumerate(asked):
+            here = place[edges[k] : edges[k + 1]]
+            rows.append((r["block"], at[1], at[0], r["size"], pack(every[here]), pack(kept[here]) if r["role"] == LEFT else None, 0 if k else int((every > 0).sum())))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-def _spread(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): the distinct words of each block and their training counts in it."""
+    def run(batches):
+        at, asked = None, []
+        for batch in batches:
+            for r in _rows(batch):
+                if (now := (r["range"], r["order"])) != at:
+                    if asked:
+                        yield answer(at, asked)
+                    at, asked = now, []
+                asked.append(r)
+        if asked:
+            yield answer(at, asked)
+
+    return requests.repartition(ranges, "range").sortWithinPartitions("range", "order").mapInArrow(run, _ANSWER)
+
+
+def _met(blocks: DataFrame, answers: DataFrame, handle, schema: str) -> DataFrame:
+    """handle(row of _BLOCK, Block, counts by order, counts without the left out by order) for each block with its answers."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(x) for x in names]
+    body = [x.split()[0] for x in _BLOCK.split(", ")][1:]
+    left = blocks.select("block", F.lit(0).alias("order"), F.lit(0).cast("long").alias("range"), *body, *none("binary", "counts", "kept"))
+    empty = [F.lit(None).cast(blocks.schema[x].dataType).alias(x) for x in body if x != "size"]
+    right = answers.select("block", "order", "range", F.col("size").cast("long").alias("size"), *empty, "counts", "kept").select(left.columns)
 
     def run(batches):
+        row, parts = None, {}
+
+        def done():
+            b = Block(row["n"], row["n_words"], row["ids"], row["words"])
+            full = {k: np.concatenate(v) if v else None for k, v in parts.items()}
+            if len(full[1, "counts"]) != len(b.words) or len(full[2, "counts"]) != len(b.pairs):
+                raise RuntimeError("answers don't fit their block")
+            return handle(row, b, [full[k, "counts"] for k in (1, 2)], [full.get((k, "kept")) for k in (1, 2)])
+
         for batch in batches:
-            for block, h, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                h, c = np.frombuffer(h, np.int64), np.frombuffer(c, np.int32)
-                for a in range(0, len(h), 1 << 17):
-                    part = slice(a, a + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h[part]), block, np.int64)), pa.array(h[part]), pa.array(c[part])], ["block", "word", "n"])
+            for r in _rows(batch):
+                if not r["order"]:
+                    if row is not None:
+                        yield from done()
+                    row, parts = r, {}
+                else:
+                    for kind in ("counts", "kept"):
+                        if r[kind] is not None:
+                            parts.setdefault((r["order"], kind), []).append(unpack(r[kind], r["size"], np.int64))
+        if row is not None:
+            yield from done()
 
-    return blocks.select("block", "words", "counts").mapInArrow(run, "block long, word long, n int")
+    return left.unionByName(right).repartition("block").sortWithinPartitions("block", "order", "range").mapInArrow(run, schema)
 
 
-def _gathered(counted: DataFrame) -> DataFrame:
-    """(block, counts, distinct, once): the corpus counts of each block's words, in order of their hashes; how many words (and words that occur once) it stands for."""
+# the mixture
 
-    def run(batches):
-        block, parts, lead_, once_ = None, [], 0, 0
-        row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block, np.concatenate(parts).tobytes(), lead_, once_), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["block", "counts", "distinct", "once"])
-        for batch in batches:
-            own = column(batch, "block").to_numpy()
-            c, lead = column(batch, "c").to_numpy(), column(batch, "lead").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.diff(own)) + 1
-            for a, b in zip([0, *edges], [*edges, len(own)]):
-                if a == b:
-                    continue
-                if block is not None and own[a] != block:
-                    yield row()
-                    parts, lead_, once_ = [], 0, 0
-                block = int(own[a])
-                parts.append(c[a:b].copy())
-                lead_ += int(lead[a:b].sum())
-                once_ += int((lead[a:b] & (c[a:b] == 1)).sum())
-        if parts:
-            yield row()
-
-    return counted.repartition("block").sortWithinPartitions("block", "word").mapInArrow(run, "block long, counts binary, distinct long, once long")
-
-
-def _base(blocks: DataFrame, class_logs: np.ndarray) -> DataFrame:
-    """Blocks with their words' counts: a row for each document, and one of sums for each block."""
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "distinct", "once", "total"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda name: column(batch, name)[k].as_py()  # noqa: B023, E731
-                n = np.array(get("n"), np.int64)
-                ids = np.frombuffer(pa.decompress(get("ids"), int(n.sum()) * 4, codec="zstd"), np.uint32)
-                c = np.frombuffer(get("c"), np.int64)
-                own = class_logs[np.frombuffer(get("classes"), np.uint8)]
-                first = np.cumsum(n) - n
-                sums = [np.add.reduceat(x[ids], first) for x in (np.log10(c + 1.0), (c > 0).astype(np.int64), np.where(c > 0, np.log10(np.maximum(c, 1)) - own, 0.0))]
-                held, void = get("held"), [None] * len(n)
-                columns = [get("doc_id"), held, n, sums[1], sums[0], np.array(get("score")) + sums[2], void, void, void]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
-                totals = [get("distinct"), get("once"), int(n[~np.array(held)].sum())]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([None] * 6 + totals, kinds)], names)
-
-    return blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, distinct long, once long, total long")
+def bucket(context: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(context + 1.0).astype(np.int64), BUCKETS - 1)
+
+
+def estimates(b: Block, counts: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token: the bucket of its context, the estimate from its pair, and that from the word alone."""
+    own = counts[0][b.word]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    end = np.searchsorted(b.words, _END)
+    before[b.first] = counts[0][end]
+    return bucket(before), counts[1][b.pair] / np.maximum(before, 1), own / max(total, 1)
+
+
+def _step(f: np.ndarray) -> np.ndarray:
+    """Estimates in steps, 1 for one, more for less; 0 for zero."""
+    with np.errstate(divide="ignore"):
+        return np.where(f > 0, 1 + np.rint(-np.log2(np.where(f > 0, f, 1)) * STEPS), 0).astype(np.int64)
+
+
+def _held_counts(blocks: DataFrame, answers: DataFrame, total: int) -> DataFrame:
+    """(bucket, pair, word, n): how many left-out tokens have a context of the bucket and estimates of these steps: a bounded table."""
+
+    def handle(row, b, counts, kept):
+        at, f2, f1 = estimates(b, kept, total)
+        key, n = _tally(at, _step(f2), _step(f1))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in key), pa.array(n)], ["bucket", "pair", "word", "n"])
+
+    found = _met(blocks.where(f"role = {LEFT}"), answers.where("kept is not null"), handle, "bucket long, pair long, word long, n long")
+    return found.groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n"))
+
+
+def _tally(*parts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    code, n = np.unique((parts[0] << 32) + (parts[1] << 16) + parts[2], return_counts=True)
+    return [code >> 32, code >> 16 & 0xFFFF, code & 0xFFFF], n
+
+
+def learn(at: np.ndarray, pair: np.ndarray, word: np.ndarray, n: np.ndarray, uniform: float, trained: bool = True) -> np.ndarray:
+    """[bucket, (uniform, word, pair)] weights by expectation-maximisation; a bucket without held-out tokens keeps an even mixture.
+
+    Contexts never seen (bucket 0) have no pairs, and without training there are no words: those weights are zero.
+    """
+    value = lambda step: np.where(step > 0, 2.0 ** (-(step - 1) / STEPS), 0.0)
+    part = np.stack([np.full(len(at), uniform), value(word), value(pair)], axis=1)
+    allowed = np.ones((BUCKETS, 3))
+    allowed[0, 2] = 0
+    if not trained:
+        allowed[:, 1:] = 0
+    weight = allowed / allowed.sum(axis=1, keepdims=True)
+    for _ in range(ROUNDS):
+        share = part * weight[at]
+        share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+        new = np.zeros_like(weight)
+        np.add.at(new, at, share)
+        new = (new + 1e-3) * allowed
+        weight = new / new.sum(axis=1, keepdims=True)
+    return weight
+
+
+def _scores(blocks: DataFrame, answers: DataFrame, weight: np.ndarray, total: int, distinct: int) -> DataFrame:
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def handle(row, b, counts, kept):
+        at, f2, f1 = estimates(b, counts, total)
+        own = counts[0][b.word]
+        uniform = weight[at, 0] / (distinct + 1)
+        spelled = np.frombuffer(row["spelled"], np.float32)[b.word] if row["spelled"] is not None else np.zeros(len(own))
+        with np.errstate(divide="ignore"):
+            logs = np.where(own > 0, np.log10(weight[at, 2] * f2 + weight[at, 1] * f1 + uniform), np.log10(uniform) + spelled)
+        add = lambda x: np.add.reduceat(x, b.first)
+        base = add(np.log10(own + 1.0)) - b.n * np.log10(total + distinct + 1.0)
+        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(np.full(len(b.n), row["role"] == SCORED)), pa.array(b.n), pa.array(add((own > 0).astype(np.int64))), pa.array(base), pa.array(add(logs))]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+    return _met(blocks, answers, handle, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Score (doc_id, text); training rows are those out of fold HELD_OUT of MOD."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", crc_fold(F.col("doc_id"), MOD).cast("int").alias("fold"))
-    model = fit(docs.where(F.coalesce(F.col("fold") != HELD_OUT, F.lit(True))))
-    blocks = cut(_blocks(docs, model), "blocks")
-    same = Window.partitionBy("word")
-    counted = _spread(blocks).select("block", "word", F.sum("n").over(same).alias("c"), (F.col("block") == F.min("block").over(same)).alias("lead"))
-    counts = _gathered(counted.select("block", "word", "c", (F.col("lead") & (F.col("c") > 0)).alias("lead")))
-    joined = blocks.select("block", "doc_id", "held", "n", "score", "ids", "classes").join(counts.withColumnRenamed("counts", "c"), "block")
-    found = cut(_base(joined, model[1]), "scores")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    sums = found.agg(total("distinct"), total("once"), total("total")).first()
-    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(sums.total + sums.distinct + 1)))
-    new = max(sums.once, 1) / max(sums.total, 1)
-    word = F.col("n_known") * F.lit(float(np.log10(max(1 - new, 1e-9)))) + (F.col("n_tokens") - F.col("n_known")) * F.lit(float(np.log10(new)))
-    return found.where("n_tokens is not null").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums.total)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + word).alias("score"))
+    log_p = chain(_spelling_counts(docs.where(F.coalesce(F.col("fold") != HELD_OUT, F.lit(True)))))
+    blocks = cut(_blocks(docs, log_p), "blocks")
+    of = lambda roles: F.coalesce(F.sum(F.when(F.col("role").isin(*roles), F.col("size"))), F.lit(0))
+    sums = blocks.agg(of((KEPT,)).alias("kept"), of((KEPT, LEFT)).alias("train"), F.coalesce(F.sum(F.col("n_words") + F.col("n_pairs")), F.lit(0)).alias("asked")).first()
+    ranges = max(1, -(-sums.asked // RANGE))
+    answers = cut(_answers(_requests(blocks, ranges), ranges), "answers")
+    distinct = answers.where("order = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first().v
+    held = _held_counts(blocks, answers, sums.kept).toArrow()
+    weight = learn(*(held[k].to_numpy() for k in ("bucket", "pair", "word", "n")), 1 / (distinct + 1), sums.train > 0)
+    found = cut(_scores(blocks, answers, weight, sums.train, distinct), "scores")
+    release(blocks, answers)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sums.train)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

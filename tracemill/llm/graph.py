@@ -28,6 +28,8 @@ BROADCAST_IDS = 2_000_000
 FLUSH = 1 << 19
 #: A block of a bucket has about so many members, or bytes; a product of two blocks takes so many values at once.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
+#: Blocks of so many members are compared pair by pair.
+FEW = 12
 #: route: where a row is sent; key: null for a bucket's least member in a task, route if it has others there, else the bucket of another member.
 ROUTE_SCHEMA = "route long, id long, key long"
 
@@ -198,23 +200,45 @@ def _linked(tile: list[tuple[int, int, bytes]], one: bool, elements: Callable[[b
     if (x[0] == x).all() and (x[0] == y).all():
         return []
     sets = [elements(blob) for *_, blob in left]
+    if len(left) <= FEW and len(right) <= FEW:
+        return _few(x, sets, *((x, sets) if one else (y, [elements(blob) for *_, blob in right])), one, threshold)
     good = alike(sets, sets if one else [elements(blob) for *_, blob in right], threshold) & (x[:, None] != y)
     i, j = np.nonzero(good)
     links = np.unique(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])], axis=1), axis=0)
-    up: dict[int, int] = {}
+    join = _Joined()
+    return [(v, w) for v, w in links.tolist() if join(v, w)]
 
-    def top(v: int) -> int:
+
+class _Joined:
+    """Union-find of a tile's roots: a call joins two, and says whether they weren't joined yet."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, v: int) -> int:
+        up = self.up
         while up.setdefault(v, v) != v:
             up[v] = up[up[v]]
             v = up[v]
         return v
 
-    out = []
-    for v, w in links.tolist():
-        p, q = top(v), top(w)
+    def __call__(self, v: int, w: int) -> bool:
+        p, q = self.top(v), self.top(w)
         if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append((v, w))
+            self.up[max(p, q)] = min(p, q)
+        return p != q
+
+
+def _few(x: np.ndarray, left: list[np.ndarray], y: np.ndarray, right: list[np.ndarray], one: bool, threshold: float) -> list[tuple[int, int]]:
+    """What _linked gives, pair by pair: for small tiles this is faster than products of matrices."""
+    join, out = _Joined(), []
+    v, w = x.tolist(), y.tolist()
+    for i, a in enumerate(left):
+        for j in range(i + 1 if one else 0, len(right)):
+            b = right[j]
+            if min(len(a), len(b)) >= (threshold - 1e-9) * max(len(a), len(b)) and join.top(v[i]) != join.top(w[j]) and jaccard(a, b) >= threshold - 1e-12:
+                join(v[i], w[j])
+                out.append((min(v[i], w[j]), max(v[i], w[j])))
     return out
 
 

@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import IS_SPACE, LOWER, column, cut, flat, mix, pieces, row_key, span_hashes, table, words
+from .common import column, cut, mix, pieces, row_key, table
 
 Q = 8
 BANDS, ROWS = 16, 4
@@ -35,39 +36,25 @@ BLOCK = 1 << 15
 #: Copies' places are sent to all tasks up to so many numbers (16 MB); beyond, texts are joined with them by a shuffle.
 BROADCAST_LINES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_ADD = (mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32)
-
-
-def split(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of all lines (each with its line end), the document of each, and its number in the document."""
-    ends = np.flatnonzero(data == 10) + 1
-    size = np.diff(off)
-    line_off = np.unique(np.concatenate([off, ends]))
-    doc = np.searchsorted(off, line_off[:-1], "right") - 1
-    first = np.searchsorted(line_off, off[:-1])
-    return line_off, doc, np.arange(len(doc)) - first[doc] if len(size) else doc
-
-
-def nodes(data: np.ndarray, line_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each line's words (0: blank), and all lines' words with single spaces, with offsets."""
-    low = LOWER[data]
-    start, end, line = words(low, line_off)
-    h = span_hashes(low, start, end)
-    n = np.bincount(line, minlength=len(line_off) - 1)
-    first = np.cumsum(n) - n
-    node = np.zeros(len(n), np.uint64)
-    some = n > 0
-    if some.any():
-        place = (np.arange(len(h)) - first[line]).astype(np.uint64)
-        node[some] = mix(np.add.reduceat(mix(h + place * _STEP), first[some]) ^ n[some].astype(np.uint64)) | np.uint64(1)
-    keep = ~IS_SPACE[low] if len(low) else np.zeros(0, bool)
-    if len(line) > 1:
-        keep[end[:-1][line[1:] == line[:-1]]] = True
-    at = np.flatnonzero(keep)
-    body = low[at]
-    body[IS_SPACE[body]] = 32
-    return node, body, np.searchsorted(at, line_off)
+#: A random order of the shingles for each two hashes: the first and the last of a line's shingles in it.
+_ODD = (mix(np.arange(1, BANDS * ROWS // 2 + 1, dtype=np.uint64) * _STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def plain_lines(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of each non-blank line of column text, in lower case with single spaces; the line's row, and its number there."""
+    line, row, number = [], [], []
+    for r, text in enumerate(column(batch, "text").cast(pa.large_binary()).to_pylist()):
+        if text:
+            for k, part in enumerate(text.lower().split(b"\n")):
+                if kept := part.split():
+                    line.append(b" ".join(kept))
+                    row.append(r)
+                    number.append(k)
+    return line, np.array(row, np.int64), np.array(number, np.int32)
+
+
+def nodes(line: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, line), np.uint64, len(line))
 
 
 def grams(body: np.ndarray) -> np.ndarray:
@@ -90,13 +77,12 @@ def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarra
             every = every[np.repeat(first[lo:hi] - first[lo] - at, n) + np.arange(int(n.sum()))]
         x = (mix(every) >> np.uint64(32)).astype(np.uint32)
         y = np.empty_like(x)
-        key = np.empty(hi - lo, np.uint64)
         for j in range(BANDS):
-            key[:] = np.uint64(j + 1) * _STEP
-            for i in range(j * ROWS, (j + 1) * ROWS):
+            key = np.full(hi - lo, np.uint64(j + 1) * _STEP)
+            for i in range(j * ROWS // 2, (j + 1) * ROWS // 2):
                 np.multiply(x, _ODD[i], out=y)
-                np.add(y, _ADD[i], out=y)
                 key = mix(key ^ np.minimum.reduceat(y, at).astype(np.uint64))
+                key = mix(key ^ np.maximum.reduceat(y, at).astype(np.uint64))
             keys[lo:hi, j] = key
     return keys
 
@@ -106,30 +92,33 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            data, off = flat(column(batch, "text"))
-            line_off, doc, number = split(data, off)
-            node = nodes(data, line_off)[0]
-            some = np.flatnonzero(node)
-            own = pa.array(doc[some])
-            of = np.bincount(doc[some], minlength=batch.num_rows)[doc[some]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(own), column(batch, "row").take(own), pa.array(number[some].astype(np.int32)), pa.array(node[some].view(np.int64)), pa.array(of)], ["doc_id", "row", "line", "node", "of"])
+            line, row, number = plain_lines(batch)
+            own = pa.array(row)
+            of = np.bincount(row, minlength=batch.num_rows)[row].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(own), column(batch, "row").take(own), pa.array(number), pa.array(nodes(line).view(np.int64)), pa.array(of)], ["doc_id", "row", "line", "node", "of"])
 
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, node long, of int")
 
 
+def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct nodes of a batch's lines, and their words."""
+    line = plain_lines(batch)[0]
+    own, once = np.unique(nodes(line), return_index=True)
+    return own, [line[k] for k in once.tolist()]
+
+
 def _links(docs: DataFrame) -> DataFrame:
     """What Buckets yields for the bands of all lines of Q bytes or more; not kept, it goes straight to a shuffle."""
 
     def run(batches):
         buckets = graph.Buckets()
         for batch in pieces(batches):
-            data, off = flat(column(batch, "text"))
-            node, body, at = nodes(data, split(data, off)[0])
-            own, once = np.unique(node, return_index=True)
-            fit = np.sort(once[own > 0])
-            fit = fit[np.diff(at)[fit] >= Q]
+            node, line = _distinct(batch)
+            size = np.array([len(x) for x in line], np.int64)
+            fit = np.flatnonzero(size >= Q)
             if len(fit):
-                yield from buckets.add(band_keys(body, at, fit).ravel(), np.repeat(node[fit], BANDS))
+                body = np.frombuffer(b"".join(line), np.uint8)
+                yield from buckets.add(band_keys(body, np.concatenate([[0], np.cumsum(size)]), fit).ravel(), np.repeat(node[fit], BANDS))
         yield from buckets.flush()
 
     return docs.select("text").mapInArrow(run, graph.ROUTE_SCHEMA)
@@ -140,13 +129,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            data, off = flat(column(batch, "text"))
-            node, body, at = nodes(data, split(data, off)[0])
-            own, once = np.unique(node, return_index=True)
-            once = once[own > 0]
-            if len(once):
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(node), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(body))]).take(pa.array(once)).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(node[once].view(np.int64)), blobs], ["node", "blob"])
+            node, line = _distinct(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(line, pa.binary())], ["node", "blob"])
 
     return docs.select("text").mapInArrow(run, "node long, blob binary")
 

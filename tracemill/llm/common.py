@@ -156,25 +156,3 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as numbers in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-#: 50 classes of bytes: a letter each, space, end, digits, full stop, comma, other ASCII, lead bytes, continuation bytes by four.
-CLASSES = 50
-SPACE_CLASS, END_CLASS = 26, 27
-
-
-def byte_classes() -> tuple[np.ndarray, np.ndarray]:
-    """The class of each byte (A-Z as a-z), and the number of bytes in each class."""
-    c = np.full(256, 31, np.uint8)
-    c[97:123] = np.arange(26)
-    c[65:91] = np.arange(26)
-    c[[32, 9, 10, 11, 12, 13]] = SPACE_CLASS
-    c[48:58] = 28
-    c[46], c[44] = 29, 30
-    c[192:256] = 33
-    c[195] = 32
-    c[128:192] = 34 + (np.arange(64) >> 2)
-    size = np.bincount(c, minlength=CLASSES)
-    size[:26] = 1
-    size[SPACE_CLASS] = size[END_CLASS] = 1
-    return c, np.maximum(size, 1)

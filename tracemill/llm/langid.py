@@ -4,17 +4,17 @@ One variable-order context tree for each language: for each context of up to
 ``ORDER`` bytes the counts of the bytes that followed it, and an escape with
 probability distinct / (total + distinct) to the next shorter context, whose
 bytes already offered are excluded. The statistics are frozen after training, so
-the code length of every (context, byte) is computed once, exactly, and a text's
-code length is a sum of table entries. Bytes are taken in 50 classes (letters
-case-folded); a byte costs its class and then log2 of the class's size, so the
-lengths are those of a complete code over bytes.
+the code length of every byte seen after a context, and the cost of the escape of every context, are
+computed once, exactly; a text's code length is a sum of what its bytes' longest known contexts say.
+A byte is itself, but A-Z are a-z and white space is space; a text starts after spaces.
 
 Texts without a letter, and null texts, are ``und`` with score 0. A text is given
 the language with the shortest code (ties: the first by name); its score is the
-posterior of that language at equal priors, with the code lengths scaled to at
-most ``EVIDENCE`` bytes so that long texts don't all saturate. The model is
+posterior of that language at equal priors, 2 to the code lengths. The model is
 fitted on at most about ``SAMPLE`` documents of each language, chosen by a hash
-of the id; every document is predicted. With no labelled row every text is ``und``.
+of the id; every document is predicted, whole. A language's tables hold what its sample has seen: about 12 bytes for each
+four bytes that are new, whatever the number of languages. With no labelled row every text is ``und``.
+Repeated rows are predicted each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,37 +25,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CLASSES, SPACE_CLASS, byte_classes, column, flat, in_fold, pieces, table
+from .common import IS_SPACE, LOWER, column, flat, in_fold, pieces, table
 
 ORDER = 3
-#: Above this many languages the tables have contexts of two bytes, to stay under 0.5 GB.
-WIDE = 16
 SAMPLE = 3000
-EVIDENCE = 48
 #: The pipeline rejects texts that need more bits a byte than this under every language; random bytes need 8.
 MOST_BITS = 6.0
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
+_FOLD = np.where(IS_SPACE, np.uint8(32), LOWER)
+_VOID = np.uint32(0xFFFFFFFF)  # no text holds four such bytes
 
 
-def _grams(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte, the number made of its class and those of the order bytes before it (space before the start); its document."""
-    classes, _ = byte_classes()
-    c = classes[data].astype(np.int32)
-    size = np.diff(off)
-    doc = np.repeat(np.arange(len(size)), size)
-    at = np.arange(len(data)) - off[:-1][doc] if len(data) else np.zeros(0, np.int64)
-    key, scale = c.copy(), 1
-    for k in range(1, order + 1):
-        scale *= CLASSES
-        before = np.full(len(c), SPACE_CLASS, np.int32)
+def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each byte, it and the ORDER bytes before it as one number (the byte last); spaces stand before a document."""
+    c = _FOLD[data].astype(np.uint32)
+    key = c.copy()
+    for k in range(1, ORDER + 1):
+        before = np.full(len(c), 32, np.uint32)
         before[k:] = c[:-k] if k < len(c) else c[:0]
-        before[at < k] = SPACE_CLASS
-        key += before * np.int32(scale)
-    return key, doc
+        for j in range(k):
+            at = off[:-1] + j
+            before[at[at < off[1:]]] = 32
+        key |= before << np.uint32(8 * k)
+    return key
 
 
-def _counts(docs: DataFrame, order: int) -> DataFrame:
+def _counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n) of all given documents; summed over each piece of a batch before the shuffle."""
 
     def run(batches):
@@ -63,75 +59,107 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
             langs = column(batch, "lang")
             for lang in pc.unique(langs).to_pylist():
                 own = batch.filter(pc.equal(langs, lang))
-                gram, n = np.unique(_grams(*flat(column(own, "text")), order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                gram, n = np.unique(_grams(*flat(column(own, "text"))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _ppm(n: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Probabilities [context, class] from counts: own share, and an escape to below among the classes not seen."""
-    total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-    free = np.where(n > 0, 0, below).sum(axis=1, keepdims=True)
-    full = free <= 1e-12  # nothing left to escape to
-    scale = np.maximum(np.where(full, total, total + kinds), 1)
-    escaped = np.where(full, 0, kinds / scale * below / np.where(full, 1, free))
-    return np.where(total > 0, np.where(n > 0, n / scale, escaped), below)
-
-
-def code_table(gram: np.ndarray, n: np.ndarray, contexts: np.ndarray, order: int) -> np.ndarray:
-    """Bits of each class after every context of order - 1 classes, then after each of the given contexts of order classes."""
-    _, size = byte_classes()
-    prob = np.full((1, CLASSES), 1.0 / CLASSES)
-    for k in range(order):
-        count = np.bincount(gram % CLASSES ** (k + 1), weights=n, minlength=CLASSES ** (k + 1)).reshape(-1, CLASSES)
-        prob = _ppm(count, np.tile(prob, (CLASSES, 1)) if k else prob)
-    count = np.zeros((len(contexts), CLASSES))
-    np.add.at(count, (np.searchsorted(contexts, gram // CLASSES), gram % CLASSES), n)
-    deep = _ppm(count, prob[contexts % CLASSES ** (order - 1)])
-    return (-np.log2(np.maximum(np.concatenate([prob, deep]), 1e-30)) + np.log2(size)).astype(np.float32)
+class Lookup:
+    """Values by 32-bit keys, in a table of slots with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        slot = self.slot(keys)
+        order = np.argsort(slot, kind="stable")
+        place = np.arange(len(keys))
+        at = np.maximum.accumulate(slot[order] - place) + place if len(keys) else place
+        self.keys = np.full((1 << self.bits) + len(keys) + 1, _VOID)
+        self.values = np.zeros(len(self.keys), np.float32)
+        self.keys[at], self.values[at] = keys[order], values[order]
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values (0 where there is none), and where there is one."""
+        at = self.slot(keys)
+        found = self.keys[at]
+        hit = found == keys
+        live = np.flatnonzero(~hit & (found != _VOID))
+        while len(live):
+            at[live] += 1
+            found = self.keys[at[live]]
+            good = found == keys[live]
+            hit[live[good]] = True
+            live = live[~good & (found != _VOID)]
+        return np.where(hit, self.values[at], np.float32(0)), hit
+
+
+class Tree:
+    """The frozen code lengths of one language, from the counts of its grams of ORDER + 1 bytes."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.seen: list[Lookup] = []
+        self.escape: list[Lookup] = []
+        for k in range(ORDER + 1):
+            keys, place = np.unique(gram & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(place, weights=n)
+            context, owner = np.unique(keys >> np.uint32(8), return_inverse=True)
+            total, kinds = np.bincount(owner, weights=count), np.bincount(owner).astype(float)
+            free = 1 - np.bincount(owner, weights=2.0 ** -self.bits(keys, k).astype(float))
+            full = free <= 1e-9  # nothing left to escape to
+            scale = np.where(full, total, total + kinds)
+            self.seen.append(Lookup(keys, -np.log2(count / scale[owner])))
+            self.escape.append(Lookup(context, np.where(full, 100.0, -np.log2(kinds / scale / np.where(full, 1, free)))))
+
+    def bits(self, key: np.ndarray, orders: int = ORDER + 1) -> np.ndarray:
+        """Bits of the last byte of each gram, by contexts shorter than orders bytes."""
+        out = np.zeros(len(key), np.float32)
+        live = np.arange(len(key))
+        for k in range(orders - 1, -1, -1):
+            own = key[live] & np.uint32((1 << 8 * (k + 1)) - 1)
+            value, hit = self.seen[k](own)
+            cost, _ = self.escape[k]((own >> np.uint32(8))[~hit])
+            out[live[hit]] += value[hit]
+            live = live[~hit]
+            out[live] += cost  # a context that was never seen costs nothing
+            if not len(live):
+                return out
+        out[live] += 8
+        return out
 
 
 class Model:
-    """Frozen code lengths: a row for each shorter context and for each full one seen in training; an unseen one has the row of its suffix."""
-
-    def __init__(self, langs: list[str], order: int, contexts: np.ndarray, bits: np.ndarray):
-        self.langs, self.order, self.contexts, self.bits = langs, order, contexts, bits
-
-    def rows(self) -> np.ndarray:
-        shorter = CLASSES ** (self.order - 1)
-        row = np.tile(np.arange(shorter, dtype=np.int32), CLASSES)
-        row[self.contexts] = shorter + np.arange(len(self.contexts), dtype=np.int32)
-        return row
+    def __init__(self, langs: list[str], trees: list[Tree]):
+        self.langs, self.trees = langs, trees
 
-    def lengths(self, data: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Bits of each document under each language."""
-        key, _ = _grams(data, off, self.order)
         out = np.zeros((len(off) - 1, len(self.langs)))
         some = np.flatnonzero(np.diff(off) > 0)
         if len(some):
-            context, last = np.divmod(key, CLASSES)
-            out[some] = np.add.reduceat(self.bits[rows[context] * CLASSES + last], off[some], axis=0, dtype=np.float64)
+            key = _grams(data, off)
+            for k, tree in enumerate(self.trees):
+                out[some, k] = np.add.reduceat(tree.bits(key), off[some], dtype=np.float64)
         return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on (doc_id, text, lang): about sample rows of each language, by a hash of the id."""
     docs = docs.where("lang is not null and text is not null")
     known = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(known)
-    order = min(order, 2) if len(langs) > WIDE else order
     if not langs:
-        return Model([], order, np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+        return Model([], [])
     spark = docs.sparkSession
     rate = spark.createDataFrame([(k, min(1.0, sample / n)) for k, n in known.items()], "lang string, rate double")
     picked = docs.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
-    rows = _counts(picked, order).toArrow()  # at most CLASSES ** (order + 1) rows for each language
+    rows = _counts(picked).toArrow()  # what the samples hold
     names = np.array(rows["lang"].to_pylist(), object)
-    gram, n = rows["gram"].to_numpy(), rows["n"].to_numpy().astype(float)
-    contexts = np.unique(gram // CLASSES)
-    bits = np.stack([code_table(gram[names == lang], n[names == lang], contexts, order) for lang in langs], axis=-1)
-    return Model(langs, order, contexts, bits.reshape(-1, len(langs)))
+    gram, n = rows["gram"].to_numpy().astype(np.uint32), rows["n"].to_numpy().astype(float)
+    langs = [x for x in langs if (names == x).any()]
+    return Model(langs, [Tree(gram[names == x], n[names == x]) for x in langs])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -142,7 +170,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        rows = own.rows()
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
             letter = pc.fill_null(pc.match_substring_regex(column(batch, "text"), _LETTER), False).to_numpy(zero_copy_only=False)
@@ -150,10 +177,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             names = np.full(len(size), UNKNOWN, object)
             score, rate = np.zeros(len(size)), np.zeros(len(size))
             if langs:
-                length = own.lengths(data, off, rows)
+                length = own.lengths(data, off)
                 best = length.argmin(axis=1)
-                scale = np.log(2) * np.minimum(size, EVIDENCE) / np.maximum(size, 1)
-                gap = np.exp(-(length - length[np.arange(len(size)), best][:, None]) * scale[:, None])
+                gap = 2.0 ** -(length - length[np.arange(len(size)), best][:, None])
                 names = np.where(letter, np.array(langs, object)[best], UNKNOWN)
                 score = np.where(letter, 1 / gap.sum(axis=1), 0.0)
                 rate = np.where(letter, length.min(axis=1) / np.maximum(size, 1), 0.0)
@@ -182,11 +208,10 @@ def accept(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataF
 
     def run(batches):
         own = shared.value
-        rows = own.rows() if own.langs else None
         for batch in pieces(batches):
             data, off = flat(column(batch, "text"))
             letter = pc.fill_null(pc.match_substring_regex(column(batch, "text"), _LETTER), False).to_numpy(zero_copy_only=False)
-            fits = own.lengths(data, off, rows).min(axis=1) <= most_bits * np.diff(off) if own.langs else np.zeros(batch.num_rows, bool)
+            fits = own.lengths(data, off).min(axis=1) <= most_bits * np.diff(off) if own.langs else np.zeros(batch.num_rows, bool)
             yield batch.filter(pa.array(letter & fits))
 
     return docs.mapInArrow(run, docs.schema)

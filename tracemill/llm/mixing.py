@@ -17,7 +17,10 @@ each bucket leaves at most one fractional document, and these residuals are comb
 draws are hashes of ids and ``SEED``: reruns agree, whatever the partitions.
 
 Null texts have size 0; documents of size 0, and sources without words, take 0.
-Rows with equal ids (repeated rows) are rounded as documents of their own.
+Repeated rows (equal in all columns that are kept) are counted first and numbered then, and are rounded as
+documents of their own, each with its own draws, so neither they nor null ids meet in one bucket; ties in size go by the
+draws. Columns named source_size, target, copies or taken are replaced by those of the mix, all others stay.
+Texts of any length are counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ MOST = 3
 BUCKET = 256
 FAN = 64
 SEED = 20_240_607
+#: So many sources at most are sent to all tasks.
+SOURCES = 100_000
 
 
 def sizes(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -89,17 +94,23 @@ def settle(keys: list[int], size: list[int], part: list[float], level: int) -> t
     part = [float(round(p)) if not 1e-12 < p < 1 - 1e-12 else float(p) for p in part]
     snap = lambda x: float(round(x)) if not 1e-9 < x < 1 - 1e-9 else x
     open_ = [k for k, p in enumerate(part) if 0 < p < 1]
+    after = list(range(1, len(open_) + 1))  # the next place of open_ that may be fractional yet
     for at, i in enumerate(open_):
         p = part[i]
         if not 0 < p < 1:
             continue
-        stakes, need = [], float(size[i])
-        for j in open_[at + 1 :]:
+        stakes, need, last, k = [], float(size[i]), at, after[at]
+        while k < len(open_):
+            j = open_[k]
             if 0 < part[j] < 1:
                 stakes.append((j, min(part[j] * size[j] / (1 - p), (1 - part[j]) * size[j] / p, need)))
                 need -= stakes[-1][1]
+                after[last], last = k, k
                 if need <= 1e-9 * size[i]:
                     break
+            k = after[k]
+        else:
+            after[last] = len(open_)
         if need <= 1e-9 * size[i]:
             up = _draw(keys[i], level, i) < p
             part[i] = 1.0 if up else 0.0
@@ -123,11 +134,11 @@ def _round(level: int, last: bool):
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            doc = rows["doc_id"].fill_null(-1).to_pylist()
-            part, open_ = settle(doc, rows["size"].to_pylist(), rows["part"].to_pylist(), level)
+            doc = rows["mix_draw_"].to_pylist()
+            part, open_ = settle(doc, rows["size"].to_pylist(), rows["mix_part_"].to_pylist(), level)
             if last and open_ is not None:
                 part[open_] = 1.0 if _draw(doc[open_], level, 77) < part[open_] else 0.0
-            out = rows.set_column(rows.schema.get_field_index("part"), "part", pa.array(part, pa.float64()))
+            out = rows.set_column(rows.schema.get_field_index("mix_part_"), "mix_part_", pa.array(part, pa.float64()))
             return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -135,7 +146,7 @@ def _round(level: int, last: bool):
                 continue
             held.append(batch)
             rows = pa.Table.from_batches(held)
-            g = rows["place"].to_numpy()
+            g = rows["mix_place_"].to_numpy()
             edges = np.flatnonzero(g[1:] != g[:-1]) + 1
             for a, b in zip([0, *edges[:-1]], edges):
                 yield done(rows.slice(a, b - a))
@@ -147,35 +158,39 @@ def _round(level: int, last: bool):
 
 
 def mix_documents(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Adds source_size, target, copies and taken to a table with doc_id, source and size, which is read several times."""
-    goal = cut(targets(sized, weights, most), "targets")
+    """Adds source_size, target, copies and taken to a table with doc_id, source and size (columns that can be compared), which is read several times."""
+    goal = cut(targets(sized.select("source", "size"), weights, most), "targets")
     largest = goal.agg(F.max("n")).first()[0] or 0
-    keep = [c for c in sized.columns if c not in ("source_size", "target", "copies", "taken", "n")]
-    joined = sized.select(keep).join(goal, sized["source"].eqNullSafe(goal["source"])).select(*(sized[c] for c in keep), "source_size", "target", "n")
-    ratio = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    spread = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    level = joined.select(
-        "*",
-        F.floor(ratio + 1e-12).cast("long").alias("whole"),
-        F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12)).alias("part"),
-        F.pmod(spread, F.ceil(F.col("n") / BUCKET).cast("long")).alias("bucket"),
-        spread.alias("spread"),
+    keep = [c for c in sized.columns if c not in ("source_size", "target", "copies", "taken")]
+    times = sized.groupBy(*(sized[c] for c in keep)).agg(F.count(F.lit(1)).alias("mix_times_"))
+    each = times.select(*keep, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times_"))).alias("mix_nth_"))
+    own = goal.select(F.col("source").alias("mix_source_"), F.col("source_size").alias("mix_size_"), F.col("target").alias("mix_target_"), F.col("n").alias("mix_n_"))
+    joined = each.join(F.broadcast(own) if goal.count() <= SOURCES else own, F.col("source").eqNullSafe(F.col("mix_source_"))).drop("mix_source_")
+    ratio = F.when((F.col("size") > 0) & (F.col("mix_size_") > 0), F.col("mix_target_") / F.col("mix_size_")).otherwise(0.0)
+    draw = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "mix_nth_", *(c for c in keep if c not in ("doc_id", "size")), "size")
+    level = joined.withColumns(
+        {
+            "mix_whole_": F.floor(ratio + 1e-12).cast("long"),
+            "mix_part_": F.greatest(F.lit(0.0), ratio - F.floor(ratio + 1e-12)),
+            "mix_draw_": draw,
+            "mix_bucket_": F.pmod(draw, F.ceil(F.col("mix_n_") / BUCKET).cast("long")),
+        }
     )
     done: DataFrame | None = None
     buckets, k = max(1, -(-int(largest) // BUCKET)), 0
     while True:
         final = buckets == 1
-        placed = level.withColumn("place", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "bucket", F.lit(k)))
-        dealt = placed.repartition("place").sortWithinPartitions("place", F.desc("size"), "spread", "doc_id")
+        placed = level.withColumn("mix_place_", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "mix_bucket_", F.lit(k)))
+        dealt = placed.repartition("mix_place_").sortWithinPartitions("mix_place_", F.desc("size"), "mix_draw_")
         rounded = cut(dealt.mapInArrow(_round(k, final), placed.schema), f"mix{k}")
-        settled = rounded.where((F.col("part") == 0) | (F.col("part") == 1))
+        settled = rounded.where((F.col("mix_part_") == 0) | (F.col("mix_part_") == 1))
         done = settled if done is None else done.unionByName(settled)
         if final:
             break
-        level = rounded.where((F.col("part") > 0) & (F.col("part") < 1)).drop("place").withColumn("bucket", F.floor(F.col("bucket") / FAN).cast("long"))
+        level = rounded.where((F.col("mix_part_") > 0) & (F.col("mix_part_") < 1)).drop("mix_place_").withColumn("mix_bucket_", F.floor(F.col("mix_bucket_") / FAN).cast("long"))
         buckets, k = -(-buckets // FAN), k + 1
-    copies = F.col("whole") + F.col("part").cast("long")
-    return done.select(*keep, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    copies = F.col("mix_whole_") + F.col("mix_part_").cast("long")
+    return done.select(*keep, F.col("mix_size_").alias("source_size"), F.col("mix_target_").alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

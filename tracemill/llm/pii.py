@@ -5,16 +5,20 @@ linear time. The field's nodes are a document's candidate words: those with a di
 or an at sign. Labels are O, email, ip, card, phone. A node's potentials come from
 its shape and context features; neighbouring candidates (in the same line) share
 chain potentials, and candidates that repeat, or have the same digits or the same
-local part, are linked by skip potentials to the previous and the first such
+local part, are linked by skip potentials to the next such
 candidate, so that the links grow linearly with the document. Loopy belief
 propagation (max-product, ``ROUNDS`` rounds) gives each node's label; a candidate
 labelled with an entity, with a margin of ``MARGIN``, that no base span overlaps,
 becomes a span of that kind. Base spans stay as they are.
 
-Weights are learnt by pseudo-likelihood. Silver labels are the base spans; what the
-pass over all documents gathers is a count for each (features, neighbours' labels,
-linked labels, label), a bounded table. Null texts are empty; documents without
-candidates have no spans.
+Weights are learnt by pseudo-likelihood. Silver labels are the base spans, and O for other candidates, but
+for those that look like an entity and only fail its check (``near_misses``: a card number with a wrong
+digit, an address with a part over 255, a number of phone form and another length, an at sign without a
+domain that the pattern takes): they have no label, as a rule of the base patterns is no evidence about them; the
+field's context decides. What the pass over all documents gathers is a count for each (features, neighbours' labels,
+linked labels, label), a bounded table, summed by the tasks. Null texts are empty; documents without
+candidates have no spans; repeated rows are found each, and count each; ties of labels go to the one listed
+first. Texts of any length are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 ROUNDS = 6
 MARGIN = 2.0
-RIDGE = 1e-4
+RIDGE = 1e-6
 #: The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,6 +46,7 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_NEAR = re.compile(r"[0-9]{13,19}|[0-9]{3,6}(?:-[0-9]{3,6}){2,4}|[0-9]{1,4}(?:\.[0-9]{1,4}){3}|\+?[0-9][0-9().-]{6,16}[0-9]|[^@]+@[^@]+")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`([{<>}])|,;:!?*#$%&="
 
@@ -133,6 +138,11 @@ def _silver(text: str, nodes: list[tuple[int, int]], base: dict[str, list[tuple[
     return label
 
 
+def near_misses(text: str, nodes: list[tuple[int, int]]) -> list[bool]:
+    """Whether a candidate has an entity's form, but perhaps not what its check asks for."""
+    return [bool(_NEAR.fullmatch(text[a:b])) for a, b in nodes]
+
+
 def features(text: str, a: int, b: int) -> tuple[str, ...]:
     """Few-valued descriptions of a candidate: form, length class, what stands before it."""
     word = text[a:b]
@@ -154,18 +164,14 @@ def _key(text: str, a: int, b: int) -> str:
 
 
 def graph(text: str, nodes: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (next candidate, same line, at most 4 characters between) and skip edges (previous and first with the same key)."""
+    """Chain edges (next candidate, same line, at most 4 characters between) and skip edges (next one with the same key): two of each a node at most."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= 4 and "\n" not in text[nodes[i][1] : nodes[i + 1][0]]]
-    first: dict[str, int] = {}
     last: dict[str, int] = {}
     skip = []
     for i, (a, b) in enumerate(nodes):
         k = _key(text, a, b)
         if k in last:
             skip.append((last[k], i))
-            if first[k] != last[k]:
-                skip.append((first[k], i))
-        first.setdefault(k, i)
         last[k] = i
     return chain, skip
 
@@ -214,16 +220,21 @@ def _configurations(docs: DataFrame) -> DataFrame:
                     continue
                 nodes = candidates(text)
                 label = _silver(text, nodes, base_spans(text))
+                hidden = [near and not k for near, k in zip(near_misses(text, nodes), label)]
                 near: list[list[int]] = [[] for _ in nodes]
                 far: list[list[int]] = [[] for _ in nodes]
                 chain, skip = graph(text, nodes)
                 for edges, to in ((chain, near), (skip, far)):
                     for i, j in edges:
-                        to[i].append(label[j])
-                        to[j].append(label[i])
+                        if not hidden[j]:
+                            to[i].append(label[j])
+                        if not hidden[i]:
+                            to[j].append(label[i])
                 for i, (a, b) in enumerate(nodes):
-                    # which labels stand next to it or are linked to it, not how many: a bounded set of values
-                    seen["|".join(features(text, a, b)), "".join(map(str, sorted(set(near[i])))), "".join(map(str, sorted(set(far[i])))), label[i]] += 1
+                    if hidden[i]:
+                        continue
+                    # the labels next to it and linked to it, two of each at most: a bounded set of values
+                    seen["|".join(features(text, a, b)), "".join(map(str, sorted(near[i]))), "".join(map(str, sorted(far[i]))), label[i]] += 1
             if seen:
                 keys = list(zip(*seen))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(keys[2]), pa.array(keys[3], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["features", "near", "far", "label", "n"])
@@ -238,23 +249,20 @@ def fit(docs: DataFrame) -> Model:
     m, size = len(LABELS), len(rows)
     if not size:
         return Model({}, np.zeros((m, m)), np.zeros((m, m)))
-    x = np.zeros((size, len(names) + 2 * m))
-    for i, (feats, near, far) in enumerate(zip(rows.features, rows.near, rows.far)):
-        for f in feats.split("|"):
-            x[i, names[f]] = 1
-        for k in near:
-            x[i, len(names) + int(k)] = 1
-        for k in far:
-            x[i, len(names) + m + int(k)] = 1
+    at = np.array([[names[f] for f in x.split("|")] for x in rows.features])
+    around = np.array([[side.count(str(k)) for side in pair for k in range(m)] for pair in zip(rows.near, rows.far)], float)
     y = np.eye(m)[rows.label.to_numpy()]
-    mass = np.sqrt(rows.n.to_numpy(float))  # so that frequent shapes don't drown the rare ones
-    mass = (mass / mass.sum())[:, None]
-    w, g1, g2 = np.zeros((x.shape[1], m)), 0.0, 0.0
-    for step in range(1, 401):
-        z = x @ w
+    mass = (rows.n.to_numpy(float) / rows.n.sum())[:, None]
+    w, g1, g2 = np.zeros((len(names) + 2 * m, m)), 0.0, 0.0
+    for step in range(1, 601):
+        z = w[at].sum(axis=1) + around @ w[len(names) :]
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        grad = x.T @ (mass * (p - y)) + RIDGE * w
+        error = mass * (p - y)
+        grad = RIDGE * w
+        for k in range(at.shape[1]):
+            np.add.at(grad, at[:, k], error)
+        grad[len(names) :] += around.T @ error
         g1, g2 = 0.9 * g1 + 0.1 * grad, 0.99 * g2 + 0.01 * grad**2
         w -= 0.1 * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.99**step)) + 1e-8)
     chain, skip = w[len(names) : len(names) + m], w[len(names) + m :]

@@ -8,10 +8,13 @@ diagonals, so such a set is in one band whole; bands that reach the bound are ve
 a banded alignment of the whole passage against the region. The result is a row for each
 document and passage found, with the least distance.
 
-The passages are sent to all tasks in blocks of at most ``BLOCK_BYTES``, chosen by a hash
-of item_id and text; each block is matched against all rows. Passages of fewer than ``SHORTEST``
-bytes say too little and are matched exactly, as whole words. Null and empty texts and
-passages match nothing; a passage without an id is found with a null item_id; repeated rows are found each.
+The passages are sent to all tasks in blocks of about ``BLOCK_BYTES``, chosen by a hash
+of item_id and text; each block is matched against all rows. A passage for which the bound would be under 1 (fewer
+than 16 bytes, about) is matched without edits, and not where it would begin or end inside a word (of letters and
+digits, in any script); one of fewer than Q bytes by its bytes alone, in windows of its length. Null and empty texts and
+passages match nothing; a passage without an id is found with a null item_id; repeated documents are found each, repeated
+passages once. Of a passage's matches in a document the one of the least distance counts, the first of those. Texts of
+any length are searched whole; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .common import IS_SPACE, LOWER, column, flat, pieces, table
 
 Q = 8
 EDITS = 0.08
-SHORTEST = 32
+#: Postings that are expanded at a time.
+HITS = 1 << 21
 BLOCK_BYTES = 8 << 20
 _BITS = 22
 
@@ -52,8 +56,8 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, Q)).view(np.uint64).ravel()
 
 
-def aligned(passage: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, int]:
-    """Least edit distance of the whole passage to a part of the region that starts within its first 4 edits + 4 bytes, and where the part ends.
+def aligned(passage: np.ndarray, region: np.ndarray, edits: int, fixed: bool = False) -> tuple[int, int]:
+    """Least edit distance of the whole passage to a part of the region that starts within its first 4 edits + 4 bytes (fixed: at its start), and where the part ends.
 
     Only the diagonals of the band are filled; beyond them a distance is more than edits.
     """
@@ -64,7 +68,9 @@ def aligned(passage: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, i
     step = np.arange(width, dtype=np.int32)
     # column k of row i is region place i + k - edits
     place = step - edits
-    row = np.where((place >= 0) & (place <= len(region)), 0, far).astype(np.int32)
+    row = np.where((place >= 0) & (place <= (0 if fixed else len(region))), 0, far).astype(np.int32)
+    if fixed:
+        row = np.minimum.accumulate(row - step) + step
     padded = np.concatenate([np.zeros(edits + 1, np.uint8), region, np.zeros(width + edits, np.uint8)])
     for i, c in enumerate(passage, 1):
         place = place + 1
@@ -73,10 +79,25 @@ def aligned(passage: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, i
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
         new[(place < 0) | (place > len(region))] = far
         row = np.minimum.accumulate(new - step) + step
+    row = np.where((place < 0) | (place > len(region)), far, row)
     best = int(row.argmin())
     return int(row[best]), int(place[best])
 
 
+def inside_word(body: bytes, at: int) -> bool:
+    """Whether the UTF-8 text goes on with a letter or digit on both sides of a place."""
+
+    def part(a: int, b: int) -> str:
+        return body[a:b].decode("utf-8", "ignore")
+
+    if not 0 < at < len(body):
+        return False
+    first = at - 1
+    while first > max(0, at - 4) and body[first] & 0xC0 == 0x80:
+        first -= 1
+    return part(first, at)[-1:].isalnum() and part(at, at + 4)[:1].isalnum()
+
+
 class Passages:
     """An index of a block of passages: items, their bytes, and postings of their q-grams."""
 
@@ -86,7 +107,8 @@ class Passages:
         self.items = [i for i, _ in items]
         self.bytes = [body[a:b] for a, b in zip(off[:-1], off[1:])]
         self.size = np.diff(off)
-        self.edits = np.where(self.size >= SHORTEST, self.size * EDITS, 0).astype(np.int64)
+        edits = (self.size * EDITS).astype(np.int64)
+        self.edits = np.where(self.size - Q + 1 - Q * edits >= 1, edits, 0)
         self.bound = np.maximum(1, self.size - Q + 1 - Q * self.edits)
         grams, owner, place = [], [], []
         for k, b in enumerate(self.bytes):
@@ -101,7 +123,10 @@ class Passages:
         self.grams, self.first, self.count = g[head], head, np.diff(np.append(head, len(g)))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[self.slot(self.grams)] = True
-        self.tiny = [k for k, n in enumerate(self.size) if 0 < n < Q]
+        self.tiny = {int(n): {} for n in np.unique(self.size) if 0 < n < Q}
+        for k, b in enumerate(self.bytes):
+            if 0 < len(b) < Q:
+                self.tiny[len(b)].setdefault(int.from_bytes(b.tobytes(), "little"), []).append(k)
 
     @staticmethod
     def slot(g: np.ndarray) -> np.ndarray:
@@ -119,65 +144,86 @@ class Passages:
         doc = np.searchsorted(off, at, "right") - 1
         inside = at + Q <= off[doc + 1]
         at, k, doc = at[inside], k[inside], doc[inside]
+        # hits go in runs of about HITS postings; what one document's runs count for a band is added up
+        group = np.cumsum(self.count[k]) // HITS
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(at)]
+        parts = [self._bands(at[x:y], k[x:y], doc[x:y], off) for x, y in zip(edges[:-1], edges[1:])]
+        key, count = _summed(np.concatenate([x for x, _ in parts], axis=1), np.concatenate([x for _, x in parts]))
+        return key[:, count >= self.bound[key[1]]].T
+
+    def _bands(self, at: np.ndarray, k: np.ndarray, doc: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, passage, band) of hits at places, of grams k, and how many of them each has: each counts in two bands."""
         n = self.count[k]
         which = np.repeat(np.arange(len(at)), n)
         post = self.first[k][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         owner = self.owner[post]
         band = (at[which] - off[doc[which]] - self.place[post]) // (self.edits[owner] + 1)
-        found = []
-        for shift in (0, 1):
-            # one number for (document, passage, band): bands lie between -size and the document's length
-            key = np.stack([doc[which], owner, band - shift])
-            order = np.lexsort(key[::-1])
-            key = key[:, order]
-            head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
-            found.append((key[:, head], np.diff(np.append(head, len(order)))))
-        key = np.concatenate([x for x, _ in found], axis=1)
-        count = np.concatenate([x for _, x in found])
-        order = np.lexsort(key[::-1])
-        key, count = key[:, order], count[order]
-        head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
-        total = np.add.reduceat(count, head) if len(head) else count
-        key = key[:, head]
-        return key[:, total >= self.bound[key[1]]].T
+        found = [_summed(np.stack([doc[which], owner, band - shift]), np.ones(len(which), np.int64)) for shift in (0, 1)]
+        return _summed(np.concatenate([x for x, _ in found], axis=1), np.concatenate([x for _, x in found]))
 
     def find(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int | None, int, int, int]]:
         """(document, item, distance, start, end) with byte places in the document, the best for each document and item."""
         body, spot, back = normal(data, off)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, k, band in self.regions(body, spot).tolist():
+
+        def place(doc: int, k: int, distance: int, first: int, end: int) -> None:
             old = best.get((doc, k))
-            if old and old[0] == 0:
-                continue
+            if distance <= self.edits[k] and (old is None or (distance, first) < old[:2]):
+                best[doc, k] = (distance, first, end)
+
+        def exact(doc: int, k: int, a: int, region: bytes, p: bytes) -> bool:
+            """The first copy of a passage in a region that begins and ends with words, if there is one."""
+            at = region.find(p)
+            while at >= 0:
+                if self.edits[k] or self._whole(body, spot, doc, a + at, a + at + len(p)):
+                    place(doc, k, 0, a + at, a + at + len(p))
+                    return True
+                at = region.find(p, at + 1)
+            return False
+
+        for doc, k, band in self.regions(body, spot).tolist():
             e, p = int(self.edits[k]), self.bytes[k]
             low = band * (e + 1)  # diagonals low to low + 2 (e + 1) - 1, and e more for the edits
             a = spot[doc] + max(0, low - e)
-            b = min(spot[doc + 1], spot[doc] + low + 3 * (e + 1) + len(p))
-            region = body[a:b]
-            if e == 0:
-                raw, at = region.tobytes(), region.tobytes().find(p.tobytes())
-                ok = at >= 0 and (at + a == spot[doc] or not chr(raw[at - 1]).isalnum() if at else a == spot[doc] or not chr(body[a - 1]).isalnum()) and (a + at + len(p) == spot[doc + 1] or not chr(body[a + at + len(p)]).isalnum())
-                distance, end = (0, at + len(p)) if ok else (1, 0)
-            else:
-                at = region.tobytes().find(p.tobytes())
-                distance, end = (0, at + len(p)) if at >= 0 else aligned(p, region, e)
-            if distance <= e and (old is None or distance < old[0]):
-                last = a + end - 1
-                first = max(a, last + 1 - len(p))
-                best[doc, k] = (distance, int(back[first] - off[doc]), int(back[last] + 1 - off[doc]))
-        for k in self.tiny:
-            p = b" " + self.bytes[k].tobytes() + b" "
-            for doc in range(len(off) - 1):
-                text = b" " + body[spot[doc] : spot[doc + 1]].tobytes() + b" "
-                at = text.find(p)
-                if at >= 0:
-                    best[doc, k] = (0, int(back[spot[doc] + at] - off[doc]), int(back[spot[doc] + at + len(p) - 3] + 1 - off[doc]))
-        return [(doc, self.items[k], d, a, b) for (doc, k), (d, a, b) in sorted(best.items())]
+            region = body[a : min(spot[doc + 1], spot[doc] + low + 3 * (e + 1) + len(p))]
+            if not exact(doc, k, a, region.tobytes(), p.tobytes()) and e:
+                distance, end = aligned(p, region, e)
+                if distance <= e:
+                    # from the end back: where the part with this distance begins
+                    _, length = aligned(p[::-1], region[max(0, end - len(p) - e) : end][::-1], e, True)
+                    place(doc, k, distance, a + end - length, a + end)
+        for n, held in self.tiny.items():
+            if len(body) < n:
+                continue
+            window = sum(body[j : len(body) - n + 1 + j].astype(np.uint64) << np.uint64(8 * j) for j in range(n))
+            at = np.flatnonzero(np.isin(window, np.array(list(held), np.uint64)))
+            doc = np.searchsorted(spot, at, "right") - 1
+            for i, d in zip(at.tolist(), doc.tolist()):
+                if i + n <= spot[d + 1] and self._whole(body, spot, d, i, i + n):
+                    for k in held[int(window[i])]:
+                        place(d, k, 0, i, i + n)
+        # an empty match (all of a passage edited away) is none
+        return [(doc, self.items[k], d, int(back[a] - off[doc]), int(back[b - 1] + 1 - off[doc])) for (doc, k), (d, a, b) in sorted(best.items()) if a < b]
+
+    @staticmethod
+    def _whole(body: np.ndarray, spot: np.ndarray, doc: int, a: int, b: int) -> bool:
+        """Whether neither end of a place is inside a word of its document."""
+        x, y = max(int(spot[doc]), a - 4), min(int(spot[doc + 1]), b + 4)
+        near = body[x:y].tobytes()
+        return not inside_word(near, a - x) and not inside_word(near, b - x)
+
+
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of key, in order, and the sums of their counts."""
+    order = np.lexsort(key[::-1])
+    key, count = key[:, order], count[order]
+    head = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+    return key[:, head], np.add.reduceat(count, head) if len(head) else count
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
     """(item_id, text) in as many parts as keep each one under about limit bytes."""
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n = -(-int(items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // limit)
     return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 

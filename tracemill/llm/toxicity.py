@@ -7,13 +7,15 @@ and |weight| >= ``EFFECT`` keep a weight, all others have the drift ``rest``
 (negative), so that segments end. Each text is scanned once, in linear time, for
 all its maximal scoring segments. A segment's score S becomes an E-value K n
 exp(-lambda S) with lambda the positive root of sum p(s) exp(lambda s) = 1 over
-the tokens of non-toxic documents; significant segments (E <= ``E_MOST``) are
+the tokens of non-toxic documents, and K counted in a random text of such tokens; significant segments (E <= ``E_MOST``) are
 returned as spans of tokens. A logistic curve on the evidence of a document (the
 sum of -log E over its significant segments, or of its best one) maps it to 0 to 1.
 
 Fitted on at most ``SAMPLE`` labelled documents of each class, chosen by a hash of
 the id; every document is scored. Null and empty texts have no segment and get the
-score of evidence zero. With labels of one class only, or none, scores are 0.
+score of evidence zero. With labels of one class only, or none, scores are 0. Every token that the sample marks
+as significant is weighted. Repeated rows are scored each, and weigh as often as they are labelled; ties of segments are told
+apart by place; texts of any length are scanned whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, column, flat, in_fold, pieces, span_hashes, table, words
+from .common import IS_SPACE, LOWER, column, flat, in_fold, pieces, span_hashes, table, words
 
 SAMPLE = 6000
 PRIOR = 500.0
 FLOOR = 0.5
 Z = 2.5
 EFFECT = 1.0
-#: At most so many weighted tokens, the most significant ones; they are sent to all tasks.
-TOKENS = 50_000
+#: Tokens of the random text that gives K, and how many segments it counts.
+RANDOM_TOKENS, COUNTED = 1 << 22, 400
 E_MOST = 0.05
 _STRIP = np.zeros(256, bool)
 _STRIP[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
@@ -43,10 +45,14 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """Hash, start, end and document of each word, A-Z as a-z, without ASCII punctuation at either end (all-punctuation words stay)."""
     low = LOWER[data]
     start, end, doc = words(low, off)
-    s, e = start.copy(), end.copy()
-    for _ in range(8):
-        s += (e - s > 1) & _STRIP[low[np.minimum(s, len(low) - 1)]] if len(low) else 0
-        e -= (e - s > 1) & _STRIP[low[np.maximum(e - 1, 0)]] if len(low) else 0
+    core = np.flatnonzero(~_STRIP[low] & ~IS_SPACE[low])
+    if not len(core):
+        return span_hashes(low, start, end), start, end, doc
+    first = np.searchsorted(core, start)
+    some = core[np.minimum(first, len(core) - 1)]
+    some = (some >= start) & (some < end)
+    s = np.where(some, core[np.minimum(first, len(core) - 1)], start)
+    e = np.where(some, core[np.searchsorted(core, end) - 1] + 1, end)
     return span_hashes(low, s, e), start, end, doc
 
 
@@ -154,6 +160,15 @@ def _root(value: np.ndarray, share: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
+def extreme_k(weight: np.ndarray, share: np.ndarray, rest: float, lam: float, n: int = RANDOM_TOKENS, counted: int = COUNTED) -> float:
+    """K of the law that random text of n tokens has K n exp(-lam S) segments of score S or more: counted in such a text, from a fixed seed."""
+    rng = np.random.default_rng(20_240_811)
+    at = np.flatnonzero(rng.random(n) < share.sum())
+    found = runs(at, weight[rng.choice(len(weight), len(at), p=share / share.sum())], n, rest)
+    scores = np.sort([s for *_, s in found])[-counted:]
+    return max(1e-9, len(scores) / n * math.exp(min(lam * float(scores[0]), 700.0))) if len(scores) else 1.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on documents (doc_id, text) and labels (doc_id, toxic); a document labelled twice counts as toxic if any label says so."""
     spark = docs.sparkSession
@@ -162,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not all(len(p) for p in picked):
         return NONE
     chosen = spark.createDataFrame([(int(d), int(t)) for p in picked for d, t in zip(p.doc_id, p.toxic)], "doc_id long, toxic int")
-    sampled = docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sampled = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     count = _token_counts(sampled)
     sums = count.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     if not sums.bad or not sums.good:
@@ -170,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     prior = F.lit(FLOOR) + F.lit(PRIOR) * (F.col("bad") + F.col("good")) / F.lit(float(sums.bad + sums.good))
     odds = lambda n, total: F.log((F.col(n) + prior) / (F.lit(float(total) + PRIOR) - F.col(n) - prior))
     weighed = count.withColumn("w", odds("bad", sums.bad) - odds("good", sums.good)).withColumn("z", F.col("w") / F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior)))
-    strong = weighed.where((F.abs("z") >= Z) & (F.abs("w") >= EFFECT)).orderBy(F.desc(F.abs("z")), "token").limit(TOKENS).toPandas()
+    strong = weighed.where((F.abs("z") >= Z) & (F.abs("w") >= EFFECT)).orderBy("token").toPandas()  # tokens of the sample
     if not len(strong) or not (strong.w > 0).any():
         return NONE
     key = strong.token.to_numpy(np.int64).view(np.uint64)
@@ -184,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     value, part = np.append(weight, rest), np.append(np.maximum(share, 0.5 / float(sums.good)), plain / float(sums.good))
     lam = _root(value, part / part.sum())
     model = Model(key, weight, rest, lam, 1.0, 1.0, 0.0)
-    model.k = max(1e-6, float((part * np.maximum(value, 0)).sum() / max(1e-9, abs(float((part * value).sum())))))
+    model.k = extreme_k(weight, part[:-1] / part.sum(), rest, lam)
 
     def run(batches):
         for batch in pieces(batches):

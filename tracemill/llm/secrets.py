@@ -9,10 +9,11 @@ The models are two first-order chains over 66 symbols (A-Z, a-z, 0-9, three mark
 and all others): random strings and ordinary identifiers. They are trained from
 labelled samples: digests in hex and base 64 and the base matches of the sampled
 documents as random; the other words of those documents as ordinary. ``SAMPLE``
-documents are sampled, by a hash of the id. The counted pairs are a table of at most
+documents are sampled, by a hash of id and text (repeated rows once). The counted pairs are a table of at most
 2 * 66 * 66 rows. A word of ``SHORTEST`` or more such characters, with digits and letters,
 that no base span overlaps, is a span of kind markov if its log-likelihood ratio is at
-least ``MARGIN`` nats, and ``RATE`` a character. Null texts are empty.
+least ``MARGIN`` nats, and ``RATE`` a character. Null texts are empty; repeated rows are scanned each; texts of
+any length are scanned whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import row_key, table
 
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 4000
@@ -102,8 +103,10 @@ def _pairs(words: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> list[float]:
     """The log-likelihood ratio (random against ordinary) of each pair of symbols, a * 66 + b from (1, 1)."""
     spark = docs.sparkSession
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    text = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(_clean(F.col("text")).alias("text"))
+    # rows of the sample count once, however often they are repeated
+    keyed = docs.select("text", row_key().alias("row"))
+    rows = keyed.select("row").distinct().orderBy("row").limit(SAMPLE)
+    text = keyed.join(F.broadcast(rows), "row", "left_semi").dropDuplicates(["row"]).select(_clean(F.col("text")).alias("text"))
     base = base_matches(F.col("text"))
     found = text.select(F.explode(F.concat(F.transform(base["assign"], lambda m: F.regexp_extract(m["t"], _ASSIGN, 2)), *(F.transform(base[k], lambda m: m["t"]) for k in ("access", "hex")))).alias("word")).where(F.length("word") >= SHORTEST)
     plain = text.select(F.explode(F.regexp_extract_all(F.regexp_replace(F.regexp_replace(F.regexp_replace("text", _ASSIGN, " "), _ACCESS, " "), _HEX, " "), F.lit(r"[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("word"))

@@ -67,6 +67,17 @@ def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(blob, n, np.uint64), dtype=np.uint64)
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and the number of each element among them."""
+    order = np.argsort(x)
+    ordered = x[order]
+    head = np.ones(len(x), bool)
+    head[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.uint32)
+    number[order] = np.cumsum(head, dtype=np.uint32) - np.uint32(1)
+    return ordered[head], order[head], number
+
+
 # the chain of bytes
 
 
@@ -124,7 +135,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {x: batch.column(i)[k].as_py() for i, x in enumerate(names)}
 
 
-_BLOCK = "block long, role int, doc_id array<long>, n array<int>, size long, n_words int, n_pairs int, ids binary, words binary, spelled binary"
+_BLOCK = "block long, role int, doc_id array<long>, n array<int>, size long, n_words int, ids binary, words binary, spelled binary"
 
 
 def pairs_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -139,7 +150,7 @@ def _blocks(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
     """Blocks of documents (doc_id, text, fold) of one role each: numbers of words in the sorted table of the block's words."""
     shared = docs.sparkSession.sparkContext.broadcast(log_p)
     names = [x.split()[0] for x in _BLOCK.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int32(), *[pa.binary()] * 3]
 
     def run(batches):
         task, serial = TaskContext.get().partitionId(), 0
@@ -149,9 +160,8 @@ def _blocks(docs: DataFrame, log_p: np.ndarray) -> DataFrame:
             nonlocal serial
             ids, n, hashes, spell = zip(*open_[role])
             h, n = np.concatenate(hashes), np.concatenate(n)
-            own, place, ids_ = np.unique(h, return_index=True, return_inverse=True)
-            pairs = len(np.unique(pairs_of(h, np.cumsum(n) - n)))
-            row = [(task << 24) + serial, role, [x for y in ids for x in y], n, len(h), len(own), pairs, pack(ids_.astype(np.uint32)), pack_sorted(own), np.concatenate(spell)[place].tobytes() if role == SCORED else None]
+            own, place, number = numbered(h)
+            row = [(task << 24) + serial, role, [x for y in ids for x in y], n, len(h), len(own), pack(number), pack_sorted(own), np.concatenate(spell)[place].tobytes() if role == SCORED else None]
             serial += 1
             open_[role] = []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names)
@@ -192,7 +202,7 @@ class Block:
         self.first = np.cumsum(self.n) - self.n
         self.words = unpack_sorted(words_, n_words)
         self.word = unpack(ids, int(self.n.sum()), np.uint32)
-        self.pairs, self.pair = np.unique(pairs_of(self.words[self.word], self.first), return_inverse=True)
+        self.pairs, _, self.pair = numbered(pairs_of(self.words[self.word], self.first))
 
 
 def _requests(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -224,7 +234,7 @@ def _answers(requests: DataFrame, ranges: int) -> DataFrame:
 
     def answer(at, asked):
         keys = [unpack_sorted(r["keys"], r["size"]) for r in asked]
-        own, place = np.unique(np.concatenate(keys), return_inverse=True)
+        own, _, place = numbered(np.concatenate(keys))
         edges = np.cumsum([0, *map(len, keys)])
         every, kept = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
         for k, r in enumerate(asked):
@@ -374,7 +384,7 @@ def score(docs: DataFrame) -> DataFrame:
     log_p = chain(_spelling_counts(docs.where(F.coalesce(F.col("fold") != HELD_OUT, F.lit(True)))))
     blocks = cut(_blocks(docs, log_p), "blocks")
     of = lambda roles: F.coalesce(F.sum(F.when(F.col("role").isin(*roles), F.col("size"))), F.lit(0))
-    sums = blocks.agg(of((KEPT,)).alias("kept"), of((KEPT, LEFT)).alias("train"), F.coalesce(F.sum(F.col("n_words") + F.col("n_pairs")), F.lit(0)).alias("asked")).first()
+    sums = blocks.agg(of((KEPT,)).alias("kept"), of((KEPT, LEFT)).alias("train"), F.coalesce(F.sum(F.col("n_words") + F.col("size")), F.lit(0)).alias("asked")).first()
     ranges = max(1, -(-sums.asked // RANGE))
     answers = cut(_answers(_requests(blocks, ranges), ranges), "answers")
     distinct = answers.where("order = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first().v

@@ -52,6 +52,44 @@ def test_stages(spark, tmp_path):
     assert [(r.doc_id, r.taken) for r in again] == sorted((r.doc_id, r.taken) for r in mixed)
 
 
+def tables(spark, folder, rows, bench, extra=()):
+    schema = SCHEMA + "".join(f", {x} string" for x in extra)
+    spark.createDataFrame([(i, t, la, s, None if t is None else len(t), *("x" for _ in extra)) for i, t, la, s in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_no_documents_and_no_benchmark(spark, tmp_path):
+    tables(spark, str(tmp_path), [], [])
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.cut(stage(spark, now, str(tmp_path)), name)
+        assert out.count() == 0 and (name == "mix" or out.columns == now.columns)
+        now = out
+
+
+def test_clashing_columns_nulls_long_texts_and_repeated_ids(spark, tmp_path):
+    """Each stage keeps all columns whatever their names, texts of any length, rows that only share an id, and rows without one."""
+    rng = random.Random(41)
+    plain = lambda n: prose(rng, "en", n).replace("\n", " ")
+    long = " ".join(plain(40) for _ in range(600))
+    a, b, c = plain(60), plain(60), plain(60)
+    rows = [(k, plain(80), "en", "s0") for k in range(30)]
+    rows += [(300, long, "en", "s1"), (301, a, "en", "s1"), (302, a, None, None), (302, b, "en", "s1"), (302, b, "en", "s1"), (None, c, "en", None), (None, plain(50), None, "s1"), (303, None, "en", "s0"), (304, "", "en", "s0"), (305, " \n ", "en", "s0")]
+    extra = ("node", "row", "row_", "root", "line", "score", "lang_pred", "item_id", "part", "dropped_lines_", "class_id", "of", "target")
+    tables(spark, str(tmp_path), rows, [(1, plain(30)), (None, None), (2, "")], extra)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted([t for _, t, *_ in rows[:31]] + [a, b, b, c, rows[36][1]])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.cut(stage(spark, now, str(tmp_path)), name)
+        assert out.columns == now.columns and out.schema["n_chars"].dataType == now.schema["n_chars"].dataType
+        now = out
+    got = now.collect()
+    assert sorted(r.text for r in got) == want and all(r.node == "x" and r.dropped_lines_ == "x" for r in got)
+    assert sorted((r.doc_id for r in got if r.text in (a, b)), key=str) == [301, 302, 302]
+    mixed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert all(r.copies > 0 and r.taken == r.copies * r["size"] for r in mixed) and {r.source for r in mixed} <= {"s0", "s1", None}
+
+
 def test_stages_are_the_agreed_ones():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "neardup", "decontaminate", "mix"] and corpus_pipeline.ORACLE_SQL is None
     assert F is not None

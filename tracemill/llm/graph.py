@@ -25,7 +25,7 @@ from .common import cut, mix, release
 
 #: So many ids at most (32 MB) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-FLUSH = 1 << 19
+FLUSH, PART = 1 << 19, 1 << 21
 #: A block of a bucket has about so many members, or bytes; a product of two blocks takes so many values at once.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
 #: Blocks of so many members are compared pair by pair.
@@ -78,38 +78,42 @@ class Buckets:
             yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(id_[part]), pa.array(key[part].view(np.int64), mask=~valid[part])], ["route", "id", "key"])
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """Distinct (key, node) of all buckets of two nodes or more, from rows of ROUTE_SCHEMA."""
+def members(rows: DataFrame, most: int) -> DataFrame:
+    """Distinct (key, node) of all buckets of two nodes or more, from rows of ROUTE_SCHEMA, of which there are most at most.
+
+    Buckets are dealt by their hashes, in so many parts that each has about PART rows; a task groups its part in memory. A
+    bucket has one row a task (or FLUSH rows), so none outgrows its part.
+    """
 
     def run(batches):
-        # the last bucket may go on in the next batch: its last id, whether that was yielded, and its route
-        last_id = last_route = None
-        known = False
+        routes, ids, flags = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
             route, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            valid = np.array(batch.column(2).is_valid())
+            valid = np.array(batch.column(2).is_valid(), bool)
             key = batch.column(2).fill_null(0).to_numpy()
             other = valid & (key != route)
-            out_key, out_id = [key[other]], [id_[other]]
-            route, id_, flag = route[~other], id_[~other], valid[~other]
-            if len(route):
-                if last_route is not None:
-                    route, id_, flag = np.append(last_route, route), np.append(last_id, id_), np.append(known, flag)
-                head = np.append(True, route[1:] != route[:-1])
-                bucket = np.cumsum(head) - 1
-                fresh = head | np.append(True, id_[1:] != id_[:-1])
-                many = (np.bincount(bucket, fresh) > 1) | (np.bincount(bucket, flag) > 0)
-                out = many[bucket] & fresh
-                if last_route is not None and known:
-                    out[0] = False
-                last_route, last_id, known = route[-1], id_[-1], bool(many[-1])
-                out_key.append(route[out])
-                out_id.append(id_[out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_key)), pa.array(np.concatenate(out_id))], ["key", "node"])
-
-    return rows.repartition("route").sortWithinPartitions("route", "id").mapInArrow(run, "key long, node long").distinct()
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[other]), pa.array(id_[other])], ["key", "node"])
+            routes.append(route[~other])
+            ids.append(id_[~other])
+            flags.append(valid[~other])
+        route, id_, flag = (np.concatenate(x) for x in (routes, ids, flags))
+        routes = ids = flags = None
+        order = np.argsort(route)
+        route = route[order]
+        same = route[1:] == route[:-1]
+        grouped = np.append(False, same) | np.append(same, False) if len(route) else np.zeros(0, bool)
+        at = np.flatnonzero(grouped | flag[order])
+        if len(at):
+            route, id_, flag = route[at], id_[order[at]], flag[order[at]]
+            head = np.flatnonzero(np.append(True, route[1:] != route[:-1]))
+            many = (np.minimum.reduceat(id_, head) != np.maximum.reduceat(id_, head)) | np.logical_or.reduceat(flag, head)
+            out = np.flatnonzero(np.repeat(many, np.diff(np.append(head, len(route)))))
+            for a in range(0, len(out), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(route[out[a : a + (1 << 16)]]), pa.array(id_[out[a : a + (1 << 16)]])], ["key", "node"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // PART))
+    return rows.repartition(parts, "route").mapInArrow(run, "key long, node long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

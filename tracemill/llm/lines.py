@@ -149,7 +149,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     def fetch(wanted: DataFrame) -> DataFrame:
         return _texts(docs).join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob"))
 
-    roots = graph.classes(graph.members(_links(docs)), fetch, gram_set, threshold)
+    roots = graph.classes(graph.members(_links(docs), lines.count() * BANDS), fetch, gram_set, threshold)
     placed = lines.join(graph.small(roots), "node", "left").select("doc_id", "row", "line", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
     groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -161,11 +161,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
 def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the lines that are copies (n_chars follows, if it is a column), and without documents that were copies only."""
     copies, _ = removed_lines(docs.select("doc_id", "text"), threshold)
-    per_doc = cut(copies.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line").alias("dropped_lines_")), "copies")
-    if per_doc.agg(F.coalesce(F.sum(F.size("dropped_lines_") + 8), F.lit(0))).first()[0] <= BROADCAST_LINES:
+    name = "dropped_lines_" + "_" * max(map(len, docs.columns))  # longer than any of docs
+    per_doc = cut(copies.groupBy(F.col("row").alias("row_")).agg(F.collect_set("line").alias(name)), "copies")
+    if per_doc.agg(F.coalesce(F.sum(F.size(name) + 8), F.lit(0))).first()[0] <= BROADCAST_LINES:
         per_doc = F.broadcast(per_doc)
     schema = docs.schema
-    joined = docs.join(per_doc, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == per_doc["row_"], "left").select(*(docs[c] for c in schema.names), per_doc["dropped_lines_"])
+    joined = docs.join(per_doc, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == per_doc["row_"], "left").select(*(docs[c] for c in schema.names), per_doc[name])
 
     def run(batches):
         for batch in batches:

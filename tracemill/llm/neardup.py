@@ -171,7 +171,8 @@ def _placed(docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[D
         one = cut(nodes.where("node is not null").join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct(), "chosen")
         return _sets(docs.join(graph.small(one), "row", "left_semi")).groupBy("node").agg(F.min("blob").alias("blob"))
 
-    root = graph.classes(graph.members(signed.where("route is not null").select("route", "id", "key")), fetch, lambda blob: np.frombuffer(blob, np.uint64), threshold)
+    dealt = signed.where("route is not null").select("route", "id", "key")
+    root = graph.classes(graph.members(dealt, dealt.count()), fetch, lambda blob: np.frombuffer(blob, np.uint64), threshold)
     placed = cut(nodes.join(graph.small(root), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root")), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     groups = placed.where("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")

@@ -1,14 +1,35 @@
+import sys
+
+import pytest
+
 from tracemill.plans import phases
 
 
-def test_order():
-    assert phases.next_phase("phase1_grpo") == "phase1_eval" and phases.next_phase(phases.PHASES[-1]) is None and phases.next_phase("x") == phases.PHASES[0]
-    assert phases.phases_from("nothing") == list(phases.PHASES) and phases.phases_from(phases.PHASES[-1]) == [phases.PHASES[-1]]
+def test_work_goes_on_over_phases_and_cycles():
+    at = lambda cycle, phase: [phases.named(n) for n in phases.work({"current_cycle": cycle, "current_phase": phase}, 2)]
+    every = [(c, p) for c in range(2) for p in phases.PHASES]
+    assert at(0, "nothing") == every and at(0, phases.PHASES[0]) == every and at(0, phases.PHASES[-1]) == every[6:] and at(1, "phase4_dpo") == every[-2:] and at(2, "x") == []
 
 
 def test_last_phase_ends_the_cycle():
-    state = phases.advanced({"history": []}, phases.PHASES[-1], 0)
-    assert state["current_cycle"] == 1 and len(state["history"]) == 1 and state["current_phase"] == phases.PHASES[0]
+    state = phases.moved({"history": []}, len(phases.PHASES))
+    assert state["current_cycle"] == 1 and [h["cycle"] for h in state["history"]] == [0] and state["current_phase"] == phases.PHASES[0]
+    assert phases.moved({}, 3) == {"current_cycle": 0, "current_phase": phases.PHASES[3]}
+
+
+def test_watchdog():
+    base = {"parent": False, "done": False, "model": False, "trainer": False, "checkpoint": False}
+    assert phases.watch(**base) == "report" and phases.watch(**base | {"checkpoint": True}) == "resume" and phases.watch(**base | {"trainer": True, "checkpoint": True}) == "wait"
+    assert phases.watch(**base | {"model": True}) == "resume" and phases.watch(**base | {"model": True, "done": True}) == "idle" and phases.watch(**base | {"parent": True}) == "wait"
+
+
+def test_child_phases(tmp_path):
+    made, log = str(tmp_path / "made"), str(tmp_path / "logs/a.log")
+    phases.child([sys.executable, "-c", f"open({made!r}, 'w').write('x'); print('said')"], [], [made], log)
+    assert (tmp_path / "logs/a.log").read_text() == "said\n"
+    for command, inputs, outputs, error in ((["true"], [str(tmp_path / "no")], [], FileNotFoundError), (["true"], [], [str(tmp_path / "no")], FileNotFoundError), (["false"], [], [], RuntimeError)):
+        with pytest.raises(error):
+            phases.child(command, inputs, outputs, log)
 
 
 def test_a_failed_run_resumes_at_its_phase(tmp_path):
@@ -36,3 +57,11 @@ def test_lineage_and_report(tmp_path):
     assert phases.adapters(str(phases.dry_run_marker(str(tmp_path / "m")).parent))["placeholder"]
     text = phases.markdown({"cycle": 2, "models": {"base": {"pass": 0.5}, "rl": {}}, "hypothesis_results": [{"id": "H1", "verified": True, "delta": "+8%"}], "verdict": "kept neither"})
     assert "| pass | 0.5000 | n/a |" in text and "| H1 | yes | +8% |" in text
+
+
+def test_training_report():
+    marks = [{"step": 10, "elapsed": "1:00", "eta": "2:00", "sec_per_it": 6.0}, {"step": 20, "elapsed": "2:00", "eta": "1:00", "sec_per_it": 6.5}]
+    event = dict.fromkeys(["epoch", "reward", "reward_std", "completion_length", "kl", "grad_norm", "learning_rate", "loss"], 0.5) | {"kl": None}
+    text = phases.training_report(marks, [event], {"rows": 3, "reward_mean": 0.25}, {"placeholder": False, "checkpoints": ["checkpoint-10"]})
+    assert "- step: 20 of 300" in text and "| 20 | 2:00 | 1:00 | 6.5000 |" in text and "- kl: n/a" in text and "- rows: 3" in text and "- checkpoints: ['checkpoint-10']" in text
+    assert "none yet" in phases.training_report([], [], {}, {}) and "- step: n/a" in phases.training_report([], [], {}, {})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import layers, messages, pytext, scores, tokens
 from tracemill.operators import execution, gates, harvest, logs, metrics, pairs, prepare, relational
 from tracemill.schemas import AUDIT
-from tracemill.sources import jsonl
+from tracemill.sources import datasets, jsonl
 
 
 def completion(think, note, code):
@@ -249,16 +249,84 @@ def test_gates(spark):
         gates.dataset_violations(tasks, "other")
 
 
-def test_resume_checkpoint(tmp_path):
+def test_resume_path(spark, tmp_path):
+    root = tmp_path / "model"
     for n, whole in ((50, True), (100, True), (150, False)):
-        folder = tmp_path / f"checkpoint-{n}"
-        folder.mkdir()
-        if whole:
-            (folder / "trainer_state.json").write_text("{}")
-    assert gates.resume_checkpoint("auto", str(tmp_path)).name == "checkpoint-100"
-    assert gates.resume_checkpoint(None, str(tmp_path)) is None
+        folder = root / f"checkpoint-{n}"
+        folder.mkdir(parents=True)
+        (folder / ("trainer_state.json" if whole else "model.bin")).write_text("{}")
+    assert gates.resume_path(spark, "auto", str(root)).endswith("/checkpoint-100") and gates.resume_path(spark, True, str(root)).endswith("/checkpoint-100")
+    assert [gates.resume_path(spark, x, str(root)) for x in (None, "", "None", False)] == [None] * 4
+    assert gates.resume_path(spark, "model/checkpoint-50", str(root)).endswith("/checkpoint-50") and gates.resume_path(spark, str(root / "checkpoint-50"), str(root)).endswith("/checkpoint-50")
+    for asked in (str(root / "checkpoint-150"), "nowhere"):
+        with pytest.raises(gates.GateError):
+            gates.resume_path(spark, asked, str(root))
     with pytest.raises(gates.GateError):
-        gates.resume_checkpoint(str(tmp_path / "checkpoint-150"), str(tmp_path))
+        gates.resume_path(spark, "auto", str(tmp_path / "none"))
+
+
+def test_datasets_and_configurations(spark, tmp_path):
+    spark.createDataFrame([("mbpp_1", "a")], "task_id string, text string").write.parquet(str(tmp_path / "d/train.parquet"))
+    (tmp_path / "d/test.jsonl").write_text('{"task_id": "mbpp_2"}\n')
+    (tmp_path / "d/notes.txt").write_text("no split")
+    found = datasets.splits(spark, str(tmp_path / "d"))
+    assert set(found) == {"train", "test"} and jsonl.union_splits(found).count() == 2 and jsonl.first_split(found, ("validation", "test")).first().task_id == "mbpp_2"
+    with pytest.raises(FileNotFoundError):
+        datasets.splits(spark, str(tmp_path / "none"))
+    rows, gone = datasets.shards(spark, [str(tmp_path / "d/test.jsonl"), str(tmp_path / "d/test2.jsonl")], "task_id string")
+    assert rows.count() == 1 and [r.path for r in gone.collect()] == [str(tmp_path / "d/test2.jsonl")]
+    (tmp_path / "run.log").write_bytes(b"3/300 [1:0<2, 1.5s/it] \xff end")
+    text = datasets.log_text(spark, str(tmp_path / "run.log"))
+    assert text.first().value.endswith("\ufffd end") and logs.latest_progress(text, 300).first().step == 3
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x]\n")
+    (tmp_path / "c.json").write_text('{"a": 2}')
+    (tmp_path / "bad.yaml").write_text("- 1\n")
+    (tmp_path / "empty.yaml").write_text("")
+    assert datasets.config(spark, str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x"]} and datasets.config(spark, str(tmp_path / "c.json")) == {"a": 2} and datasets.config(spark, str(tmp_path / "empty.yaml")) == {}
+    with pytest.raises(ValueError):
+        datasets.config(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_reward_callable_and_its_log(spark, tmp_path):
+    reward = execution.reward_callable(spark, str(tmp_path / "log"), rank=3)
+    good = completion("t", "n", "def f():\n    return 1")
+    assert reward([good, "no code", good, good], ["[\"assert f() == 1\"]", ["assert f() == 2", "assert f() == 1"]], ["a", "b"]) == [1.0, 0.0, 0.5, 0.5]
+    assert reward([good], [["assert f() == 1"]]) == [1.0]
+    log_rows = spark.read.json(str(tmp_path / "log")).orderBy("call", "task_id", "reward").collect()
+    assert [(r.call, r.task_id, r.reward, r["rank"]) for r in log_rows] == [(0, "a", 0.0, 3), (0, "a", 1.0, 3), (0, "b", 0.5, 3), (0, "b", 0.5, 3), (1, None, 1.0, 3)]
+    assert all(r.completion_chars == len(r.completion) for r in log_rows)
+    for texts, tests in (([good] * 3, [["assert 1"]] * 2), ([good], []), ([good], [None])):
+        with pytest.raises(gates.GateError):
+            reward(texts, tests)
+    bad = spark.createDataFrame([("[1, 2", 1), (None, 2)], "t string, i int")
+    for i, why in ((1, "no JSON list"), (2, "is null")):
+        with pytest.raises(PySparkException, match=why):
+            bad.where(F.col("i") == i).select(execution.listed_tests(F.col("t"))).collect()
+
+
+def test_programs_that_print_without_end():
+    assert execution.run_program("while True:\n    print('x' * 10000)", timeout=5) == (False, "")
+    assert execution.run_program("print('a\\r\\nb')") == (True, "a\nb\n")
+    assert execution.passes_case("def f(x):\n    return x", {"type": "call", "fn_name": "f", "args": "3", "expected": "3"})
+
+
+def test_row_counts_and_budgets(spark):
+    rows = spark.range(5)
+    assert gates.require_rows(rows, 5) == 5 and gates.require_rows(rows, 9, strict=False) == 5
+    for df, least in ((rows, 6), (rows.limit(0), 0)):
+        with pytest.raises(gates.GateError):
+            gates.require_rows(df, least)
+    gates.require_equal_counts(rows, rows)
+    with pytest.raises(gates.GateError):
+        gates.require_equal_counts(rows, rows.limit(2))
+
+
+def test_live_traces_and_folds(spark):
+    rows = spark.createDataFrame([("a", "p", completion("t", "n", "x = 1"))], "task_id string, prompt string, output string")
+    got = harvest.live_trace(rows, F.col("output"), F.lit(0.5)).first()
+    assert (got.thinking, got.collaboration, got.code, got.reward, got.work_trace) == ("t", "n", "x = 1", 0.5, "t\n[CODE]\nx = 1")
+    many = pairs.train_eval_split(spark.range(4000).withColumnRenamed("id", "k"), "k")
+    assert 120 < many.where("fold = 'eval'").count() < 280 and pairs.train_eval_split(spark.range(19).withColumnRenamed("id", "k"), "k").where("fold = 'eval'").count() == 0
 
 
 def test_logs(spark):

@@ -35,3 +35,18 @@ def test_unseen_rows_are_appended_once(spark, tmp_path):
     rows(folder, "b.jsonl", [{"call": 1, "task_id": "a"}, {"call": 2, "task_id": "a"}])
     stream()
     assert sorted(r.call for r in spark.read.parquet(out).collect()) == ["1", "2"]
+
+
+def test_latest_row_and_windows(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    rows(folder, "a.jsonl", [{"call": c, "task_id": t, "reward": c / 10, "completion": f"{t}{c}"} for c, t in ((1, "a"), (5, "a"), (3, "b"))])
+    query = audit.latest_per_task(audit.read(spark, str(folder))).writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {(r.task_id, r.call, r["last"].completion) for r in spark.table("latest").collect()} == {("a", 5, "a5"), ("b", 3, "b3")}
+    timed = audit.read(spark, str(folder)).withColumn("at", F.timestamp_seconds(F.col("call").cast("long") * 200))
+    windows = audit.windowed_rewards(timed, "at")
+    query = windows.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.rows, round(r.reward_mean, 3)) for r in spark.table("windows").collect())
+    assert got == [(1, 0.1), (2, 0.4)]

@@ -40,16 +40,14 @@ def closed(row):
 
 def test_fences_budgets_and_losses_read_whole_texts(whole):
     rows = {i: ids(t) for i, t in enumerate(TEXTS)}
-    assert whole("fence_mask_whole") == {i: (len(r), closed(r)) for i, r in rows.items()}
+    assert whole("fence_mask") == {i: (len(r), closed(r)) for i, r in rows.items()}
     last = lambda r: r[len(r) - r[::-1].index(7) :] if 7 in r else []
-    assert whole("fence_stop_whole") == {i: (last(r).count(8) >= 2,) for i, r in rows.items()}
-    assert whole("loss_mask_whole") == {i: (len(r) == 30 and 7 not in r, len(r) - (len(r) > 20 and r[20] == 7)) for i, r in rows.items()}
-    got = whole("grpo_objective_whole")
+    assert whole("fence_stop") == {i: (last(r).count(8) >= 2,) for i, r in rows.items()}
+    assert whole("loss_mask") == {i: (len(r) == 30 and 7 not in r, len(r) - (len(r) > 20 and r[20] == 7)) for i, r in rows.items()}
+    got = whole("grpo_objective")
     for i, r in rows.items():
         ratio = [(t % 4) / 4 - t / 8 for t in r if t % 3]
         assert got[i][0] == pytest.approx(sum(-(0.5 - 0.04 * (math.exp(x) - x - 1)) for x in ratio) / max(1, len(ratio)), abs=2e-6)
-    # the first 400 characters give other results
-    assert all(whole(name) != whole(f"{name}_whole") for name in ("fence_mask", "fence_stop", "loss_mask", "grpo_objective"))
 
 
 def test_lenient_scores_of_all_forms(spark, tmp_path):
@@ -62,13 +60,12 @@ def test_lenient_scores_of_all_forms(spark, tmp_path):
         form = i % 9
         # fields that the form lacks: all, overall (then the mean), or clarity
         want[i] = [0.0] * 5 if form == 8 else [*s[:4], sum(s[:4]) / 4] if form in (4, 7) else [*s[:4], 0.0] if form == 5 else [0.0, *s[1:]] if form == 6 else s
-    assert {r.doc_id: list(r)[1:] for r in run("judge_scores_lenient_whole")} == {i: pytest.approx(x) for i, x in want.items()}
-    assert list(run("readability_means_whole")[0]) == pytest.approx([n, *(sum(x[k] for x in want.values()) / n for k in range(5))])
-    assert run("readability_means")[0].n == n * 4 // 9
+    assert {r.doc_id: list(r)[1:] for r in run("judge_scores_lenient")} == {i: pytest.approx(x) for i, x in want.items()}
+    assert list(run("readability_means")[0]) == pytest.approx([n, *(sum(x[k] for x in want.values()) / n for k in range(5))])
 
 
 def test_stdout_keeps_rows_with_other_line_ends(spark, tmp_path):
     texts = {i: t for i, t in enumerate(["a \r\nb\t\r\n\r\n", "a\x0bb \x0c c", "x\x1cy\x1dz\x1e", "p\x85q \u2028r\u2029", "plain \n\n", "\r", None])}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.out for r in registry.queries()["stdout_normal_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.out for r in registry.queries()["stdout_normal"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else "\n".join(x.rstrip() for x in t.splitlines()).rstrip("\n") for i, t in texts.items()}

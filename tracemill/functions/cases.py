@@ -71,7 +71,8 @@ def _wrapped(v: Column, fallback: Column | None) -> Column:
         return F.struct(kind.alias("type"), _text(x, "input").alias("input"), _text(x, "output").alias("output"), got.alias("fn_name")).cast(CASE)
 
     wrapped = F.transform(F.try_variant_get(v, "$.cases", "array<variant>"), own)
-    plain = F.transform(F.filter(_items(v), lambda x: _is(x, "OBJECT")), lambda x: F.struct(_text(x, "type").alias("type"), _text(x, "input").alias("input"), _text(x, "output").alias("output"), _text(x, "fn_name").alias("fn_name")).cast(CASE))
+    either = lambda x, a, b: F.when(_present(x, a), _text(x, a)).when(F.lower(_text(x, "type")).isin(*CALLS), _text(x, b))
+    plain = F.transform(F.filter(_items(v), lambda x: _is(x, "OBJECT")), lambda x: F.struct(_text(x, "type").alias("type"), either(x, "input", "args").alias("input"), either(x, "output", "expected").alias("output"), _text(x, "fn_name").alias("fn_name")).cast(CASE))
     rest = public_cases(fallback) if fallback is not None else F.array().cast(_NONE)
     return F.when(_is(v, "OBJECT") & _present(v, "cases"), F.coalesce(wrapped, F.array().cast(_NONE))).when(_is(v, "ARRAY"), plain).otherwise(rest)
 

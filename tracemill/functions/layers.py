@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .pytext import WORD, WS, let, strip
 
@@ -64,5 +69,25 @@ def function_name(code: Column) -> Column:
     return F.nullif(F.regexp_extract(code, rf"(?m)^{WS}*(?:async{WS}+)?def{WS}+({WORD}+){WS}*\(", 1), F.lit(""))
 
 
+@F.pandas_udf(StringType())
+def parsed_function_name(codes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The first function at the top level of a program, by its syntax tree; null if there is none or it doesn't parse."""
+
+    def first(code: str | None) -> str | None:
+        try:
+            tree = ast.parse(code or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None
+        return next((x.name for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))), None)
+
+    for batch in codes:
+        yield batch.map(first)
+
+
+def first_function(code: Column) -> Column:
+    """The parsed name, else the name that the pattern finds."""
+    return F.coalesce(parsed_function_name(code), function_name(code))
+
+
 def content_key(code: Column) -> Column:
     return F.sha1(strip(code))

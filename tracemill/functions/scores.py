@@ -105,6 +105,11 @@ def _leniently(v: Column) -> Column:
     return F.struct(*(value[k].alias(k) for k in DETAILS), F.when(absent & some, mean).otherwise(value["overall"]).alias("overall"))
 
 
+def passes(scores: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether the overall score reaches the threshold; a missing one is 0."""
+    return F.coalesce(scores["overall"], F.lit(0.0)) >= threshold
+
+
 def keeps_pair(regen: Column, rl: Column, threshold: float = THRESHOLD, gap: float = GAP) -> Column:
     """regen >= threshold, regen > rl and regen - rl >= gap; null: false. Not-a-number never fails a comparison here, as each test is a rejection."""
     low = (regen < threshold) & ~F.isnan(regen)

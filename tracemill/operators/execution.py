@@ -8,6 +8,7 @@ hostile code: run only programs you may run.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import resource
@@ -23,9 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.functions.cases import CALLS
+
 TIMEOUT = 10
 MAX_TESTS = 5
-WORKERS = 16
+WORKERS = int(os.environ.get("CODE_EXEC_MAX_WORKERS", "16"))
+#: A program that prints more bytes is ended and has failed.
+MOST_OUTPUT = 1 << 20
 MAX_CASES = 40
 _MEMORY = 1 << 30
 _CALL = """
@@ -59,7 +64,7 @@ def _limits(seconds: int):
         os.setsid()
         resource.setrlimit(resource.RLIMIT_CPU, (seconds + 1, seconds + 1))
         resource.setrlimit(resource.RLIMIT_AS, (_MEMORY, _MEMORY))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 24, 1 << 24))
+        resource.setrlimit(resource.RLIMIT_FSIZE, (MOST_OUTPUT + 1, MOST_OUTPUT + 1))
         resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
 
     return apply
@@ -72,14 +77,21 @@ def run_program(source: str, stdin: str = "", timeout: int = TIMEOUT) -> tuple[b
         path = os.path.join(home, "program.py")
         with open(path, "w", encoding="utf-8", errors="surrogatepass") as f:
             f.write(source)
-        child = subprocess.Popen([sys.executable, "-I", path], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, cwd=home, env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"}, preexec_fn=_limits(timeout), text=True, encoding="utf-8", errors="replace")
-        try:
-            out, _ = child.communicate(stdin, timeout=timeout)
-            return child.returncode == 0, out
-        except subprocess.TimeoutExpired:
-            os.killpg(child.pid, signal.SIGKILL)
-            child.communicate()
-            return False, ""
+        with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as printed:
+            given.write(stdin.encode("utf-8", "surrogatepass"))
+            given.seek(0)
+            child = subprocess.Popen([sys.executable, "-I", path], stdin=given, stdout=printed, stderr=subprocess.DEVNULL, cwd=home, env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"}, preexec_fn=_limits(timeout))
+            try:
+                code = child.wait(timeout)
+            except subprocess.TimeoutExpired:
+                os.killpg(child.pid, signal.SIGKILL)
+                child.wait()
+                return False, ""
+            # the file size limit ends programs that print without end; nothing of them is read
+            if code or printed.tell() > MOST_OUTPUT or os.fstat(printed.fileno()).st_size > MOST_OUTPUT:
+                return False, ""
+            printed.seek(0)
+            return True, printed.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
     except (OSError, ValueError):
         return False, ""
     finally:
@@ -119,13 +131,13 @@ def call_arguments(value) -> list:
 def passes_case(code: str, case: dict, timeout: int = TIMEOUT) -> bool:
     """A call case compares the function's value, a stdin case what the program prints."""
     kind = str(case.get("type") or "stdin").lower()
-    if kind in ("call", "functional", "call_based", "function"):
-        expected = case.get("output")
+    if kind in CALLS:
+        expected = case.get("output", case.get("expected"))
         try:
             expected = json.loads(expected) if isinstance(expected, str) else expected
         except json.JSONDecodeError:
             pass
-        spec = {"fn": case.get("fn_name") or "solve", "args": call_arguments(case.get("input")), "expected": expected}
+        spec = {"fn": case.get("fn_name") or "solve", "args": call_arguments(case.get("input", case.get("args"))), "expected": expected}
         return run_program(f"{code}\n{_CALL}", json.dumps(spec), timeout)[0]
     ok, out = run_program(code, str(case.get("input") or ""), timeout)
     return ok and normal_output(out) == normal_output(str(case.get("output") or ""))
@@ -198,6 +210,39 @@ def passed_tasks(rows: DataFrame, key: str = "ord", timeout: int = TIMEOUT) -> D
     return rows.select(key).join(got, key, "left").select(key, F.coalesce("passed", none).alias("passed"))
 
 
+def listed_tests(tests: Column) -> Column:
+    """Tests that a reward row brings as JSON text, as a list; text that is no list of texts, or none at all, is an error."""
+    got = F.from_json(tests, "array<string>", {"mode": "PERMISSIVE"})
+    why = F.when(tests.isNull(), F.lit("test_cases is null")).otherwise(F.concat(F.lit("test_cases is no JSON list: "), F.substring(tests, 1, 80)))
+    return F.coalesce(F.when(F.try_parse_json(tests).isNotNull(), got), F.raise_error(why).cast("array<string>"))
+
+
+def reward_callable(spark, folder: str | None = None, rank: int = 0, timeout: int = TIMEOUT, max_tests: int = MAX_TESTS):
+    """reward(completions, test_cases, task_id) -> list of rewards, for a trainer's loop; each call is a partition of the audit log in folder.
+
+    Lists of tests stand for as many completions each as the counts allow; a count that doesn't fit, or null tests, is an error.
+    """
+    from tracemill.functions.layers import extract_code
+
+    from .gates import GateError
+
+    calls = itertools.count()
+
+    def reward(completions, test_cases, task_id=None):
+        n, m = len(completions), len(test_cases)
+        if not m or n % m or any(t is None for t in test_cases) or (task_id is not None and len(task_id) * (n // m) != n and len(task_id) != n):
+            raise GateError(f"{n} completions, {m} rows of tests")
+        ids = task_id if task_id is not None else [None] * m
+        each = [(i, ids[i * len(ids) // n], text, json.loads(t) if isinstance(t := test_cases[i * m // n], str) else list(t)) for i, text in enumerate(completions)]
+        rows = spark.createDataFrame(each, "ord int, task_id string, completion string, test_cases array<string>").withColumn("code", extract_code(F.col("completion")))
+        got = rows.join(rewards(rows, timeout=timeout, max_tests=max_tests), "ord").withColumn("call", F.lit(next(calls)).cast("bigint"))
+        if folder is not None:
+            audited(got).withColumn("rank", F.lit(rank)).write.mode("append").partitionBy("rank").json(folder)
+        return [r.reward for r in got.select("ord", "reward").orderBy("ord").collect()]
+
+    return reward
+
+
 def audited(rows: DataFrame, reward: Column | None = None) -> DataFrame:
     """Reward log rows (call, task_id, reward, flags, completion) of (call, task_id, completion, reward)."""
     from tracemill.functions.layers import diagnostics

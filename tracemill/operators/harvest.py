@@ -37,8 +37,11 @@ def window_start(audit: DataFrame, later_frac: float = LATER_FRAC) -> DataFrame:
     """One row (max_call, later_cut) over all logged rows."""
     if not 0.0 < later_frac <= 1.0:
         raise ValueError(f"later_frac must be in (0, 1], got {later_frac}")
-    top = F.max(call_number(F.col("call")))
-    return audit.agg(top.alias("max_call")).withColumn("later_cut", (F.col("max_call") * F.lit(1.0 - later_frac)).cast("bigint"))
+    return audit.agg(F.max(call_number(F.col("call"))).alias("max_call")).withColumn("later_cut", _cut(later_frac))
+
+
+def _cut(later_frac: float) -> Column:
+    return (F.col("max_call") * F.lit(1.0 - later_frac)).cast("bigint")
 
 
 def split_rows(rows: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -49,16 +52,26 @@ def split_rows(rows: DataFrame, prompts: DataFrame) -> DataFrame:
     return parts.withColumn("skipped", skipped)
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """Of each task and program the row with the greatest call, of those the last by ord; first_ord is the key's first."""
-    keyed = rows.where("skipped is null").withColumn("key_", layers.content_key(F.col("layers.code"))).withColumn("call_", call_number(F.col("call")))
-    row = F.struct("task_prompt", F.col("completion").alias("full_output"), "layers", "reward", F.col("call_").alias("audit_call"), *([F.col("file").alias("audit_file")] if "file" in rows.columns else []))
-    best = keyed.groupBy("task_id", "key_").agg(F.max_by(row, F.struct("call_", "ord")).alias("r"), F.min("ord").alias("first_ord"))
-    file = F.col("r.audit_file") if "file" in rows.columns else F.lit(None).cast("string")
-    return best.select(
-        "task_id", "r.task_prompt", "r.full_output", "r.layers.thinking", "r.layers.code", "r.layers.collaboration", "r.reward",
-        F.concat("r.layers.thinking", F.lit("\n[CODE]\n"), "r.layers.code").alias("work_trace"),
-        F.lit(SOURCE).alias("source"), "r.audit_call", file.alias("audit_file"), "first_ord",
+def marked(audit: DataFrame, prompts: DataFrame, min_reward: float, later_frac: float) -> DataFrame:
+    """(task_id, key, call, ord, later, skipped) of the positive rows: what choosing needs, without texts."""
+    rows = split_rows(positive(audit, min_reward), prompts).crossJoin(F.broadcast(window_start(audit, later_frac)))
+    call = call_number(F.col("call"))
+    return rows.select("task_id", F.when(F.col("skipped").isNull(), layers.content_key(F.col("layers.code"))).alias("key"), call.alias("call"), "ord", (call >= F.col("later_cut")).alias("later"), "skipped")
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """Of each task and program, over the later window and over all rows, the place of the row with the greatest call, of those the last by ord; and the first ord."""
+    place, late = F.struct("call", "ord"), F.col("later")
+    return rows.where("skipped is null").groupBy("task_id", "key").agg(F.max(F.when(late, place)).alias("late"), F.min(F.when(late, F.col("ord"))).alias("late_first"), F.max(place).alias("every"), F.min("ord").alias("every_first"))
+
+
+def _traces(rows: DataFrame) -> DataFrame:
+    """Traces of audit rows with their layers."""
+    file = F.col("file") if "file" in rows.columns else F.lit(None).cast("string")
+    return rows.select(
+        "task_id", "task_prompt", F.col("completion").alias("full_output"), "layers.thinking", "layers.code", "layers.collaboration", "reward",
+        F.concat("layers.thinking", F.lit("\n[CODE]\n"), "layers.code").alias("work_trace"),
+        F.lit(SOURCE).alias("source"), call_number(F.col("call")).alias("audit_call"), file.alias("audit_file"), "first_ord", "window",
     )
 
 
@@ -69,40 +82,38 @@ def trace_order() -> list[Column]:
 def harvest(audit: DataFrame, prompts: DataFrame, *, min_reward: float = MIN_REWARD, later_frac: float = LATER_FRAC, min_later: int = MIN_LATER, max_traces: int | None = None) -> DataFrame:
     """Traces of the later window if there are min_later of them, else of all positive rows; window says which.
 
-    Both sets come from one pass: each row says whether it is in the window, and the number of the window's
-    traces decides in the plan. audit has ord, the input order.
+    audit has ord, the unique input order. Rows are chosen by calls and places alone, for both windows in one
+    aggregation, and the number of the later window's traces decides in the plan; only then are texts joined
+    with the places that won.
     """
-    rows = split_rows(positive(audit, min_reward), prompts)
-    cut = window_start(audit, later_frac)
-    marked = rows.crossJoin(F.broadcast(cut)).withColumn("later_", call_number(F.col("call")) >= F.col("later_cut"))
-    late = latest(marked.where("later_"))
-    size = late.agg(F.count(F.lit(1)).alias("late_"))
-    chosen = (
-        late.crossJoin(F.broadcast(size)).where(F.col("late_") >= min_later).withColumn("window", F.lit("later"))
-        .unionByName(latest(marked).crossJoin(F.broadcast(size)).where(F.col("late_") < min_later).withColumn("window", F.lit("all")))
-        .drop("late_")
-    )
-    return chosen if max_traces is None else chosen.orderBy(*trace_order()).limit(max_traces)
+    found = _winners(marked(audit, prompts, min_reward, later_frac))
+    use = F.broadcast(found.agg((F.count("late") >= min_later).alias("use")))
+    pick = lambda a, b: F.when(F.col("use"), F.col(a)).otherwise(F.col(b))
+    chosen = found.crossJoin(use).select(pick("late.ord", "every.ord").alias("ord"), pick("late_first", "every_first").alias("first_ord"), F.when(F.col("use"), "later").otherwise("all").alias("window")).where("ord is not null")
+    traces = _traces(split_rows(positive(audit, min_reward).join(chosen, "ord"), prompts))
+    return traces if max_traces is None else traces.orderBy(*trace_order()).limit(max_traces)
 
 
 def stats(audit: DataFrame, prompts: DataFrame, *, min_reward: float = MIN_REWARD, later_frac: float = LATER_FRAC, min_later: int = MIN_LATER) -> DataFrame:
-    """One row of counts of a harvest."""
-    rows = split_rows(positive(audit, min_reward), prompts)
-    cut = window_start(audit, later_frac)
-    late = call_number(F.col("call")) >= F.col("later_cut")
-    why = rows.crossJoin(F.broadcast(cut)).agg(
-        F.count(F.lit(1)).alias("positive_rows"),
-        F.count_if((F.col("skipped") == "no_prompt") & late).alias("late_no_prompt"), F.count_if(F.col("skipped") == "no_prompt").alias("all_no_prompt"),
-        F.count_if((F.col("skipped") == "split") & late).alias("late_split"), F.count_if(F.col("skipped") == "split").alias("all_split"),
+    """One row of counts of a harvest, from one aggregation of the marked rows by task and program."""
+    late = F.col("later")
+    why = {"no_prompt": F.col("skipped") == "no_prompt", "split": F.col("skipped") == "split"}
+    keys = marked(audit, prompts, min_reward, later_frac).groupBy("task_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(late & F.col("key").isNotNull()).alias("late"),
+        *(F.count_if(c).alias(f"all_{k}") for k, c in why.items()), *(F.count_if(c & late).alias(f"late_{k}") for k, c in why.items()),
     )
-    kept = harvest(audit, prompts, min_reward=min_reward, later_frac=later_frac, min_later=min_later).agg(F.count(F.lit(1)).alias("kept"), F.countDistinct("task_id").alias("unique_tasks"), F.coalesce(F.bool_and(F.col("window") == "later"), F.lit(False)).alias("used_later_window"))
-    return (
-        audit.agg(F.count(F.lit(1)).alias("audit_rows")).crossJoin(cut).crossJoin(why).crossJoin(kept)
-        .select("audit_rows", "positive_rows", "max_call", "later_cut",
-                F.when(F.col("used_later_window"), F.col("late_no_prompt")).otherwise(F.col("all_no_prompt")).alias("skipped_no_prompt"),
-                F.when(F.col("used_later_window"), F.col("late_split")).otherwise(F.col("all_split")).alias("skipped_split"),
-                "kept", "unique_tasks", "used_later_window")
+    kept, kept_late = F.col("key").isNotNull(), F.col("late") > 0
+    total = keys.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("positive_rows"), F.count_if(kept).alias("all_kept"), F.count_if(kept_late).alias("late_kept"),
+        F.countDistinct(F.when(kept, F.col("task_id"))).alias("all_tasks"), F.countDistinct(F.when(kept_late, F.col("task_id"))).alias("late_tasks"),
+        *(F.coalesce(F.sum(f"{w}_{k}"), F.lit(0)).alias(f"{w}_{k}") for w in ("all", "late") for k in why),
     )
+    pick = lambda name: F.when(F.col("used_later_window"), F.col(f"late_{name}")).otherwise(F.col(f"all_{name}"))
+    return (
+        audit.agg(F.count(F.lit(1)).alias("audit_rows"), F.max(call_number(F.col("call"))).alias("max_call"))
+        .crossJoin(total.withColumn("used_later_window", F.col("late_kept") >= min_later))
+        .select("audit_rows", "positive_rows", "max_call", _cut(later_frac).alias("later_cut"), pick("no_prompt").alias("skipped_no_prompt"), pick("split").alias("skipped_split"), pick("kept").alias("kept"), pick("tasks").alias("unique_tasks"), "used_later_window")
+    )
 
 
 def live_trace(task: DataFrame, output: Column, reward: Column) -> DataFrame:

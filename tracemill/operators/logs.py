@@ -23,7 +23,7 @@ def progress(texts: DataFrame, total: int = TOTAL) -> DataFrame:
 def latest_progress(texts: DataFrame, total: int = TOTAL) -> DataFrame:
     """The last mark of each step."""
     last = progress(texts, total).groupBy("step").agg(F.max_by(F.struct("elapsed", "eta", "sec_per_it"), F.struct("place", "pos")).alias("m"))
-    return last.select("step", "m.*")
+    return last.select("step", "m.*").orderBy("step")
 
 
 def metric_events(texts: DataFrame) -> DataFrame:

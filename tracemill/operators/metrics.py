@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -63,6 +63,18 @@ def leak_rates(df: DataFrame, keys: list[str], thinking: str = "thinking", colla
     return df.select(*keys).join(both, keys, "left").select(*keys, F.coalesce("leaked", zero).alias("leaked"), F.coalesce("grams", zero).alias("grams"), F.coalesce(F.try_divide("leaked", "grams"), F.lit(0.0)).alias("leak_rate"))
 
 
+def mean_leak_rate(rates: DataFrame) -> DataFrame:
+    """One row (n, mean_leak_rate) of what leak_rates gives."""
+    return rates.agg(F.count(F.lit(1)).alias("n"), mean(F.col("leak_rate")).alias("mean_leak_rate"))
+
+
+def gains(cycles: DataFrame, value: str, least: float = 0.01) -> DataFrame:
+    """Rows (cycle, value) with gain, the difference to the cycle before, and stop: two gains in a row under least. The table has a row a cycle."""
+    over = Window.orderBy("cycle")
+    gained = cycles.withColumn("gain", F.col(value) - F.lag(value).over(over))
+    return gained.withColumn("stop", F.coalesce((F.col("gain") < least) & (F.lag("gain").over(over) < least), F.lit(False)))
+
+
 def leak_rate(thinking: Column, collaboration: Column, n: int = LEAK_N) -> Column:
     """The same as an expression, for short texts."""
     grams = lambda c: tokens.ngrams(pytext.word_tokens(F.coalesce(c, F.lit(""))), n)
@@ -98,8 +110,6 @@ def audit_summary(audit: DataFrame, top: int = 8) -> DataFrame:
 
 def histogram(audit: DataFrame, top: int = 8) -> DataFrame:
     """(place, reward, n): the most frequent rewards, rounded to two decimals; ties by first appearance."""
-    from pyspark.sql import Window
-
     from .harvest import reward_value
 
     rounded = F.bround(F.coalesce(reward_value(F.col("reward")), F.lit(0.0)), 2)

@@ -43,11 +43,17 @@ def shard_of(df: DataFrame, parts: int, order: str) -> DataFrame:
 
 
 def rank(df: DataFrame, order: str) -> DataFrame:
-    """Adds rank, 1 for the least value of order (which is unique): no window over all rows."""
-    dealt = df.repartitionByRange(F.col(order)).withColumn("part_", F.spark_partition_id())
+    """Adds rank, 1 for the least value of order (which is unique, and a number): no window over all rows.
+
+    The ranges are fixed values of order, from a bounded sample of it, so that both uses of them agree however the plan is run.
+    """
+    parts = min(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / parts for k in range(1, parts)] if parts > 1 else [0.5]
+    edges = df.agg(F.percentile_approx(F.col(order), F.array(*map(F.lit, shares)), F.lit(10_000)).alias("edges_"))
+    dealt = df.crossJoin(F.broadcast(edges)).withColumn("part_", F.size(F.filter(F.coalesce("edges_", F.array().cast(edges.schema[0].dataType)), lambda e: e < F.col(order)))).drop("edges_")
     own = dealt.withColumn("own_", F.row_number().over(Window.partitionBy("part_").orderBy(order)))
-    counts = own.groupBy("part_").agg(F.min(order).alias("least_"), F.count(F.lit(1)).alias("n_"))
-    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("least_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    counts = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
     return own.join(F.broadcast(before), "part_").withColumn("rank", F.col("own_") + F.col("before_")).drop("part_", "own_", "before_")
 
 
@@ -66,6 +72,6 @@ def fan_out(prompts: DataFrame, completions: DataFrame, group: int) -> DataFrame
     return placed.join(prompts.withColumnRenamed("ord", "prompt_ord"), "prompt_ord").crossJoin(F.broadcast(checked)).where("fits_").drop("fits_")
 
 
-def zip_rows(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
-    """Row i with row i; the longer side's rest is cut off."""
-    return left.join(right, order)
+def zip_rows(left: DataFrame, right: DataFrame, order: str, other_order: str) -> DataFrame:
+    """Row i of left by its order with row i of right by its order, as rank; the longer side's rest is cut off."""
+    return rank(left, order).join(rank(right, other_order), "rank")

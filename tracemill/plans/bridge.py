@@ -90,14 +90,14 @@ TRACES_SQL = (
 
 
 _PAIR_TEXT = """case conv_id % 5 when 0 then reply when 1 then ' ' || reply || chr(10) when 2 then '  ' when 3 then repeat(reply || ' ', 40) else '[regen-paraphrase] ' || reply end"""
-PAIRS_SQL = TURNS_SQL + f""", pairs as (select ord, 'mbpp_' || cast(conv_id % 25 as varchar) as task_id, ask as task_prompt, substr(ask, 1, 40) as thinking,
+PAIRS_SQL = TURNS_SQL + f""", pairs as (select ord, 'mbpp_' || cast(conv_id % 25 as varchar) as task_id, ask as task_prompt, ask as thinking,
  case when turn % 6 = 2 then '' else 'x = ' || cast(turn as varchar) end as code, reply as rl_collaboration, {_PAIR_TEXT} as regen_collaboration,
  cast(turn as double) / 4 as reward from turns)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select(
-        "ord", F.expr("'mbpp_' || cast(conv_id % 25 as string)").alias("task_id"), F.col("ask").alias("task_prompt"), F.substring("ask", 1, 40).alias("thinking"),
+        "ord", F.expr("'mbpp_' || cast(conv_id % 25 as string)").alias("task_id"), F.col("ask").alias("task_prompt"), F.col("ask").alias("thinking"),
         F.expr("case when turn % 6 = 2 then '' else 'x = ' || cast(turn as string) end").alias("code"), F.col("reply").alias("rl_collaboration"), F.expr(_PAIR_TEXT).alias("regen_collaboration"), F.expr("cast(turn as double) / 4").alias("reward"),
     )
 
@@ -139,12 +139,12 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RAW_ID = "case doc_id % 4 when 0 then 'mbpp_' || cast(doc_id % 400 as {T}) when 1 then 'Mbpp/' || cast(doc_id % 400 as {T}) when 2 then cast(doc_id % 400 as {T}) else 'mbpp_00' || cast(doc_id % 400 as {T}) end"
 _SPLIT = "case doc_id % 5 when 0 then 'train' when 1 then 'test' when 2 then 'validation' when 3 then 'prompt' else 'other' end"
-SPLITS_SQL = f"splits as (select doc_id as ord, {_RAW_ID} as task_id, {_SPLIT} as split, case when doc_id % 7 = 0 then '' else source end as text, lang as prompt, substr(text, 1, 30) as code from documents)".replace("{T}", "varchar")
+SPLITS_SQL = f"splits as (select doc_id as ord, {_RAW_ID} as task_id, {_SPLIT} as split, case when doc_id % 7 = 0 then '' else source end as text, lang as prompt, text as code from documents)".replace("{T}", "varchar")
 EVAL_IDS_SQL = "eval_ids as (select case item_id % 3 when 0 then 'Mbpp/' || cast(item_id * 3 as varchar) when 1 then 'mbpp_' || cast(item_id * 3 as varchar) else cast(item_id * 3 as varchar) end as task_id from benchmark)"
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.expr(_RAW_ID.replace("{T}", "string")).alias("task_id"), F.expr(_SPLIT).alias("split"), F.expr("case when doc_id % 7 = 0 then '' else source end").alias("text"), F.col("lang").alias("prompt"), F.substring("text", 1, 30).alias("code"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.expr(_RAW_ID.replace("{T}", "string")).alias("task_id"), F.expr(_SPLIT).alias("split"), F.expr("case when doc_id % 7 = 0 then '' else source end").alias("text"), F.col("lang").alias("prompt"), F.col("text").alias("code"))
 
 
 def eval_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +179,9 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.expr(_CASES.replace("{T}", "string")).alias("raw"))
 
 
-TOKENS_SQL = "token_rows as (select doc_id, list_transform(string_split(substr(text, 1, 400), ' '), lambda w: cast(length(w) % 10 as integer)) as ids from documents)"
+TOKENS_SQL = "token_rows as (select doc_id, list_transform(string_split(text, ' '), lambda w: cast(length(w) % 10 as integer)) as ids from documents)"
 
 
-def token_rows(spark: SparkSession, sf_dir: str, chars: int | None = 400) -> DataFrame:
-    """Word lengths modulo 10 as token ids: 7 ends thinking, 8 is a fence. Of each text's first chars characters, as TOKENS_SQL has it, or of the whole text (None)."""
-    body = F.col("text") if chars is None else F.substring("text", 1, chars)
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split(body, " "), lambda w: (F.length(w) % 10).cast("int")).alias("ids"))
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths modulo 10 as token ids: 7 ends thinking, 8 is a fence."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: (F.length(w) % 10).cast("int")).alias("ids"))

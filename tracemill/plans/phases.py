@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -10,37 +11,34 @@ from tracemill.sources.jsonl import read_document, write_document
 
 #: The phases of a cycle, in order.
 PHASES = ("phase1_grpo", "phase1_eval", "phase2_collect", "phase3_regen", "phase3_filter", "phase4_dpo", "phase4_eval")
-DEFAULTS = {
-    "min_reward": 0.0, "later_frac": 1 / 3, "min_later_traces": 32, "num_tasks": 2000, "max_collab_chars": 4000, "threshold": 6.0, "min_gap": 0.5, "min_pairs": 1, "max_score_error_rate": 0.25,
-    "timeout": 10, "max_tests": 5, "plus_cases": 40, "leak_n": 3, "improve": 0.05, "preserve": 0.02, "regen_rows": 3000, "eval_tasks": 200, "readability_tasks": 50,
-    "thinking_budget": 256, "max_new_tokens": 768, "eval_split": 0.05, "eval_split_min_rows": 20, "seed": 42, "workers": 16, "cycles": 2,
-}
+CYCLES = 2
 
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
 
-def phases_from(current: str | None) -> list[str]:
-    """The phases from the current one; all of them for an unknown one."""
-    return list(PHASES[PHASES.index(current) :]) if current in PHASES else list(PHASES)
+_PLACE = {name: place for place, name in enumerate(PHASES)}
 
 
-def next_phase(phase: str) -> str | None:
-    """The phase after this one: the first after an unknown one, None after the last."""
-    if phase not in PHASES:
-        return PHASES[0]
-    at = PHASES.index(phase) + 1
-    return PHASES[at] if at < len(PHASES) else None
+def work(state: dict, cycles: int) -> range:
+    """The numbers of all work that is left: cycle times the number of phases, plus the phase's place (an unknown phase: the first)."""
+    return range(state["current_cycle"] * len(PHASES) + _PLACE.get(state.get("current_phase"), 0), cycles * len(PHASES))
 
 
-def advanced(state: dict, phase: str, cycle: int) -> dict:
-    """The state after a phase: it names the next work; the last phase adds the cycle to the history."""
-    following = next_phase(phase)
-    if following:
-        return state | {"current_phase": following, "current_cycle": cycle}
-    done = {"cycle": cycle, "completed": _now(), "results": f"./results/cycle_{cycle}_eval.json"}
-    return state | {"current_phase": PHASES[0], "current_cycle": cycle + 1, "history": [*state.get("history", []), done]}
+def named(number: int) -> tuple[int, str]:
+    """The cycle and the phase of a number of work."""
+    cycle, place = divmod(number, len(PHASES))
+    return cycle, PHASES[place]
+
+
+def moved(state: dict, number: int) -> dict:
+    """The state that points to this work; where a cycle begins, the one before it is history."""
+    cycle, phase = named(number)
+    new = {**state, "current_cycle": cycle, "current_phase": phase}
+    if cycle and phase == PHASES[0]:
+        new["history"] = [*state.get("history", ()), {"cycle": cycle - 1, "completed": _now(), "results": f"./results/cycle_{cycle - 1}_eval.json"}]
+    return new
 
 
 def load_state(path: str, *, resume: bool, cycle: int | None = None) -> dict:
@@ -62,22 +60,52 @@ def model_path(root: str, cycle: int, stage: str, base: str) -> str:
     return str(Path(root) / "checkpoints" / f"cycle_{cycle}" / f"model_{stage}")
 
 
-def run(root: str, steps: dict, *, resume: bool = False, cycles: int = DEFAULTS["cycles"], state_file: str | None = None) -> dict:
-    """Runs the phases of the cycles that are left: steps[phase](cycle). The state is saved before and after each."""
+def run(root: str, steps: dict, *, resume: bool = False, cycles: int = CYCLES, state_file: str | None = None) -> dict:
+    """Runs the work that is left: steps[phase](cycle). The state is saved before and after each."""
     path = state_file or str(Path(root) / "pipeline_state.json")
     state = load_state(path, resume=resume)
-    while state["current_cycle"] < cycles:
-        cycle = state["current_cycle"]
-        for phase in phases_from(state.get("current_phase")):
-            save_state(path, state)
-            steps[phase](cycle)
-            state = advanced(state, phase, cycle)
-            save_state(path, state)
-    state = state | {"status": "completed"}
+    for number in work(state, cycles):
+        cycle, phase = named(number)
+        state = {**state, "current_cycle": cycle, "current_phase": phase}
+        save_state(path, state)
+        steps[phase](cycle)
+        state = moved(state, number + 1)
+        save_state(path, state)
+    state = {**state, "status": "completed"}
     save_state(path, state)
     return state
 
 
+def child(command: list[str], inputs: list[str], outputs: list[str], log: str) -> None:
+    """A phase as a child process: its inputs must be there before, its outputs after; what it prints goes to log."""
+    if gone := [p for p in inputs if not Path(p).exists()]:
+        raise FileNotFoundError(f"inputs missing: {', '.join(gone)}")
+    Path(log).parent.mkdir(parents=True, exist_ok=True)
+    with open(log, "ab") as out:
+        done = subprocess.run(command, stdout=out, stderr=subprocess.STDOUT, check=False)
+    if done.returncode:
+        raise RuntimeError(f"{command[0]} ended with {done.returncode}; see {log}")
+    if gone := [p for p in outputs if not Path(p).exists()]:
+        raise FileNotFoundError(f"outputs missing: {', '.join(gone)}")
+
+
+#: What a watchdog does by what it sees: (parent alive, all done, model saved, trainer alive, checkpoint there) to an action; None: either.
+WATCH = (
+    ((True, None, None, None, None), "wait"),
+    ((False, True, None, None, None), "idle"),
+    ((False, False, True, None, None), "resume"),
+    ((False, False, False, True, None), "wait"),
+    ((False, False, False, False, True), "resume"),
+    ((False, False, False, False, False), "report"),
+)
+
+
+def watch(**seen: bool) -> str:
+    """The action for parent, done, model, trainer and checkpoint: a crash without a checkpoint is reported, never restarted from the start."""
+    now = tuple(bool(seen[k]) for k in ("parent", "done", "model", "trainer", "checkpoint"))
+    return next(action for rule, action in WATCH if all(r is None or r == x for r, x in zip(rule, now)))
+
+
 def dry_run_marker(folder: str) -> Path:
     """Marks a folder as written by a dry run, which later steps refuse."""
     path = Path(folder) / "DRY_RUN_PLACEHOLDER"
@@ -116,6 +144,29 @@ def markdown(report: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def _grid(names: list[str], rows: list) -> list[str]:
+    cell = lambda r, n: number(r.get(n) if isinstance(r, dict) else r[n])
+    return ["| " + " | ".join(names) + " |", "|" + "---|" * len(names), *("| " + " | ".join(cell(r, n) for n in names) + " |" for r in rows)]
+
+
+def _facts(found: dict) -> list[str]:
+    return [f"- {k}: {v if isinstance(v, (list, bool)) else number(v)}" for k, v in found.items()]
+
+
+def training_report(progress: list, events: list, audit: dict, model: dict, total: int = 300) -> str:
+    """A training log as Markdown, from collected rows: progress marks, metric events, one audit summary and what the model folder holds."""
+    marks, metrics = ["step", "elapsed", "eta", "sec_per_it"], ["epoch", "reward", "reward_std", "completion_length", "kl", "grad_norm", "learning_rate", "loss"]
+    last = progress[-1] if progress else {}
+    parts = {
+        "Where it stands": [f"- step: {last['step'] if last else 'n/a'} of {total}", *_facts(model)],
+        "Last metrics": _facts({k: events[-1][k] for k in metrics}) if events else ["- none yet"],
+        "Rewards of all ranks": _facts(audit),
+        "Steps": _grid(marks, progress),
+        "Metrics": _grid(metrics, events) if events else ["none yet"],
+    }
+    return "# Training log\n\n" + "\n\n".join(f"## {title}\n\n" + "\n".join(lines) for title, lines in parts.items()) + "\n"
+
+
 def report_document(row) -> dict:
     """A one-row report as a document, for write_document and markdown."""
     return json.loads(json.dumps(row.asDict(recursive=True), default=str))

@@ -1,7 +1,6 @@
 """The registered queries: each is a function of (spark, sf_dir) and, beside it, the SQL that the oracle runs.
 
-All run over whole tables, but for those with a ``_whole`` beside them: their SQL reads a part of each text
-or of the rows, and the ``_whole`` query reads all (without SQL; tested by brute force). Names of columns are the same on both sides.
+All run over whole tables and whole texts. Names of columns are the same on both sides.
 """
 
 from __future__ import annotations
@@ -223,12 +222,12 @@ def case_tasks(spark, sf):
     return made.select(F.substring_index("task_id", "_", -1).cast("bigint").alias("item_id"), "task_id", "prompt", F.size("lcb_tests").alias("n_cases"), F.get("lcb_tests", 0)["fn_name"].alias("fn_name"))
 
 
-_ASSERTS = "'  assert f(' || cast(doc_id as {T}) || ') == 1' || chr(10) || source || chr(10) || 'assert(x)' || chr(10) || 'assert g()'"
+_ASSERTS = "'  assert f(' || cast(doc_id as {T}) || ') == 1' || chr(10) || coalesce(source, '') || chr(10) || 'assert(x)' || chr(10) || 'assert g()'"
 
 
-@query("select doc_id, unnest(['assert f(' || cast(doc_id as varchar) || ') == 1', 'assert g()']) as test, unnest([1, 2]) as place from documents where source is not null")
+@query("select doc_id, unnest(['assert f(' || cast(doc_id as varchar) || ') == 1', 'assert g()']) as test, unnest([1, 2]) as place from documents")
 def assert_lines(spark, sf):
-    rows = b.table(spark, sf, "documents").where("source is not null").select("doc_id", F.posexplode(prepare.assert_lines(F.expr(_ASSERTS.replace("{T}", "string")))).alias("p", "test"))
+    rows = b.table(spark, sf, "documents").select("doc_id", F.posexplode(prepare.assert_lines(F.expr(_ASSERTS.replace("{T}", "string")))).alias("p", "test"))
     return rows.select("doc_id", "test", (F.col("p") + 1).alias("place"))
 
 
@@ -279,7 +278,7 @@ def preference_rendered(spark, sf):
     return out.select(F.get("messages", 0)["role"].alias("first_role"), F.size("messages").alias("n_messages"), F.get("messages", 1)["content"].alias("user_text"), "chosen", "rejected")
 
 
-_EXAMPLE = "case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then substr(text, 1, 9) else '  assert f(1) == 2 ' end"
+_EXAMPLE = "case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then text else '  assert f(1) == 2 ' end"
 
 
 @query(f"with x as (select doc_id, regexp_replace(text, '{b.WS}+$', '') as p, {S(_EXAMPLE)} as e from documents) select doc_id, p || case when e <> '' and not contains(p, e) then {_q(messages.EXAMPLE_LEAD)} || e else '' end || {_q(messages.CODING_SUFFIX)} as content from x")
@@ -331,28 +330,16 @@ def judge_scores_strict(spark, sf):
     return got.select("doc_id", "j.ok", "j.scores.clarity", "j.scores.overall")
 
 
-_LENIENT = f"select doc_id, {', '.join(f'coalesce({k}, 0.0::double) as {k}' for k in SCORE_KEYS[:-1])}, case when not has_overall and (clarity is not null or conciseness is not null or informativeness is not null or naturalness is not null) then (coalesce(clarity, 0) + coalesce(conciseness, 0) + coalesce(informativeness, 0) + coalesce(naturalness, 0)) / 4 else coalesce(overall, 0.0::double) end as overall from f where doc_id % 9 in (0, 4, 5, 6)"
+_LENIENT = f"select doc_id, {', '.join(f'coalesce({k}, 0.0::double) as {k}' for k in SCORE_KEYS[:-1])}, case when not has_overall and (clarity is not null or conciseness is not null or informativeness is not null or naturalness is not null) then (coalesce(clarity, 0) + coalesce(conciseness, 0) + coalesce(informativeness, 0) + coalesce(naturalness, 0)) / 4 else coalesce(overall, 0.0::double) end as overall from f"
 
 
 @query(f"with {_CAND} {_LENIENT}")
 def judge_scores_lenient(spark, sf):
-    rows = b.judge(spark, sf).where("doc_id % 9 in (0, 4, 5, 6)")
-    return rows.select("doc_id", scores.lenient(F.col("answer")).alias("s")).select("doc_id", "s.*")
+    return b.judge(spark, sf).select("doc_id", scores.lenient_answer(F.col("answer")).alias("s")).select("doc_id", "s.*")
 
 
 @query(f"with {_CAND} select count(*) as n, {', '.join(f'coalesce(avg({k}), 0.0::double) as {k}' for k in SCORE_KEYS)} from ({_LENIENT}) q")
 def readability_means(spark, sf):
-    rows = b.judge(spark, sf).where("doc_id % 9 in (0, 4, 5, 6)").withColumn("scores", scores.lenient(F.col("answer")))
-    return metrics.readability_means(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("n", *SCORE_KEYS)
-
-
-@query()
-def judge_scores_lenient_whole(spark, sf):
-    return b.judge(spark, sf).select("doc_id", scores.lenient_answer(F.col("answer")).alias("s")).select("doc_id", "s.*")
-
-
-@query()
-def readability_means_whole(spark, sf):
     rows = b.judge(spark, sf).withColumn("scores", scores.lenient_answer(F.col("answer")))
     return metrics.readability_means(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).select("n", *SCORE_KEYS)
 
@@ -516,10 +503,10 @@ def first_rows(spark, sf):
     return relational.head(b.table(spark, sf, "documents").select("doc_id", "source"), 50, ["doc_id"])
 
 
-@query("select item_id * 3 + g as ord, item_id as prompt_ord, substr(text, 1, 20) as prompt from benchmark, generate_series(0, 2) as s(g)")
+@query("select item_id * 3 + g as ord, item_id as prompt_ord, text as prompt from benchmark, generate_series(0, 2) as s(g)")
 def expand_generations(spark, sf):
     items = b.table(spark, sf, "benchmark")
-    prompts = items.select(F.col("item_id").alias("ord"), F.substring("text", 1, 20).alias("prompt"))
+    prompts = items.select(F.col("item_id").alias("ord"), F.col("text").alias("prompt"))
     completions = items.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda g: F.col("item_id") * 3 + g)).alias("ord"))
     return relational.fan_out(prompts, completions, 3).select("ord", "prompt_ord", "prompt")
 
@@ -555,59 +542,27 @@ _CLOSE = """ends as (select doc_id, ids, unnest(range(1, len(ids) + 1)) as i fro
 
 @query(f"with {b.TOKENS_SQL}, {_CLOSE} select t.doc_id, len(t.ids) as n, coalesce(least(c, len(t.ids)), len(t.ids)) as kept from token_rows t left join closes using (doc_id)")
 def fence_mask(spark, sf):
-    return _fence_mask(b.token_rows(spark, sf))
-
-
-@query()
-def fence_mask_whole(spark, sf):
-    return _fence_mask(b.token_rows(spark, sf, None))
-
-
-def _fence_mask(rows: DataFrame) -> DataFrame:
+    rows = b.token_rows(spark, sf)
     mask = tokens.fence_mask(F.col("ids"), F.transform("ids", lambda t: F.lit(1)), 7, 8)
     return rows.select("doc_id", F.size("ids").alias("n"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("kept"))
 
 
 @query(f"with {b.TOKENS_SQL}, {_CLOSE}, l7 as (select doc_id, max(last7) as z from marks group by doc_id), f as (select m.doc_id, count(*) filter (where t = 8 and last7 = z) as k from marks m join l7 using (doc_id) group by m.doc_id) select t.doc_id, coalesce(k, 0) >= 2 as done from token_rows t left join f using (doc_id)")
 def fence_stop(spark, sf):
-    return _fence_stop(b.token_rows(spark, sf))
-
-
-@query()
-def fence_stop_whole(spark, sf):
-    return _fence_stop(b.token_rows(spark, sf, None))
-
-
-def _fence_stop(rows: DataFrame) -> DataFrame:
+    rows = b.token_rows(spark, sf)
     return rows.select("doc_id", tokens.fence_done(F.col("ids"), 7, 8).alias("done"))
 
 
 @query(f"with {b.TOKENS_SQL} select doc_id, len(ids) = 30 and not list_contains(ids, 7) as reached, len(ids) - case when len(ids) > 20 and ids[21] = 7 then 1 else 0 end as kept from token_rows")
 def loss_mask(spark, sf):
-    return _loss_mask(b.token_rows(spark, sf))
-
-
-@query()
-def loss_mask_whole(spark, sf):
-    return _loss_mask(b.token_rows(spark, sf, None))
-
-
-def _loss_mask(rows: DataFrame) -> DataFrame:
+    rows = b.token_rows(spark, sf)
     mask = tokens.forced_mask(F.col("ids"), F.transform("ids", lambda t: F.lit(1)), 20, 7)
     return rows.select("doc_id", tokens.budget_reached(F.col("ids"), 30, 7).alias("reached"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("kept"))
 
 
 @query(f"with {b.TOKENS_SQL}, x as (select doc_id, unnest(ids) as t from token_rows), y as (select doc_id, t, case when t % 3 = 0 then 0 else 1 end as m, case when t % 3 = 0 then 0.0::double else (t % 4)::double / 4 - t::double / 8 end as r from x) select doc_id, round(sum(-(0.5::double - 0.04::double * (exp(r) - r - 1)) * m) / greatest(1, sum(m)), 6) as loss from y group by doc_id")
 def grpo_objective(spark, sf):
-    return _grpo_objective(b.token_rows(spark, sf))
-
-
-@query()
-def grpo_objective_whole(spark, sf):
-    return _grpo_objective(b.token_rows(spark, sf, None))
-
-
-def _grpo_objective(rows: DataFrame) -> DataFrame:
+    rows = b.token_rows(spark, sf)
     each = lambda f: F.transform("ids", f)
     loss = tokens.masked_loss(each(lambda t: t.cast("double") / 8), each(lambda t: (t % 4).cast("double") / 4), F.lit(0.5), each(lambda t: F.when(t % 3 == 0, 0).otherwise(1)), 0.04)
     return rows.select("doc_id", F.round(loss, 6).alias("loss"))
@@ -624,14 +579,11 @@ def content_keys(spark, sf):
     return _layers(b.audit(spark, sf)).select("ord", layers.content_key(F.col("code")).alias("content_key"))
 
 
-@query("select doc_id, rtrim(array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '" + b.WS + "+$', '')), chr(10)), chr(10)) as out from documents where not regexp_matches(text, '[\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]')")
-def stdout_normal(spark, sf):
-    rows = b.table(spark, sf, "documents").where(~F.col("text").rlike(r"[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"))
-    return rows.select("doc_id", pytext.normal_stdout(F.col("text")).alias("out"))
+_LINE_END = "\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]"
 
 
-@query()
-def stdout_normal_whole(spark, sf):
+@query(f"select doc_id, rtrim(array_to_string(list_transform(regexp_split_to_array(text, '{_LINE_END}'), lambda l: regexp_replace(l, '{b.WS}+$', '')), chr(10)), chr(10)) as out from documents")
+def stdout_normal(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", pytext.normal_stdout(F.col("text")).alias("out"))
 
 

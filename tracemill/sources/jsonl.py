@@ -18,12 +18,18 @@ from pyspark.sql.utils import AnalysisException
 from tracemill.functions import pytext
 
 
+#: So many files at most have their blocks' first line numbers broadcast.
+BROADCAST_FILES = 20_000
+
+
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line_no, value) of all lines, blank ones too; files in order of their names."""
     raw = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     blocks = raw.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = blocks.select("path", "block", "first", before.alias("before"))
+    # a row a block of a file: 128 MB of input each, so a broadcast holds for the blocks of terabytes; beyond, a shuffle
+    placed = F.broadcast(placed) if len(raw.inputFiles()) <= BROADCAST_FILES else placed
     return raw.join(placed, ["path", "block"]).select("path", "file", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
 
 
@@ -100,10 +106,10 @@ def first_split(splits: dict[str, DataFrame], preferred: tuple[str, ...]) -> Dat
 
 
 def profile(df: DataFrame, sample: int = 5) -> DataFrame:
-    """One row: n, sources (sorted), synthetic_rows, sample_task_ids (the first by order)."""
+    """One row: n, empty, sources (sorted), synthetic_rows, sample_task_ids (the first by order)."""
     head = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "task_id"))), lambda r: r["task_id"]), 1, sample)
     counts = df.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set(F.nullif("source", F.lit("")))).alias("sources"), F.count_if("synthetic").alias("synthetic_rows"))
-    return counts.crossJoin(df.orderBy("ord").limit(sample).agg(head.alias("sample_task_ids")))
+    return counts.withColumn("empty", F.col("n") == 0).crossJoin(df.orderBy("ord").limit(sample).agg(head.alias("sample_task_ids")))
 
 
 def write(df: DataFrame, path: str, *, order: list[str] | None = None, mode: str = "overwrite", one_file: bool = False) -> None:

@@ -71,7 +71,7 @@ def test_line_numbers_and_files(spark, tmp_path):
         log(spark, tmp_path, [{"call": i, "task_id": name} for i in range(n)], name)
     got = jsonl.read(spark, str(tmp_path / "reward_audit"), AUDIT).orderBy("path", "line_no").collect()
     assert [(r.file, r.line_no) for r in got] == [("reward_rank10.jsonl", 1), ("reward_rank10.jsonl", 2), ("reward_rank10.jsonl", 3), ("reward_rank2.jsonl", 1), ("reward_rank2.jsonl", 2)]
-    assert jsonl.audit_dir(str(tmp_path)) == str(tmp_path / "reward_audit") and jsonl.audit_dir(str(tmp_path / "a/b/c")) is None
+    assert jsonl.audit_dir(spark, str(tmp_path)) == jsonl.audit_dir(spark, str(tmp_path / "model")) == str(tmp_path / "reward_audit") and jsonl.audit_dir(spark, str(tmp_path / "a/b/c")) is None
 
 
 def test_malformed_lines(spark, tmp_path):
@@ -287,6 +287,24 @@ def test_datasets_and_configurations(spark, tmp_path):
         datasets.config(spark, str(tmp_path / "bad.yaml"))
 
 
+def test_inspected_files_and_excluded_numbers(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text('{"task_id": "mbpp_2", "source": "b"}\n{"task_id": "Mbpp/10", "source": "a", "synthetic": true}\n')
+    got = jsonl.inspect(spark, str(path)).first()
+    assert (got.exists, got.empty, got.n, got.sources, got.synthetic_rows, got.sample_task_ids) == (True, False, 2, ["a", "b"], 1, ["mbpp_2", "Mbpp/10"])
+    gone = jsonl.inspect(spark, str(tmp_path / "none.jsonl")).first()
+    assert (gone.exists, gone.empty, gone.n) == (False, True, 0)
+    assert {r.num_id for r in jsonl.excluded_numbers(spark, str(path)).collect()} == {2, 10}
+    path.write_text('{"task_id": "none"}\n')
+    with pytest.raises(PySparkException, match="x.jsonl:1"):
+        jsonl.excluded_numbers(spark, str(path)).collect()
+    tasks = spark.range(120)
+    assert prepare.checked(tasks, "mbpp_train") is tasks
+    for n, strict in ((99, True), (0, False)):
+        with pytest.raises(gates.GateError):
+            prepare.checked(tasks.limit(n), "mbpp_train", strict)
+
+
 def test_reward_callable_and_its_log(spark, tmp_path):
     reward = execution.reward_callable(spark, str(tmp_path / "log"), rank=3)
     good = completion("t", "n", "def f():\n    return 1")

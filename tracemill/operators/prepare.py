@@ -79,6 +79,14 @@ def training_rows(tasks: DataFrame, max_tasks: int | None = None) -> DataFrame:
     return out if max_tasks is None else out.orderBy("ord").limit(max_tasks)
 
 
+def checked(tasks: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The prepared tasks of a known dataset; an error if there are none, or (strict) fewer than the dataset must have."""
+    from .gates import REGISTRY, require_rows
+
+    require_rows(tasks, REGISTRY[key]["min_rows"], strict)
+    return tasks
+
+
 def legacy_eval_tasks(*_args, **_kwargs):
     """The old evaluation source is refused: its rows were mislabelled."""
     raise RuntimeError("this evaluation source is disabled; use eval_tasks()")

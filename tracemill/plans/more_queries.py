@@ -184,6 +184,23 @@ def evaluation_modes(spark, sf):
     return every.select("mode", "generated", F.col("mbpp_plus_pass1").alias("pass1"), "syntax_error_rate", F.col("lcb_easy_pass1").alias("secondary_pass1"), F.col("lcb_ready_frac").alias("ready"), F.col("readability_overall").alias("readability"), F.col("avg_collab_length").alias("words"))
 
 
+@query("select item_id as ord, item_id % 2 = 0 as passed from benchmark")
+def pass_stdin(spark, sf):
+    items = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"))
+    case = F.array(F.struct(F.lit("stdin").alias("type"), F.concat(F.col("ord").cast("string"), F.lit(" 2\n")).alias("input"), F.concat((F.col("ord") + 2 + F.col("ord") % 2).cast("string"), F.lit("  \n\n")).alias("output"), F.lit(None).cast("string").alias("fn_name")))
+    code = F.lit("a, b = map(int, input().split())\nprint(a + b)\n")
+    rows = items.select("ord", code.alias("code"), F.array().cast("array<string>").alias("test_cases"), case.alias("cases"), F.lit("lcb").alias("harness"))
+    return execution.passed_tasks(rows)
+
+
+@query("select item_id, 'assert f(' || cast(item_id as varchar) || ') == ' || cast(item_id * 2 as varchar) as first_test, 2 as n_tests from benchmark")
+def plus_cases(spark, sf):
+    inputs = F.expr("'[[' || item_id || '], [3], [1, 2]]'")
+    solution = F.lit("def f(x):\n    return x * 2\n")
+    rows = b.table(spark, sf, "benchmark").select("item_id", execution.plus_udf()(F.lit("f"), solution, inputs).alias("tests"))
+    return rows.select("item_id", F.get("tests", 0).alias("first_test"), F.size("tests").alias("n_tests"))
+
+
 @query("select count(*) as n, avg((doc_id % 3 = 0)::int::double) as pass_at_1, avg(length(coalesce(source, ''))::double) as avg_code_length, avg((doc_id % 2 = 0)::int::double) as executable_assert_task_frac, avg((doc_id % 4 > 0)::int::double) as lcb_ready_frac from documents")
 def benchmark_summary(spark, sf):
     rows = b.table(spark, sf, "documents").select((F.col("doc_id") % 3 == 0).alias("passed"), F.coalesce("source", F.lit("")).alias("code"), F.expr("case when doc_id % 2 = 0 then array('assert f()') else array('f()') end").alias("test_cases"), (F.col("doc_id") % 4).alias("n_cases"))

@@ -13,19 +13,12 @@ from . import jsonl
 FORMATS = {".parquet": "parquet", ".jsonl": "json", ".json": "json"}
 
 
-def _files(spark: SparkSession, folder: str) -> dict[str, str]:
-    """Name to path of a folder's entries, in any store that Spark reads."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        raise FileNotFoundError(folder)
-    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(place)}
-
-
 def splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The splits of a dataset folder by name: train.parquet, test.jsonl and so on (files, or folders of part files)."""
     found = {}
-    for name, path in sorted(_files(spark, folder).items()):
+    if not (there := jsonl.entries(spark, folder)):
+        raise FileNotFoundError(folder)
+    for name, path in sorted(there.items()):
         stem, _, ending = name.rpartition(".")
         if kind := FORMATS.get(f".{ending}"):
             found[stem] = spark.read.format(kind).load(path)

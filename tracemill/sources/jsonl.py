@@ -9,6 +9,7 @@ the blocks' line counts gives each block's first number.
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -81,11 +82,18 @@ def excluded_numbers(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.coalesce(number, F.raise_error(F.concat("file", F.lit(":"), "line_no", F.lit(": invalid task_id"))).cast("bigint")).alias("num_id")).distinct()
 
 
-def audit_dir(root: str) -> str | None:
+def entries(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name to path of a folder's entries, in any store that Spark reads; none if there is no folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName(): s.getPath().toString() for s in fs.listStatus(place)} if fs.exists(place) else {}
+
+
+def audit_dir(spark: SparkSession, root: str) -> str | None:
     """The first of root and its parent that has a reward_audit folder with a rank file."""
-    for base in (Path(root), Path(root).parent):
-        if sorted((base / "reward_audit").glob("reward_rank*.jsonl")):
-            return str(base / "reward_audit")
+    for base in (root.rstrip("/"), root.rstrip("/").rpartition("/")[0]):
+        if any(re.fullmatch(r"reward_rank.*\.jsonl", name) for name in entries(spark, f"{base}/reward_audit")):
+            return f"{base}/reward_audit"
     return None
 
 
@@ -112,6 +120,13 @@ def profile(df: DataFrame, sample: int = 5) -> DataFrame:
     return counts.withColumn("empty", F.col("n") == 0).crossJoin(df.orderBy("ord").limit(sample).agg(head.alias("sample_task_ids")))
 
 
+def inspect(spark: SparkSession, path: str, sample: int = 5) -> DataFrame:
+    """profile() of a task file with whether it exists; a missing one has no rows."""
+    schema = "task_id string, source string, synthetic boolean"
+    rows = read(spark, path, schema, missing_ok=True).withColumn("ord", F.struct("path", "line_no"))
+    return profile(rows, sample).withColumn("exists", F.lit(_exists(spark, path)))
+
+
 def write(df: DataFrame, path: str, *, order: list[str] | None = None, mode: str = "overwrite", one_file: bool = False) -> None:
     """One JSON object a line. With order the files follow it; one_file is for parity with single-file readers."""
     drop = [c for c in ("path", "file", "line_no", "corrupt") if c in df.columns]

@@ -7,6 +7,7 @@ at once, in pieces of a bounded number of bytes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,8 +20,13 @@ from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _LOCAL: dict[str, str] = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +75,16 @@ def in_fold(doc_id, mod: int, fold: int):
     return F.coalesce(crc_fold(doc_id, mod) == fold, F.lit(False))
 
 
+def trim() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system: a task's peak is then its own."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, sliced so that a piece has about limit bytes of text, and one row at least."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue

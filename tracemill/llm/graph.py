@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, release
+from .common import cut, mix, release, trim
 
 #: So many ids at most (32 MB) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-FLUSH, PART = 1 << 19, 1 << 21
+FLUSH, PART = 1 << 18, 1 << 20
 #: A block of a bucket has about so many members, or bytes; a product of two blocks takes so many values at once.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 8 << 20, 2048
 #: Blocks of so many members are compared pair by pair.
@@ -86,6 +86,7 @@ def members(rows: DataFrame, most: int) -> DataFrame:
     """
 
     def run(batches):
+        trim()
         routes, ids, flags = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for batch in batches:
             route, id_ = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -152,6 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, elements: Callable[[bytes], np.
     rows = dealt.unionByName(heads).join(sets.select("node", "blob"), "node").select("a", "part", (F.col("node") != F.col("a")).alias("other"), "node", "blob")
 
     def run(batches):
+        trim()
         now = head = None
         for batch in batches:
             a, part, other, node = (batch.column(k).to_pylist() for k in range(4))
@@ -261,6 +263,7 @@ def _crossing(held: DataFrame, placed: DataFrame, sets: DataFrame, elements: Cal
     tiles = dealt.join(sets.select("node", "blob"), "node").select("key", "i", "j", "block", "root", "blob").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block")
 
     def run(batches):
+        trim()
         key, tile = None, []
         for batch in batches:
             if not batch.num_rows:

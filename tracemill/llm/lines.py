@@ -78,7 +78,7 @@ def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarra
         x = (mix(every) >> np.uint64(32)).astype(np.uint32)
         y = np.empty_like(x)
         for j in range(BANDS):
-            key = np.full(hi - lo, np.uint64(j + 1) * _STEP)
+            key = np.full(hi - lo, j + 1, np.uint64) * _STEP
             for i in range(j * ROWS // 2, (j + 1) * ROWS // 2):
                 np.multiply(x, _ODD[i], out=y)
                 key = mix(key ^ np.minimum.reduceat(y, at).astype(np.uint64))
@@ -169,7 +169,7 @@ def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = docs.join(per_doc, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == per_doc["row_"], "left").select(*(docs[c] for c in schema.names), per_doc[name])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             gone = [drop and set(drop) for drop in batch.column(batch.num_columns - 1).to_pylist()]
             if not any(gone):
                 yield batch.select(list(range(len(schema.names))))

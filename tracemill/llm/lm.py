@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, column, crc_fold, cut, flat, mix, pieces, release, span_hashes, table, words
+from .common import IS_SPACE, LOWER, column, crc_fold, cut, flat, mix, pieces, release, span_hashes, table, trim, words
 
 MOD, HELD_OUT, DELETED = 7, 2, 4
 ROUNDS = 40
@@ -130,6 +130,7 @@ def spelling(low: np.ndarray, start: np.ndarray, end: np.ndarray, log_p: np.ndar
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """The rows of a batch, one at a time."""
+    trim()
     names = batch.schema.names
     for k in range(batch.num_rows):
         yield {x: batch.column(i)[k].as_py() for i, x in enumerate(names)}

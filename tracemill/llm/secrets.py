@@ -131,7 +131,7 @@ def ratio(word: Column, weights: Column) -> Column:
 
 def scan(docs: DataFrame, weights: list[float]) -> DataFrame:
     """The spans of (doc_id, text): base ones by kind, and the added ones."""
-    table_ = F.lit(weights)
+    table_ = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # one literal, where F.lit would build thousands
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _clean(F.col("text")).alias("text"))
     found = text.select("doc_id", "text", *(c.alias(k) for k, c in base_matches(F.col("text")).items()))
     named = lambda kind, order: F.transform(F.col(kind), lambda m: F.struct(m["s"].alias("s"), F.lit(order).alias("o"), m["e"].alias("e"), F.lit(kind).alias("k")))

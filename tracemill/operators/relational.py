@@ -47,10 +47,14 @@ def rank(df: DataFrame, order: str) -> DataFrame:
 
     The ranges are fixed values of order, from a bounded sample of it, so that both uses of them agree however the plan is run.
     """
-    parts = min(200, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [k / parts for k in range(1, parts)] if parts > 1 else [0.5]
+    side = 14  # edges are searched in two steps: 14 of them, then the 14 between two of those
+    shares = [k / side**2 for k in range(1, side**2)]
     edges = df.agg(F.percentile_approx(F.col(order), F.array(*map(F.lit, shares)), F.lit(10_000)).alias("edges_"))
-    dealt = df.crossJoin(F.broadcast(edges)).withColumn("part_", F.size(F.filter(F.coalesce("edges_", F.array().cast(edges.schema[0].dataType)), lambda e: e < F.col(order)))).drop("edges_")
+    under = lambda some: F.size(F.filter(some, lambda e: e < F.col(order)))
+    listed = F.coalesce("edges_", F.array().cast(edges.schema[0].dataType))
+    coarse = F.transform(F.filter(F.sequence(F.lit(side), F.lit(side**2 - 1), F.lit(side)), lambda k: k <= F.size(listed)), lambda k: F.element_at(listed, k))
+    dealt = df.crossJoin(F.broadcast(edges.select(listed.alias("edges_"), coarse.alias("coarse_"))))
+    dealt = dealt.withColumn("block_", under(F.col("coarse_"))).withColumn("part_", F.col("block_") * side + under(F.slice("edges_", F.col("block_") * side + 1, side))).drop("edges_", "coarse_", "block_")
     own = dealt.withColumn("own_", F.row_number().over(Window.partitionBy("part_").orderBy(order)))
     counts = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))

@@ -64,9 +64,9 @@ def grams(body: np.ndarray) -> np.ndarray:
 
 
 def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """[lines, bands] hashes of the bands of the given lines, each of Q bytes or more, in blocks of lines that a CPU's cache holds."""
+    """[lines, bands] hashes of the bands of the given lines, each of Q bytes or more; shingles are hashed in blocks of lines that a CPU's cache holds."""
     first, size = off[which], off[which + 1] - off[which] - Q + 1
-    keys = np.empty((len(which), BANDS), np.uint64)
+    ends = np.empty((len(_ODD), 2, len(which)), np.uint32)
     group = np.cumsum(size) // BLOCK
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(which)]
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -77,27 +77,33 @@ def band_keys(body: np.ndarray, off: np.ndarray, which: np.ndarray) -> np.ndarra
             every = every[np.repeat(first[lo:hi] - first[lo] - at, n) + np.arange(int(n.sum()))]
         x = (mix(every) >> np.uint64(32)).astype(np.uint32)
         y = np.empty_like(x)
-        for j in range(BANDS):
-            key = np.full(hi - lo, j + 1, np.uint64) * _STEP
-            for i in range(j * ROWS // 2, (j + 1) * ROWS // 2):
-                np.multiply(x, _ODD[i], out=y)
-                key = mix(key ^ np.minimum.reduceat(y, at).astype(np.uint64))
-                key = mix(key ^ np.maximum.reduceat(y, at).astype(np.uint64))
-            keys[lo:hi, j] = key
+        for i, odd in enumerate(_ODD):
+            np.multiply(x, odd, out=y)
+            np.minimum.reduceat(y, at, out=ends[i, 0, lo:hi])
+            np.maximum.reduceat(y, at, out=ends[i, 1, lo:hi])
+    keys = np.empty((len(which), BANDS), np.uint64)
+    rows = ends.reshape(BANDS, ROWS, len(which))
+    for j in range(BANDS):
+        key = np.full(len(which), j + 1, np.uint64) * _STEP
+        # two of a band's 32-bit values at a time
+        for i in range(0, ROWS, 2):
+            key = mix(key ^ (rows[j, i].astype(np.uint64) << np.uint64(32) | rows[j, i + 1]))
+        keys[:, j] = key
     return keys
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, line, node, of) of each non-blank line; of: how many its document has."""
+    """(doc_id, row, line, node) of each non-blank line; and of each document, with line -1, how many it has as its node."""
 
     def run(batches):
         for batch in pieces(batches):
             line, row, number = plain_lines(batch)
             own = pa.array(row)
-            of = np.bincount(row, minlength=batch.num_rows)[row].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(own), column(batch, "row").take(own), pa.array(number), pa.array(nodes(line).view(np.int64)), pa.array(of)], ["doc_id", "row", "line", "node", "of"])
+            names = ["doc_id", "row", "line", "node"]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(own), column(batch, "row").take(own), pa.array(number), pa.array(nodes(line).view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), pa.array(np.full(batch.num_rows, -1, np.int32)), pa.array(np.bincount(row, minlength=batch.num_rows))], names)
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, node long, of int")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line int, node long")
 
 
 def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
@@ -142,20 +148,24 @@ def gram_set(text: bytes) -> np.ndarray:
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, line, first_doc, first_line) of the lines that are copies, with the line that stays for each, and the table _lines gives."""
+    """(doc_id, row, line, first_doc, first_line) of the lines that are copies, with the line that stays for each; and the table _lines gives."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
-    lines = cut(_lines(docs), "lines")
+    every = cut(_lines(docs), "lines")
+    lines = every.where("line >= 0")
 
     def fetch(wanted: DataFrame) -> DataFrame:
-        return _texts(docs).join(graph.small(wanted), "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob"))
+        wanted = graph.small(wanted)
+        chosen = cut(lines.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")).select("row").distinct(), "chosen")
+        return _texts(docs.join(graph.small(chosen), "row", "left_semi")).join(wanted, "node", "left_semi").groupBy("node").agg(F.min("blob").alias("blob"))
 
-    roots = graph.classes(graph.members(_links(docs), lines.count() * BANDS), fetch, gram_set, threshold)
+    roots = graph.classes(graph.members(_links(docs), every.count() * BANDS), fetch, gram_set, threshold)
     placed = lines.join(graph.small(roots), "node", "left").select("doc_id", "row", "line", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")
-    groups = placed.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = cut(groups.select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "groups")
-    copies = placed.join(graph.small(groups), "root").where("row <> first_row or line <> first_line").select("doc_id", "row", "line", "first_doc", "first_line")
-    return copies, lines
+    many = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "many")
+    shared = cut(placed.join(graph.small(many), "root"), "shared")
+    groups = cut(shared.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("first_doc"), F.col("first.row").alias("first_row"), F.col("first.line").alias("first_line")), "groups")
+    copies = shared.join(graph.small(groups), "root").where("row <> first_row or line <> first_line").select("doc_id", "row", "line", "first_doc", "first_line")
+    return copies, every
 
 
 def dedup_text(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,11 +208,10 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("")), "first_line")
     gone = copies.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("line", first.alias("first")))).alias("gone"))
     gone = gone.select("row", F.size("gone").alias("n_removed"), F.array_join("gone.line", ",").alias("removed_lines"), F.array_join(F.transform("gone", lambda x: F.concat_ws(":", x["line"], x["first"])), ",").alias("copies_of"))
-    every = lines.groupBy("row").agg(F.max("of").cast("long").alias("n_lines"))
-    counted = every.join(gone, "row", "left")
-    n = F.coalesce("n_lines", F.lit(0))
+    n = F.col("n_lines")
     return (
-        docs.select("doc_id", row_key().alias("row"))
-        .join(counted, "row", "left")
-        .select("doc_id", n.alias("n_lines"), (n - F.coalesce("n_removed", F.lit(0))).alias("n_kept"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"), F.coalesce("copies_of", F.lit("")).alias("copies_of"))
+        lines.where("line < 0")
+        .select("row", "doc_id", F.col("node").alias("n_lines"))
+        .join(gone, "row", "left")
+        .select("doc_id", n, (n - F.coalesce("n_removed", F.lit(0))).alias("n_kept"), F.coalesce("removed_lines", F.lit("")).alias("removed_lines"), F.coalesce("copies_of", F.lit("")).alias("copies_of"))
     )

@@ -715,6 +715,16 @@ def test_packed_arrays():
 # toxicity
 
 
+def test_cut_with_the_fewest_errors():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = rng.integers(0, 6, 20).astype(float), rng.integers(0, 2, 20).astype(float)
+        cut = toxicity.fewest_errors(x, y)
+        errors = lambda c: int((y[x > c] == 0).sum() + (y[x < c] == 1).sum())
+        assert cut not in x and errors(cut) == min(errors(c) for c in np.arange(-0.5, 6))
+    assert toxicity.fewest_errors(np.array([0.0, 1.0, 9.0]), np.array([0.0, 0.0, 1.0])) == 5.0
+
+
 def test_k_of_the_extreme_value_law_on_random_sequences():
     """On other random text, the number of segments of a score or more is K n exp(-lambda S)."""
     weight, share, rest = np.array([3.0, 1.5, -2.0]), np.array([0.01, 0.02, 0.05]), -0.12

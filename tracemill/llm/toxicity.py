@@ -36,7 +36,7 @@ FLOOR = 0.5
 Z = 2.5
 EFFECT = 1.0
 #: Tokens of the random text that gives K, and how many segments it counts.
-RANDOM_TOKENS, COUNTED = 1 << 22, 400
+RANDOM_TOKENS, COUNTED = 1 << 20, 400
 E_MOST = 0.05
 _STRIP = np.zeros(256, bool)
 _STRIP[[x for x in range(33, 127) if not chr(x).isalnum()]] = True

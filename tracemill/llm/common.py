@@ -114,12 +114,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and the number of the document of each."""
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and the number of the document of each; between: whether a byte stands between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    space = IS_SPACE[data]
+    space = between[data]
     before = np.empty_like(space)
     before[0] = True
     before[1:] = space[:-1]

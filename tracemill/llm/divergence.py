@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, column, cut, flat, pieces, release, span_hashes, table, trim, words
-from .lm import numbered, pack, unpack
+from .exchange import numbered, pack, unpack
 
 DOCUMENTS = 3
 TOP = 200

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, divergence, fim, langid, lines, lm, media, mixing, neardup, pii, secrets, toxicity
+from . import decontam, divergence, fim, langid, lines, lm, media, mixing, neardup, pii, secrets, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_secrets": secrets.op9_secrets,
         "op10_media": media.op10_media,
+        "op11_substrings": substrings.op11_substrings,
         "op12_fim": fim.op12_fim,
         "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op12_fim": fim.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
+    return {"op11_substrings": substrings.ORACLE_SQL, "op12_fim": fim.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}

@@ -34,7 +34,6 @@ from .exchange import numbered, pack, unpack
 DOCUMENTS = 3
 TOP = 200
 SCALE_STEPS, SCALE_STEP = 3, 1000
-BILLION = SCALE_STEP**SCALE_STEPS
 PIECE_BYTES = 1 << 22
 #: Rows of counts that a task holds, and counts of a chunk.
 ROWS, CELLS = 1 << 20, 1 << 20
@@ -169,10 +168,10 @@ def shares(counts: np.ndarray, total: int) -> np.ndarray:
     """1 + floor(10**9 * (count + 1) / total), by long division in steps of three digits."""
     if total >= 2**63 // SCALE_STEP:
         counts = counts.astype(object)
-    whole, rest = np.divmod(counts + 1, total)
+    whole, rest = (counts + 1) // total, (counts + 1) % total
     for _ in range(SCALE_STEPS):
-        digits, rest = np.divmod(rest * SCALE_STEP, total)
-        whole = whole * SCALE_STEP + digits
+        rest = rest * SCALE_STEP
+        whole, rest = whole * SCALE_STEP + rest // total, rest % total
     return (whole + 1).astype(np.int64)
 
 

@@ -8,7 +8,15 @@ from tracemill.plans import phases
 def test_work_goes_on_over_phases_and_cycles():
     at = lambda cycle, phase: [phases.named(n) for n in phases.work({"current_cycle": cycle, "current_phase": phase}, 2)]
     every = [(c, p) for c in range(2) for p in phases.PHASES]
-    assert at(0, "nothing") == every and at(0, phases.PHASES[0]) == every and at(0, phases.PHASES[-1]) == every[6:] and at(1, "phase4_dpo") == every[-2:] and at(2, "x") == []
+    assert at(0, "nothing") == every and at(0, phases.PHASES[0]) == every and at(0, phases.PHASES[-1]) == every[6:] and at(1, "phase3_dpo") == every[-2:] and at(2, "x") == []
+
+
+def test_a_saved_state_resumes_at_each_phase_by_name(tmp_path):
+    for place, name in enumerate(("phase1_grpo", "phase1_eval", "phase2_collect", "phase3_regen", "phase3_filter", "phase3_dpo", "phase4_eval")):
+        path, ran = str(tmp_path / name), []
+        phases.save_state(path, {"status": "running", "current_cycle": 1, "current_phase": name, "history": []})
+        phases.run(str(tmp_path), {p: lambda cycle, p=p: ran.append((cycle, p)) for p in phases.PHASES}, resume=True, cycles=2, state_file=path)
+        assert ran == [(1, p) for p in phases.PHASES[place:]] and ran[0] == (1, name)
 
 
 def test_last_phase_ends_the_cycle():

@@ -8,7 +8,6 @@ hostile code: run only programs you may run.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import resource
@@ -218,27 +217,29 @@ def listed_tests(tests: Column) -> Column:
 
 
 def reward_callable(spark, folder: str | None = None, rank: int = 0, timeout: int = TIMEOUT, max_tests: int = MAX_TESTS):
-    """reward(completions, test_cases, task_id) -> list of rewards, for a trainer's loop; each call is a partition of the audit log in folder.
+    """reward(completions, test_cases, task_id) -> list of rewards, for a trainer's loop; each call is one of the rank's in the reward log in folder.
 
-    Lists of tests stand for as many completions each as the counts allow; a count that doesn't fit, or null tests, is an error.
+    Calls are numbered behind the committed ones of the rank, whichever process wrote them; a caller that runs a call again
+    names it (call=) and adds nothing. Lists of tests stand for as many completions each as the counts allow; a count that doesn't fit, or null tests, is an error.
     """
     from tracemill.functions.layers import extract_code
 
-    from .gates import GateError
+    from tracemill.sources import ranklog
 
-    calls = itertools.count()
+    from .gates import GateError
 
-    def reward(completions, test_cases, task_id=None):
+    def reward(completions, test_cases, task_id=None, call=None):
         n, m = len(completions), len(test_cases)
         if not m or n % m or any(t is None for t in test_cases) or (task_id is not None and len(task_id) * (n // m) != n and len(task_id) != n):
             raise GateError(f"{n} completions, {m} rows of tests")
         ids = task_id if task_id is not None else [None] * m
         each = [(i, ids[i * len(ids) // n], text, json.loads(t) if isinstance(t := test_cases[i * m // n], str) else list(t)) for i, text in enumerate(completions)]
         rows = spark.createDataFrame(each, "ord int, task_id string, completion string, test_cases array<string>").withColumn("code", extract_code(F.col("completion")))
-        got = rows.join(rewards(rows, timeout=timeout, max_tests=max_tests), "ord").withColumn("call", F.lit(next(calls)).cast("bigint"))
+        got = rewards(rows, timeout=timeout, max_tests=max_tests).orderBy("ord").collect()
         if folder is not None:
-            audited(got).withColumn("rank", F.lit(rank)).write.mode("append").partitionBy("rank").json(folder)
-        return [r.reward for r in got.select("ord", "reward").orderBy("ord").collect()]
+            known = spark.createDataFrame(got, "ord int, reward double")
+            ranklog.append(audited(rows.join(known, "ord").withColumn("call", F.lit(None).cast("bigint"))).drop("call"), folder, rank=rank, call=call)
+        return [r.reward for r in got]
 
     return reward
 

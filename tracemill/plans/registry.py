@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more_queries  # noqa: F401
+from . import log_queries, more_queries  # noqa: F401
 from . import queries as q
 
 

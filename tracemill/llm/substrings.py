@@ -248,10 +248,11 @@ def find(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
             source, first = (blocks, True) if level is None else (level, False)
             requests = _asked(source, length if first else None, max(1, -(-asked // size)))
             answers = requests.groupBy("range").applyInArrow(_answer, _ANSWER)
+            if first:  # most of all requests: their shuffle files go before blocks are met
+                answers = cut(answers, "answers")
             done = level
             level = cut(source.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_met(first, length), _LEVEL), f"windows-{length * 2}")
-            if done is not None:
-                release(done)
+            release(answers if first else done)
             asked = level.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
             length *= 2
     return blocks, level

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracemill import scratch
 from tracemill.operators import execution
-from tracemill.sources import ranklog
+from tracemill.sources import jsonl, ranklog
+from tracemill.streaming import audit as streams
 
 from . import bridge as b
 from .queries import query
@@ -23,3 +24,22 @@ def ranked_log(spark, sf):
         for call in (0, 1, 2, 1):  # the last one is run again, and adds nothing
             ranklog.append(own.where(F.col("call") % 3 == call).drop("call"), folder, rank=rank, call=call)
     return ranklog.read(spark, folder, "task_id string, reward double, has_think_end boolean, completion_chars bigint, completion string").select("rank", "call", "task_id", "reward", "has_think_end", "completion_chars", "completion")
+
+
+@query(f"with {b.AUDIT_SQL} select task_id, call, reward, completion from (select *, row_number() over (partition by task_id order by call desc, ord desc) as k from audit) z where k = 1")
+def stream_latest(spark, sf):
+    rows, folder, table, checkpoint = b.audit(spark, sf), *(scratch.place(spark, x) for x in ("log", "latest", "states"))
+    half = rows.agg(F.percentile_approx("ord", 0.5)).first()[0]
+    for name, part in (("a", rows.where(F.col("ord") <= half)), ("b", rows.where(F.col("ord") > half))):  # the second run starts from the first one's checkpoint
+        jsonl.write(part.select("ord", "call", "task_id", "reward", "completion"), f"{folder}/{name}", order=["ord"])
+        streams.keep_latest(streams.latest_per_task(streams.numbered(spark, f"{folder}/*")), table, checkpoint).awaitTermination()
+    return streams.latest_table(spark, table).select("task_id", "call", "reward", "completion")
+
+
+@query("select distinct user_id, event_type from events")
+def stream_unseen(spark, sf):
+    events, folder, table, checkpoint = b.table(spark, sf, "events").select("event_id", "user_id", "event_type"), *(scratch.place(spark, x) for x in ("events", "unseen", "states"))
+    for name, part in (("a", events.where("event_id % 3 = 0")), ("b", events)):  # what the first run has seen comes again
+        part.write.parquet(f"{folder}/{name}")
+        streams.append_unseen(spark.readStream.schema(events.schema).parquet(f"{folder}/*"), table, ["user_id", "event_type"], checkpoint).awaitTermination()
+    return spark.read.parquet(table).select("user_id", "event_type")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import scratch
 from tracemill.functions import layers, pytext
 
+from .relational import at_places
+
 MIN_REWARD, LATER_FRAC, MIN_LATER = 0.0, 1.0 / 3.0, 32
 SOURCE = "grpo_reward_audit"
 
@@ -53,10 +56,14 @@ def split_rows(rows: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def marked(audit: DataFrame, prompts: DataFrame, min_reward: float, later_frac: float) -> DataFrame:
-    """(task_id, key, call, ord, later, skipped) of the positive rows: what choosing needs, without texts."""
-    rows = split_rows(positive(audit, min_reward), prompts).crossJoin(F.broadcast(window_start(audit, later_frac)))
-    call = call_number(F.col("call"))
-    return rows.select("task_id", F.when(F.col("skipped").isNull(), layers.content_key(F.col("layers.code"))).alias("key"), call.alias("call"), "ord", (call >= F.col("later_cut")).alias("later"), "skipped")
+    """(task_id, key, call, ord, later, skipped) of the positive rows: what choosing needs. Texts are split in the scan and go no further."""
+    parts = positive(audit, min_reward).withColumn("layers", layers.split_layers(F.col("completion")))
+    whole = (F.col("layers.code") != "") & (F.col("layers.collaboration") != "")
+    narrow = parts.select("task_id", F.when(whole, layers.content_key(F.col("layers.code"))).alias("key"), call_number(F.col("call")).alias("call"), "ord")
+    asked = prompts.select("task_id", (F.col("task_prompt") != "").alias("asked"))
+    rows = narrow.join(asked, "task_id", "left").crossJoin(F.broadcast(window_start(audit, later_frac)))
+    skipped = F.when(~F.coalesce("asked", F.lit(False)), "no_prompt").when(F.col("key").isNull(), "split")
+    return rows.select("task_id", F.when(skipped.isNull(), F.col("key")).alias("key"), "call", "ord", (F.col("call") >= F.col("later_cut")).alias("later"), skipped.alias("skipped"))
 
 
 def _winners(rows: DataFrame) -> DataFrame:
@@ -83,15 +90,19 @@ def harvest(audit: DataFrame, prompts: DataFrame, *, min_reward: float = MIN_REW
     """Traces of the later window if there are min_later of them, else of all positive rows; window says which.
 
     audit has ord, the unique input order. Rows are chosen by calls and places alone, for both windows in one
-    aggregation, and the number of the later window's traces decides in the plan; only then are texts joined
-    with the places that won.
+    aggregation, and the number of the later window's traces decides in the plan; with max_traces the choice ends there.
+    The winners' places are written, and a bitmap of them is applied in the scan that reads the texts.
     """
     found = _winners(marked(audit, prompts, min_reward, later_frac))
     use = F.broadcast(found.agg((F.count("late") >= min_later).alias("use")))
     pick = lambda a, b: F.when(F.col("use"), F.col(a)).otherwise(F.col(b))
-    chosen = found.crossJoin(use).select(pick("late.ord", "every.ord").alias("ord"), pick("late_first", "every_first").alias("first_ord"), F.when(F.col("use"), "later").otherwise("all").alias("window")).where("ord is not null")
-    traces = _traces(split_rows(positive(audit, min_reward).join(chosen, "ord"), prompts))
-    return traces if max_traces is None else traces.orderBy(*trace_order()).limit(max_traces)
+    names = {"ord": pick("late.ord", "every.ord"), "first_ord": pick("late_first", "every_first"), "window": F.when(F.col("use"), "later").otherwise("all"), "audit_call": pick("late.call", "every.call"), "task_id": F.col("task_id")}
+    chosen = found.crossJoin(use).select(*(c.alias(k) for k, c in names.items())).where("ord is not null")
+    if max_traces is not None:
+        chosen = chosen.orderBy(*trace_order()).limit(max_traces)
+    chosen = scratch.write(chosen.select("ord", "first_ord", "window"), "winners")
+    traces = _traces(split_rows(at_places(audit, chosen, "ord").withColumn("reward", reward_value(F.col("reward"))), prompts))
+    return traces if max_traces is None else traces.orderBy(*trace_order())
 
 
 def stats(audit: DataFrame, prompts: DataFrame, *, min_reward: float = MIN_REWARD, later_frac: float = LATER_FRAC, min_later: int = MIN_LATER) -> DataFrame:

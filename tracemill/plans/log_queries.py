@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill import scratch
-from tracemill.operators import execution
+from tracemill.operators import execution, relational
 from tracemill.sources import jsonl, ranklog
 from tracemill.streaming import audit as streams
 
@@ -43,3 +43,18 @@ def stream_unseen(spark, sf):
         part.write.parquet(f"{folder}/{name}")
         streams.append_unseen(spark.readStream.schema(events.schema).parquet(f"{folder}/*"), table, ["user_id", "event_type"], checkpoint).awaitTermination()
     return spark.read.parquet(table).select("user_id", "event_type")
+
+
+@query("select doc_id, row_number() over (order by doc_id) as place, length(coalesce(text, '')) as n_chars from documents")
+def numbered_lines(spark, sf):
+    folder = scratch.place(spark, "lines")
+    jsonl.write(b.table(spark, sf, "documents").select("doc_id", "text"), folder, order=["doc_id"])  # files follow the order, so places are ranks by file and line
+    lines = jsonl.lines(spark, folder).select("path", "line_no", F.from_json("value", "doc_id bigint, text string").alias("d"))
+    ranked = relational.rank(lines.select("path", "line_no", "d.doc_id", F.length(F.coalesce("d.text", F.lit(""))).alias("n_chars")), "path", "line_no")
+    return ranked.select("doc_id", F.col("rank").alias("place"), "n_chars")
+
+
+@query("select doc_id, row_number() over (order by sha1(text) nulls first, doc_id) as place from documents")
+def ranked_texts(spark, sf):
+    keys = b.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("key"))
+    return relational.rank(keys, "key", "doc_id").select("doc_id", F.col("rank").alias("place"))

@@ -1,17 +1,22 @@
 """JSON Lines sources and sinks.
 
 Input order is semantic for these tables (first or last row wins, first N rows), so
-scans carry the file name and line number. Line numbers come from a scan without
-collecting files in one row: each file block numbers its lines, and a small table of
-the blocks' line counts gives each block's first number.
+scans carry the file name and line number. A file is read in splits. An index counts
+each split's lines, and the sums of the counts before give the lines ahead of each place at which a split
+begins; the scan numbers the lines of a split as it reads them, and adds those ahead of it. That needs nothing of a plan but that
+lines of a split come in order: where the two scans are cut at different places, a place that is in the index has the right number,
+and one that isn't is an error.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -23,15 +28,43 @@ from tracemill.functions import pytext
 BROADCAST_FILES = 20_000
 
 
+def _split_texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def split_index(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, block, before): the lines of a file before each of its splits."""
+    counts = _split_texts(spark, list(paths)).groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select("path", "block", F.coalesce(ahead, F.lit(0)).alias("before"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds place, each line's number in its split, from 1: a task reads a split from its begin to its end."""
+    last, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
+        path = batch.column("path").dictionary_encode()
+        codes = path.indices.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (codes[1:] != codes[:-1])]))
+        place = np.arange(1, batch.num_rows + 1) - np.repeat(starts, np.diff(np.append(starts, batch.num_rows)))
+        if (path[0].as_py(), block[0]) == last:
+            place[: starts[1] if len(starts) > 1 else batch.num_rows] += n
+        last, n = (path[batch.num_rows - 1].as_py(), block[-1]), int(place[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], [*batch.schema.names, "place"])
+
+
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file, line_no, value) of all lines, blank ones too; files in order of their names."""
-    raw = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    blocks = raw.groupBy("path", "block").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = blocks.select("path", "block", "first", before.alias("before"))
-    # a row a block of a file: 128 MB of input each, so a broadcast holds for the blocks of terabytes; beyond, a shuffle
-    placed = F.broadcast(placed) if len(raw.inputFiles()) <= BROADCAST_FILES else placed
-    return raw.join(placed, ["path", "block"]).select("path", "file", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
+    """(path, file, line_no, value) of all lines, blank ones too; files in order of their names."""
+    raw = _split_texts(spark, list(paths))
+    numbered = raw.mapInArrow(_numbered, "value string, path string, file string, block bigint, place bigint")
+    index = split_index(spark, *paths)
+    # a row a split of a file: 128 MB of input each, so a broadcast holds for the splits of terabytes; beyond, a shuffle
+    index = F.broadcast(index) if len(raw.inputFiles()) <= BROADCAST_FILES else index
+    before = F.coalesce("before", F.raise_error(F.concat("path", F.lit(": no lines counted before byte "), "block")).cast("bigint"))
+    return numbered.join(index, ["path", "block"], "left").select("path", "file", (before + F.col("place")).alias("line_no"), "value")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

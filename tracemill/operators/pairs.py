@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +89,44 @@ def rendered(rows: DataFrame) -> DataFrame:
     return rows.select(body.alias("messages"), "chosen", "rejected")
 
 
+#: Bits of a place in the split's order, bits that one pass over the places settles, and places that are sorted outright.
+_BITS, _STEP, _FEW = 60, 15, 10_000
+
+
+def split_place(key: Column, seed: int = 42) -> Column:
+    """A number below 2**60 from SHA-1 of seed and key."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.sha1(text.cast("binary")), 1, _BITS // 4), 16, 10).cast("bigint")
+
+
+def kth_smallest(places: DataFrame, k: int) -> int:
+    """The k-th smallest of the places (one column): no sort of all rows.
+
+    Each pass counts the places of the range that is left in 2**15 parts, and goes on in the part that the k-th lies in; the
+    driver sees these counts. A part of few places is sorted.
+    """
+    name, low, width = places.columns[0], 0, _BITS
+    while width:
+        width -= min(_STEP, width)
+        inside = places.where(F.col(name).between(low, low + (1 << min(width + _STEP, _BITS)) - 1))
+        for part, n in sorted(map(tuple, inside.groupBy(F.shiftright(F.col(name) - low, width).alias("part")).count().collect())):
+            if n >= k:
+                low += part << width
+                break
+            k -= n
+        if width and n <= _FEW:
+            return inside.where(F.col(name).between(low, low + (1 << width) - 1)).orderBy(name).limit(k).agg(F.max(name)).first()[0]
+    return low
+
+
 def train_eval_split(rows: DataFrame, key: str, eval_share: float = 0.05, least: int = 20, seed: int = 42) -> DataFrame:
-    """Adds fold (train or eval) by a hash of the key; fewer than least rows are all train."""
-    few = rows.agg((F.count(F.lit(1)) < least).alias("few_"))
-    dealt = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) < int(eval_share * 1_000_000)
-    return rows.crossJoin(F.broadcast(few)).withColumn("fold", F.when(dealt & ~F.col("few_"), "eval").otherwise("train")).drop("few_")
+    """Adds fold: exactly ceil(eval_share * n) of n rows are eval, drawn by a hash of the key; fewer than least rows are all train.
+
+    Keys are to be unique: rows that share one stay in one fold, also where the last eval row is one of them.
+    """
+    place = split_place(F.col(key), seed)
+    n = rows.count()
+    if n < least or not 0 < eval_share < 1:
+        return rows.withColumn("fold", F.lit("train"))
+    last = kth_smallest(rows.select(place.alias("place")), math.ceil(eval_share * n))
+    return rows.withColumn("fold", F.when(place <= last, "eval").otherwise("train"))

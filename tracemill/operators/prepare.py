@@ -87,6 +87,23 @@ def checked(tasks: DataFrame, key: str, strict: bool = True) -> DataFrame:
     return tasks
 
 
+def write_checked(tasks: DataFrame, key: str, folder: str, *, strict: bool = True) -> DataFrame:
+    """Writes the prepared tasks of a known dataset as JSON Lines, in one job with its gates, and gives the violations of what was written.
+
+    Strict: the rows come to folder only if there is no violation; else they stay in folder's neighbour ``_refused``, and it is an error.
+    """
+    from tracemill.sources import jsonl
+
+    from .gates import require, written
+
+    spark, refused = tasks.sparkSession, f"{folder.rstrip('/')}_refused"
+    found = written(tasks, key, lambda df: jsonl.write(df, refused), path=folder, allow_synthetic=not strict)
+    if strict:
+        require(found)
+    jsonl.replace(spark, refused, folder)
+    return found
+
+
 def legacy_eval_tasks(*_args, **_kwargs):
     """The old evaluation source is refused: its rows were mislabelled."""
     raise RuntimeError("this evaluation source is disabled; use eval_tasks()")

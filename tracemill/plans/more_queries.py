@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemill import scratch
 from tracemill.functions import cases, layers, messages, pytext, scores
 from tracemill.operators import evaluation, execution, gates, logs, metrics, pairs, prepare, relational
 from tracemill.schemas import CASE, SCORE_KEYS
@@ -212,7 +213,18 @@ def progress_span(spark, sf):
     return logs.latest_progress(b.log(spark, sf)).agg(F.max("step").alias("last_step"), F.count(F.lit(1)).alias("steps"))
 
 
-@query()
+@query("select doc_id, case when n >= 20 and row_number() over (order by cast('0x' || substr(sha1('42:' || doc_id), 1, 15) as bigint)) <= ceil(0.05::double * n) then 'eval' else 'train' end as fold from documents, (select count(*) as n from documents) c")
 def train_eval_fold(spark, sf):
     return pairs.train_eval_split(b.table(spark, sf, "documents").select("doc_id"), "doc_id")
 
+
+
+_ALL_ROWS = "g as (select case when doc_id % 50 = 3 then '' when doc_id % 2 = 0 then 'mbpp_full' else source end as source, doc_id % 30 = 7 as synthetic from documents), k as (select count(*) as n, count(*) filter (where synthetic) as s, count(*) filter (where coalesce(source, '') = '') as blank, count(*) filter (where source = 'mbpp_full') as good from g)"
+
+
+@query(f"with {_ALL_ROWS} select 'mbpp_train' as dataset, gate, n, rows from (select 'synthetic' as gate, s as n, n as rows from k where s > 0 union all select 'min_rows', n, n from k where n < 100 union all select 'source_missing', blank, n from k where blank > 0 union all select 'source_wrong', good, n from k where good = 0) q")
+def gates_while_writing(spark, sf):
+    d = b.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.expr("case when doc_id % 50 = 3 then '' when doc_id % 2 = 0 then 'mbpp_full' else source end").alias("source"), (F.col("doc_id") % 30 == 7).alias("synthetic"), "text")
+    folder = scratch.place(spark, "tasks")
+    found = gates.written(d, "mbpp_train", lambda df: df.write.json(folder))
+    return found.crossJoin(spark.read.text(folder).agg(F.count(F.lit(1)).alias("rows")))

@@ -169,6 +169,15 @@ def write(df: DataFrame, path: str, *, order: list[str] | None = None, mode: str
     (out.coalesce(1) if one_file else out).write.mode(mode).text(path)
 
 
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to the place of another, in any store that Spark reads."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(fs_path(target), True)
+    if not fs.rename(fs_path(source), fs_path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
 def append_new(df: DataFrame, path: str, key: str = "task_id") -> None:
     """Appends the rows whose key isn't in the output yet, so a rerun adds nothing twice."""
     write(df.join(ids(df.sparkSession, path, key), key, "left_anti"), path, mode="append")

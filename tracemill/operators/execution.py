@@ -1,6 +1,7 @@
 """Running programs of completions against tests, each in a child process with limits.
 
-The functions take iterators of pandas series (Arrow batches). A child gets no
+The functions take iterators of pandas series (Arrow batches). A Python worker keeps servers (``program_server``), interpreters
+that fork a child for each program, so a test costs a fork and not the start of an interpreter. A child gets no
 environment, a temporary folder of its own, limits on CPU time, memory and file size, and is killed
 with its process group on a timeout. This limits accidents; it is no sandbox against
 hostile code: run only programs you may run.
@@ -10,9 +11,8 @@ from __future__ import annotations
 
 import json
 import os
-import resource
+import queue
 import shutil
-import signal
 import subprocess
 import sys
 import tempfile
@@ -25,79 +25,89 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.cases import CALLS
 
+from . import program_server
+
 TIMEOUT = 10
 MAX_TESTS = 5
 WORKERS = int(os.environ.get("CODE_EXEC_MAX_WORKERS", "16"))
-#: A program that prints more bytes is ended and has failed.
-MOST_OUTPUT = 1 << 20
+#: Bytes that a program may print beside the text that is expected of it (white space that doesn't count); it is ended beyond that.
+MOST_OUTPUT = 64 << 20
 MAX_CASES = 40
-_MEMORY = 1 << 30
-_CALL = """
-import json as _json, sys as _sys
-_spec = _json.loads(_sys.stdin.read())
-_fn = getattr(Solution(), _spec["fn"], None) if "Solution" in globals() else None
-_fn = _fn or globals().get(_spec["fn"])
-if _fn is None:
-    _sys.exit(2)
-_got = _fn(*_spec["args"])
-_sys.exit(0 if (list(_got) if isinstance(_got, tuple) else _got) == _spec["expected"] else 1)
-"""
-_PLUS = """
-import json as _json, sys as _sys
-_spec = _json.loads(_sys.stdin.read())
-_fn = globals()[_spec["fn"]]
-_out = []
-for _args in _spec["inputs"]:
-    _args = _args if isinstance(_args, list) else [_args]
-    try:
-        _want = _fn(*_args)
-    except Exception:
-        continue
-    _out.append("assert %s(%s) == %r" % (_spec["fn"], ", ".join(map(repr, _args)), _want))
-_sys.stdout.write(_json.dumps(_out))
-"""
 
 
-def _limits(seconds: int):
-    def apply() -> None:
-        os.setsid()
-        resource.setrlimit(resource.RLIMIT_CPU, (seconds + 1, seconds + 1))
-        resource.setrlimit(resource.RLIMIT_AS, (_MEMORY, _MEMORY))
-        resource.setrlimit(resource.RLIMIT_FSIZE, (MOST_OUTPUT + 1, MOST_OUTPUT + 1))
-        resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
+class Server:
+    """One server process and the pipes to it."""
+
+    def __init__(self):
+        self.asked, far_asked, far_answers, self.answers = *os.pipe()[::-1], *os.pipe()[::-1]
+        command = [sys.executable, "-I", program_server.__file__, str(far_asked), str(far_answers)]
+        self.process = subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, pass_fds=(far_asked, far_answers), env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"})
+        os.close(far_asked)
+        os.close(far_answers)
+
+    def run(self, request: dict) -> dict:
+        program_server.write_frame(self.asked, request)
+        answer = program_server.read_frame(self.answers)
+        if answer is None:
+            raise OSError("the server is gone")
+        return answer
+
+    def close(self) -> None:
+        os.close(self.asked)
+        os.close(self.answers)
+        self.process.wait()
+
 
-    return apply
+_FREE: dict[int, queue.LifoQueue] = {}
 
 
-def run_program(source: str, stdin: str = "", timeout: int = TIMEOUT) -> tuple[bool, str]:
-    """Whether a program exits with 0 in time, and what it prints."""
+def _served(request: dict) -> dict:
+    """The answer of a free server of this process, or of a new one; a server that ended is replaced."""
+    free = _FREE.setdefault(os.getpid(), queue.LifoQueue())  # a forked worker has servers of its own
+    try:
+        server = free.get_nowait()
+    except queue.Empty:
+        server = Server()
+    try:
+        answer = server.run(request)
+    except BaseException:
+        server.close()
+        raise
+    free.put(server)
+    return answer
+
+
+def run_program(source: str, stdin: str = "", timeout: int = TIMEOUT, most: int = MOST_OUTPUT, harness: str | None = None, spec: dict | None = None) -> tuple[bool, str, object]:
+    """Whether a program exits with 0 in time, what it prints, and what its harness reports.
+
+    With a harness (call or plus) the program is followed by it, what it prints goes nowhere, and its input is empty.
+    """
     home = tempfile.mkdtemp(prefix="run-")
+    given, printed = os.path.join(home, "stdin"), os.devnull if harness else os.path.join(home, "stdout")
     try:
-        path = os.path.join(home, "program.py")
-        with open(path, "w", encoding="utf-8", errors="surrogatepass") as f:
-            f.write(source)
-        with tempfile.TemporaryFile() as given, tempfile.TemporaryFile() as printed:
-            given.write(stdin.encode("utf-8", "surrogatepass"))
-            given.seek(0)
-            child = subprocess.Popen([sys.executable, "-I", path], stdin=given, stdout=printed, stderr=subprocess.DEVNULL, cwd=home, env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"}, preexec_fn=_limits(timeout))
-            try:
-                code = child.wait(timeout)
-            except subprocess.TimeoutExpired:
-                os.killpg(child.pid, signal.SIGKILL)
-                child.wait()
-                return False, ""
-            # the file size limit ends programs that print without end; nothing of them is read
-            if code or printed.tell() > MOST_OUTPUT or os.fstat(printed.fileno()).st_size > MOST_OUTPUT:
-                return False, ""
-            printed.seek(0)
-            return True, printed.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+        with open(given, "wb") as f:
+            f.write(stdin.encode("utf-8", "surrogatepass"))
+        if not harness:
+            open(printed, "wb").close()
+        work = os.path.join(home, "work")
+        os.mkdir(work)
+        got = _served({"source": source, "stdin": given, "stdout": printed, "home": work, "timeout": timeout, "most": most, "harness": harness, "spec": spec})
+        if got["code"] != 0:
+            return False, "", None
+        if harness:
+            return True, "", got["result"]
+        if os.path.getsize(printed) > most:
+            return False, "", None
+        with open(printed, "rb") as f:
+            return True, f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"), None
     except (OSError, ValueError):
-        return False, ""
+        return False, "", None
     finally:
         shutil.rmtree(home, ignore_errors=True)
 
 
 def passes_test(code: str, test: str, timeout: int = TIMEOUT) -> bool:
+    """Whether the program with the test behind it exits with 0; what it prints is not looked at."""
     return run_program(f"{code}\n\n{test}", timeout=timeout)[0]
 
 
@@ -137,9 +147,10 @@ def passes_case(code: str, case: dict, timeout: int = TIMEOUT) -> bool:
         except json.JSONDecodeError:
             pass
         spec = {"fn": case.get("fn_name") or "solve", "args": call_arguments(case.get("input", case.get("args"))), "expected": expected}
-        return run_program(f"{code}\n{_CALL}", json.dumps(spec), timeout)[0]
-    ok, out = run_program(code, str(case.get("input") or ""), timeout)
-    return ok and normal_output(out) == normal_output(str(case.get("output") or ""))
+        return run_program(code, timeout=timeout, harness="call", spec=spec)[0]
+    expected = str(case.get("output") or "")
+    ok, out, _ = run_program(code, str(case.get("input") or ""), timeout, MOST_OUTPUT + 4 * len(expected))
+    return ok and normal_output(out) == normal_output(expected)
 
 
 def plus_asserts(entry_point: str, solution: str, inputs: str, most: int = MAX_CASES, timeout: int = 60) -> list[str]:
@@ -147,10 +158,10 @@ def plus_asserts(entry_point: str, solution: str, inputs: str, most: int = MAX_C
     listed = json.loads(inputs or "[]")[:most]
     if not listed:
         return []
-    ok, out = run_program(f"{solution}\n{_PLUS}", json.dumps({"fn": entry_point, "inputs": listed}), timeout)
-    if not ok:
+    ok, _, asserts = run_program(solution, timeout=timeout, harness="plus", spec={"fn": entry_point, "inputs": listed})
+    if not ok or asserts is None:
         raise RuntimeError(f"the solution of {entry_point!r} doesn't run")
-    return json.loads(out)
+    return asserts
 
 
 def _in_threads(function, *series: pd.Series) -> pd.Series:
@@ -164,7 +175,7 @@ def test_udf(timeout: int = TIMEOUT):
         for codes, tests in batches:
             yield _in_threads(lambda c, t: passes_test(c, t, timeout), codes, tests)
 
-    return passed
+    return passed.asNondeterministic()
 
 
 def case_udf(timeout: int = TIMEOUT):
@@ -174,7 +185,7 @@ def case_udf(timeout: int = TIMEOUT):
             rows = cases.where(cases.notna(), None).to_dict("records")
             yield _in_threads(lambda c, x: passes_case(c, x, timeout), codes, pd.Series(rows, index=codes.index))
 
-    return passed
+    return passed.asNondeterministic()
 
 
 def plus_udf(most: int = MAX_CASES):
@@ -183,7 +194,7 @@ def plus_udf(most: int = MAX_CASES):
         for entry, solution, inputs in batches:
             yield _in_threads(lambda e, s, i: plus_asserts(e, s, i, most), entry, solution, inputs)
 
-    return asserts
+    return asserts.asNondeterministic()
 
 
 def rewards(rows: DataFrame, key: str = "ord", timeout: int = TIMEOUT, max_tests: int = MAX_TESTS) -> DataFrame:

@@ -228,3 +228,15 @@ def gates_while_writing(spark, sf):
     folder = scratch.place(spark, "tasks")
     found = gates.written(d, "mbpp_train", lambda df: df.write.json(folder))
     return found.crossJoin(spark.read.text(folder).agg(F.count(F.lit(1)).alias("rows")))
+
+
+_NOISY = """case ord % 3 when 0 then 'import sys\nsys.stdin.read()\nprint("[" * 1000)\ndef f(x):\n    return x * 2\n' when 1 then 'print("{}")\ndef f(x):\n    return x * 2 + 1\n' else 'print(input().strip(), end=chr(10) * 2000000)' end"""
+
+
+@query("select item_id as ord, item_id % 3 <> 1 as passed from benchmark")
+def pass_noisy(spark, sf):
+    items = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"))
+    text = F.col("ord").cast("string")
+    stdin = F.col("ord") % 3 == 2
+    case = F.struct(F.when(stdin, "stdin").otherwise("call").alias("type"), text.alias("input"), F.when(stdin, text).otherwise((F.col("ord") * 2).cast("string")).alias("output"), F.lit("f").alias("fn_name"))
+    return execution.passed_tasks(items.select("ord", F.expr(_NOISY).alias("code"), F.array().cast("array<string>").alias("test_cases"), F.array(case).alias("cases"), F.lit("lcb").alias("harness")))

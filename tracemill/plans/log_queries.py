@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracemill import scratch
+from tracemill.functions import readers
 from tracemill.operators import execution, relational
 from tracemill.sources import jsonl, ranklog
 from tracemill.streaming import audit as streams
 
 from . import bridge as b
-from .queries import query
+from .queries import SQL, query
 
 
 @query(f"with {b.AUDIT_SQL} select cast(ord % 2 as integer) as rank, call % 3 as call, task_id, reward, contains(completion, '</think>') as has_think_end, length(completion) as completion_chars, completion from audit")
@@ -58,3 +59,25 @@ def numbered_lines(spark, sf):
 def ranked_texts(spark, sf):
     keys = b.table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("key"))
     return relational.rank(keys, "key", "doc_id").select("doc_id", F.col("rank").alias("place"))
+
+
+# the same rows as the queries by expressions, through table functions in SQL
+
+
+@query(SQL["lcb_cases"])
+def lcb_cases_sql(spark, sf):
+    readers.register(spark)
+    return spark.sql("select item_id, c.pos + 1 as place, c.type, c.input, c.output, c.fn_name from {rows}, lateral test_cases(raw) c", rows=b.raw_cases(spark, sf))
+
+
+@query(SQL["progress_latest"])
+def progress_latest_sql(spark, sf):
+    readers.register(spark)
+    marks = "select step, max_by(struct(elapsed, eta, sec_per_it), struct(place, pos)) as last from {rows}, lateral progress_marks(value, 300) group by step"
+    return spark.sql(f"select step, last.* from ({marks})", rows=b.log(spark, sf))
+
+
+@query(SQL["metric_events"])
+def metric_events_sql(spark, sf):
+    readers.register(spark)
+    return spark.sql("select place, loss, reward, epoch from {rows}, lateral metric_events(value, 'loss, reward, epoch')", rows=b.log(spark, sf))

@@ -13,7 +13,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,8 @@ from pyspark.sql.utils import AnalysisException
 
 from tracemill.functions import pytext
 
+from . import statefile
+
 
 #: So many files at most have their blocks' first line numbers broadcast.
 BROADCAST_FILES = 20_000
@@ -188,11 +189,10 @@ def write_ranked(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("rank").json(path)
 
 
-def write_document(doc: dict, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(doc, indent=2, ensure_ascii=False), encoding="utf-8")
+def write_document(doc: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A whole document or the one before; with a session in any store that Spark reads."""
+    statefile.replace(json.dumps(doc, indent=2, ensure_ascii=False), path, spark)
 
 
-def read_document(path: str) -> dict:
-    file = Path(path)
-    return json.loads(file.read_text(encoding="utf-8")) if file.exists() else {}
+def read_document(path: str, spark: SparkSession | None = None) -> dict:
+    return statefile.read(path, spark)[0] or {}

@@ -8,6 +8,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import common, decontam, graph, langid, lines, lm, media, mixing, neardup, pii, secrets, toxicity
+from tracemill.llm import common, decontam, exchange, graph, langid, lines, lm, media, mixing, neardup, pii, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -643,23 +644,50 @@ def test_random_words_are_told_from_identifiers(spark):
 # language model
 
 
+def plain_spelling(codes):
+    """log10 P(c | a, b), from counts of (a, b, c) kept and left out, with dicts."""
+
+    def estimates(count):
+        two, one, after, first = (collections.Counter() for _ in range(4))
+        for (a, b, c), n in count.items():
+            two[b, c] += n
+            one[c] += n
+            first[a, b] += n
+            after[b] += n
+        total = max(sum(one.values()), 1)
+        return lambda k: (min(int(math.log2(first[k[:2]] + 1)), 40), [1 / 257, one[k[2]] / total, two[k[1:]] / max(after[k[1]], 1), count[k] / max(first[k[:2]], 1)])
+
+    left = list(codes[True].items())
+    at, parts = zip(*(estimates(codes[False])(k) for k, _ in left))
+    allowed = np.ones((lm.BUCKETS, 4))
+    allowed[0, 3] = 0
+    weight = lm.mixture(np.array(at), np.array(parts), np.array([n for _, n in left]), allowed)
+    of = estimates(codes[False] + codes[True])
+
+    def log(k):
+        at, parts = of(k)
+        return math.log10(float(np.dot(weight[at], parts)))
+
+    return log
+
+
 def plain_language_model(rows):
     """The same model with dicts: (n, v, base and score of a text)."""
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
     text = lambda t: [*tokens(t), None]
     sides = {False: (collections.Counter(), collections.Counter()), True: (collections.Counter(), collections.Counter())}
-    spelled = np.zeros((257, 257))
+    codes = {False: collections.Counter(), True: collections.Counter()}
     for i, t, *_ in rows:
         if fold(i) != 2:
             w = text(t)
             sides[fold(i) == 4][0].update(w)
             sides[fold(i) == 4][1].update(zip([None, *w[:-1]], w))
             for x in w:
-                path = [256, *(x or "").encode(), 256]
-                np.add.at(spelled, (path[:-1], path[1:]), 1)
+                path = [256, 256, *(x or "").encode(), 256]
+                codes[fold(i) == 4].update(zip(path, path[1:], path[2:]))
     one, two = (sides[False][k] + sides[True][k] for k in range(2))
     n, v, kept = sum(one.values()), len(one), sum(sides[False][0].values())
-    chain = lm.chain(spelled)
+    spell = plain_spelling(codes)
     bucket = lambda c: min(int(math.log2(c + 1)), 40)
     step = lambda f: 1 + round(-math.log2(f) * 4) if f > 0 else 0
     held = collections.Counter()
@@ -669,31 +697,33 @@ def plain_language_model(rows):
     weight = lm.learn(*(np.array(x) for x in zip(*(x for x in held))), np.array(list(held.values())), 1 / (v + 1))
 
     def scored(t):
-        w, base, total = text(t), 0.0, 0.0
+        w, base, total, symbols = text(t), 0.0, 0.0, 0.0
         for a, b in zip([None, *w[:-1]], w):
             base += math.log10((one[b] + 1) / (n + 1 * (v + 1)))
             at = weight[bucket(one[a])]
-            path = [256, *(b or "").encode(), 256]
-            total += math.log10(at[2] * two[a, b] / max(one[a], 1) + at[1] * one[b] / n + at[0] / (v + 1)) if one[b] else math.log10(at[0] / (v + 1)) + sum(chain[x, y] for x, y in zip(path, path[1:]))
-        return len(w), sum(one[x] > 0 for x in w), n, base, total
+            path = [256, 256, *(b or "").encode(), 256]
+            symbol = math.log10(at[2] * two[a, b] / max(one[a], 1) + at[1] * one[b] / n + at[0] / (v + 1)) if one[b] else math.log10(at[0] / (v + 1))
+            symbols += symbol
+            total += symbol + (0 if one[b] else sum(map(spell, zip(path, path[1:], path[2:]))))
+        return len(w), sum(one[x] > 0 for x in w), n, base, total, symbols
 
     return fold, scored
 
 
-@pytest.mark.parametrize("block,ranges", [(1 << 20, 1 << 20), (500, 300)])
-def test_language_model_equals_brute_force(spark, docs, corpus, monkeypatch, block, ranges):
-    monkeypatch.setattr(lm, "BLOCK", block)
-    monkeypatch.setattr(lm, "RANGE", ranges)
+@pytest.mark.parametrize("side", [1 << 20, 400])
+def test_language_model_equals_brute_force(spark, docs, corpus, monkeypatch, side):
+    monkeypatch.setattr(exchange, "SIDE", side)
+    monkeypatch.setattr(exchange, "LEAST", 0)
     rows = corpus + ODD
     got = collections.defaultdict(list)
     for r in lm.score(docs.withColumns({"score": F.lit("clash"), "word": F.lit(1)})).collect():
         got[r.doc_id].append(r)
     fold, scored = plain_language_model(rows)
     for i, t, *_ in rows:
-        n, known, total, want, score = scored(t)
+        n, known, total, want, score, symbols = scored(t)
         r = next(x for x in got[i] if x.n_tokens == n)
         assert r.held_out is (fold(i) == 2) and (r.n_known, r.train_tokens) == (known, total)
-        assert r.base_score == pytest.approx(want, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+        assert r.base_score == pytest.approx(want, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5) and r.symbol_score == pytest.approx(symbols, rel=1e-9)
     assert sum(map(len, got.values())) == len(rows)
 
 
@@ -701,10 +731,29 @@ def test_word_probabilities_sum_to_one_at_most():
     weight = lm.learn(np.array([0, 3, 3]), np.array([0, 4, 0]), np.array([9, 9, 12]), np.array([5, 6, 7]), 0.01)
     assert np.allclose(weight.sum(axis=1), 1) and weight[0, 2] == 0 and (weight >= 0).all()
     assert lm.learn(*[np.zeros(0, int)] * 4, 1.0, False)[:, 0].tolist() == [1.0] * lm.BUCKETS
-    chain = lm.chain(np.random.default_rng(1).integers(0, 9, (257, 257)))
-    assert np.allclose((10**chain).sum(axis=1), 1)
-    text = np.frombuffer(b"ab a ba", np.uint8)
-    assert lm.spelling(text, np.array([0, 3, 5]), np.array([2, 4, 7]), chain) == pytest.approx([chain[256, 97] + chain[97, 98] + chain[98, 256], chain[256, 97] + chain[97, 256], chain[256, 98] + chain[98, 97] + chain[97, 256]])
+    # spellings of one context sum to one, whatever was counted
+    rng = np.random.default_rng(1)
+    code = np.unique(np.concatenate([(rng.integers(0, 257, (400, 3)) * [257 * 257, 257, 1]).sum(axis=1), (256 * 257 + 256) * 257 + np.arange(97, 110)]))
+    spelling = lm.learned_spelling(code, rng.integers(0, 9, len(code)), rng.integers(0, 3, len(code)))
+    for context in (256 * 257 + 256, int(code[5] // 257), 3):
+        at, parts = spelling.parts(context * 257 + np.arange(257))
+        # the estimates after one or two symbols sum to one where these have been seen
+        mass = (parts * spelling.weight[at]).sum()
+        assert mass == pytest.approx((parts.sum(axis=0) * spelling.weight[at[0]]).sum()) and mass <= 1 + 1e-9 and parts.sum(axis=0)[0] == pytest.approx(1)
+    text = np.frombuffer(b"ab a", np.uint8)
+    one = lambda *path: np.log10((spelling.parts(np.array([(path[0] * 257 + path[1]) * 257 + path[2]]))[1] * spelling.weight[spelling.parts(np.array([(path[0] * 257 + path[1]) * 257 + path[2]]))[0]]).sum())
+    want = [one(256, 256, 97) + one(256, 97, 98) + one(97, 98, 256), one(256, 256, 97) + one(256, 97, 256)]
+    assert spelling.logs(text, np.array([0, 3]), np.array([2, 4])) == pytest.approx(want)
+    bare = lm.learned_spelling(*[np.zeros(0, np.int64)] * 3)
+    assert bare.logs(text, np.array([0]), np.array([2])) == pytest.approx([3 * np.log10(1 / 257)])
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_texts_are_likelier_than_under_the_base(spark, capsys):
+    r = lm.op7_lm(spark, "/root/testdata/sf0.01").where("held_out").agg(*(F.sum(c).alias(c) for c in ("base_score", "score", "symbol_score", "n_tokens"))).first()
+    with capsys.disabled():
+        print(f"\nheld-out log10 probability at scale factor 0.01, {r.n_tokens} tokens: base {r.base_score:.0f}, symbols {r.symbol_score:.0f}, with spellings {r.score:.0f}")
+    assert r.symbol_score > r.base_score and r.score < r.symbol_score
 
 
 def test_packed_arrays():

@@ -160,10 +160,10 @@ def test_op7(run):
     _, scored = plain_language_model(run.rows)
     got = by_id(run("op7_lm"))
     for i, t, *_ in run.rows:
-        n, known, total, base, score = scored(t)
+        n, known, total, base, score, symbols = scored(t)
         r = next(x for x in got[i] if x.n_tokens == n)
         assert r.held_out is (fold(i, 7) == 2) and (r.n_known, r.train_tokens) == (known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-5) and r.symbol_score == pytest.approx(symbols, rel=1e-9)
 
 
 def test_op8(spark, run, tmp_path):

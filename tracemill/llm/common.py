@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, shuffle files are deleted once the job that wrote them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that cut wrote, once nothing reads them any more."""
     for df in tables:

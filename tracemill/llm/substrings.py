@@ -20,7 +20,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _powers, column, cut, flat, mix, pieces, release, span_hashes, table, trim, words
+from .common import _powers, column, cut, flat, mix, pieces, release, shuffles_freed, span_hashes, table, trim, words
 from .exchange import edges, numbered, pack, pack_bits, pack_sorted, side, unpack, unpack_bits, unpack_sorted
 
 WINDOW = 13
@@ -38,18 +37,6 @@ LAST_ID = np.int64(2**63 - 1)
 _TWICE = np.uint64(0x9E3779B97F4A7C15)
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    """Within, shuffle files are deleted once the job that wrote them has ended."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 # blocks of documents
 
 _BLOCK = "block long, ids array<long>, sizes array<long>, texts binary"

@@ -1,11 +1,12 @@
 """The corpus pipeline's stages against plain computations on a small corpus."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracemill.llm import common
+from tracemill.llm import common, mixing
 
 from .test_llm import SCHEMA, prose, shingle_bag
 
@@ -48,8 +49,14 @@ def test_stages(spark, tmp_path):
     for s, w in zip(("s0", "s1", "s2"), (5, 2, 1)):
         want = min(3 * sum(n for i, n in size.items() if seen["decontaminate"][i].source == s), total * w / 8)
         assert abs(sum(r.taken for r in mixed if r.source == s) - want) < 200
-    again = corpus_pipeline.run(spark, sf).select("doc_id", "taken").orderBy("doc_id").collect()
-    assert [(r.doc_id, r.taken) for r in again] == sorted((r.doc_id, r.taken) for r in mixed)
+    tables_before = set(glob.glob(f"{common.shared_root(spark)}/tracemill/*"))
+    result = corpus_pipeline.run(spark, sf)
+    again = {r.doc_id: r for r in result.collect()}
+    assert {i: r.taken for i, r in again.items()} == {r.doc_id: r.taken for r in mixed}
+    # the corpus comes with its texts and columns, and the result's own table is the only one left
+    assert result.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    assert all((r.text, r.lang, r.source) == tuple(seen["decontaminate"][i][c] for c in ("text", "lang", "source")) for i, r in again.items())
+    assert len(set(glob.glob(f"{common.shared_root(spark)}/tracemill/*")) - tables_before) == 1
 
 
 def tables(spark, folder, rows, bench, extra=()):
@@ -78,16 +85,32 @@ def test_clashing_columns_nulls_long_texts_and_repeated_ids(spark, tmp_path):
     extra = ("node", "row", "row_", "root", "line", "score", "lang_pred", "item_id", "part", "dropped_lines_", "class_id", "of", "target")
     tables(spark, str(tmp_path), rows, [(1, plain(30)), (None, None), (2, "")], extra)
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    want = sorted([t for _, t, *_ in rows[:31]] + [a, b, b, c, rows[36][1]])
+    want = sorted([t for _, t, *_ in rows[:31]] + [a, b, c, rows[36][1]])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = common.cut(stage(spark, now, str(tmp_path)), name)
         assert out.columns == now.columns and out.schema["n_chars"].dataType == now.schema["n_chars"].dataType
         now = out
     got = now.collect()
     assert sorted(r.text for r in got) == want and all(r.node == "x" and r.dropped_lines_ == "x" for r in got)
-    assert sorted((r.doc_id for r in got if r.text in (a, b)), key=str) == [301, 302, 302]
-    mixed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
-    assert all(r.copies > 0 and r.taken == r.copies * r["size"] for r in mixed) and {r.source for r in mixed} <= {"s0", "s1", None}
+    assert sorted((r.doc_id for r in got if r.text in (a, b)), key=str) == [301, 302]
+    out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    mixed, plain = out.collect(), {(r.doc_id, r.text) for r in got}
+    assert out.columns == [c for c in now.columns if c != "target"] + ["size", "source_size", "target", "copies", "taken"]
+    assert all(r.copies > 0 and r.taken == r.copies * r["size"] and (r.doc_id, r.text) in plain and r.node == "x" and isinstance(r.target, float) for r in mixed) and {r.source for r in mixed} <= {"s0", "s1", None}
+
+
+def test_the_mix_of_repeated_rows(spark):
+    """Rows are drawn one by one; those with the same id, text and source come as one row with all their copies, those of another source apart."""
+    rng = random.Random(3)
+    texts = [prose(rng, "en", 30).replace("\n", " ") for _ in range(40)]
+    rows = [(k, t, "en", "s0", 1) for k, t in enumerate(texts)] + [(7, texts[7], "en", "s0", 2)] * 2 + [(7, texts[7], "en", "s1", 1), (None, texts[3], None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plain = mixing.mix_documents(common.cut(mixing.sizes(docs.select("doc_id", "source", "text", common.row_key().alias("mix_row_")), ["doc_id", "source", "mix_row_"]), "sizes"))
+    want = {}
+    for r in plain.where("copies > 0").collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.copies
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    assert {(r.doc_id, r.source): r.copies for r in got} == want and len(got) == len(want) and all(r.taken == r.copies * r["size"] for r in got) and all(r.text == texts[r.doc_id] for r in got if r.doc_id is not None)
 
 
 def test_stages_are_the_agreed_ones():

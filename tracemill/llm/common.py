@@ -16,13 +16,14 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 19
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim  # noqa: B018
@@ -51,9 +52,34 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path_ = path
+    for made in _SCOPES:
+        made.append(out)
     return out
 
 
+@contextmanager
+def tables_freed():
+    """Within, tables are noted that cut writes; at the end all are deleted but those that are taken out of the list it gives."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.pop()
+        release(*made)
+
+
+def one_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs with one row (the first by a hash of all columns) of each row key in repeated (row_); all other rows stay."""
+    names = docs.columns
+    key, held = (x + "_" * max(map(len, names)) for x in ("key", "held"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    some = repeated.select(F.col("row_").alias(held)).distinct()
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.to_json(F.struct(n)) for n in names))))
+    single = keyed.join(some, keyed[key] == some[held], "left_anti").select(*names)
+    return single.unionByName(keyed.join(some, keyed[key] == some[held], "left_semi").withColumn(held, first).where(F.col(held) == 1).select(*names))
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession):
     """Within, shuffle files are deleted once the job that wrote them has ended."""

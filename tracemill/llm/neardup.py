@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import LOWER, column, cut, flat, mix, pieces, release, row_key, span_hashes, table, unit, words
+from .common import LOWER, column, cut, flat, mix, one_each, pieces, release, row_key, span_hashes, table, unit, words
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
@@ -188,8 +188,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that have an earlier one, by doc_id, in their class; all columns stay."""
+    """docs without the documents that have an earlier one, by doc_id, in their class; of rows that share id and text one stays. All columns stay."""
     placed, groups = _placed(docs.select("doc_id", "text"), threshold, BANDS, ROWS)
+    repeated = cut(placed.where("root is not null").groupBy(F.col("row").alias("row_")).count().where("count > 1").select("row_"), "repeated")
+    if not repeated.isEmpty():
+        docs = one_each(docs, repeated)
     gone = graph.small(cut(placed.join(graph.small(groups), "root").where("row <> class_row").select(F.col("row").alias("row_")).distinct(), "gone"))
     return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == gone["row_"], "left_anti")
 

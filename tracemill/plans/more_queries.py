@@ -49,9 +49,25 @@ def readiness_gate(spark, sf):
     return gates.dataset_violations(rows, "lcb_easy", path="lcb.example.jsonl")
 
 
-@query("select 'mbpp_plus' as dataset, 'missing' as gate, 0::bigint as n union all select 'other', 'unknown', 0")
+_FORMS = """case item_id % 5 when 0 then '{"mode": "call", "fn_name": "f", "cases": [{"input": "' || item_id || '", "output": "1"}]}' when 1 then '[]' when 2 then '{"cases": []}' end"""
+_OLD = """case when item_id % 5 = 3 then '[{"input": "' || item_id || '", "output": "2"}]' when item_id % 5 = 4 then 'assert f()' else '[{"input": "1", "output": "2"}]' end"""
+
+
+@query("with k as (select count(*) as n, count(*) filter (where item_id % 5 in (0, 3)) as r from benchmark) select n, r as ready, r::double / n as ready_frac, r::double / n >= 0.5 as passed, (select count(*) from k where r < greatest(1, floor(n * 0.5))) as violations from k")
+def readiness_forms(spark, sf):
+    rows = b.table(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.lit("livecodebench_easy").alias("source"), F.lit(False).alias("synthetic"), F.expr(_FORMS).alias("lcb_tests"), F.expr(_OLD).alias("test_cases"), F.lit("assert").alias("harness"))
+    found = gates.dataset_violations(rows, "lcb_easy").where("gate = 'readiness'").agg(F.count(F.lit(1)).alias("violations"))
+    return gates.structured_readiness(rows).crossJoin(found)
+
+
+@query("with k as (select count(*) filter (where item_id % 2 = 0) as n from benchmark) select 'mbpp_plus' as dataset, 'missing' as gate, 0::bigint as n from k where n = 0 union all select 'mbpp_train', 'missing', 0 from benchmark where item_id = -1 having count(*) = 0 union all select 'other', 'unknown', 0")
 def missing_gate(spark, sf):
-    return gates.missing_violations(spark, {"mbpp_train": f"{sf}/documents.parquet", "mbpp_plus": f"{sf}/no such file", "other": f"{sf}/documents.parquet"})
+    """Datasets as the given table has them: even items in one file, items of number -1, of which there are none, in no file."""
+    items, folder = b.table(spark, sf, "benchmark"), scratch.place(spark, "datasets")
+    for name, rows in (("mbpp_plus", items.where("item_id % 2 = 0")), ("mbpp_train", items.where("item_id = -1"))):
+        if not rows.isEmpty():
+            rows.write.parquet(f"{folder}/{name}")
+    return gates.missing_violations(spark, {k: f"{folder}/{k}" for k in ("mbpp_plus", "mbpp_train")} | {"other": f"{sf}/benchmark.parquet"})
 
 
 @query("select 'length_mismatch' as gate, count(*) * 2 + 1 as n from benchmark union all select 'null_tests', count(*) filter (where item_id % 4 = 1) from benchmark")
@@ -67,10 +83,13 @@ def overlap_first10(spark, sf):
     return found.select("n", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples"))
 
 
-@query("select 600 as step, 'r/checkpoint-600' as path")
+_STEP = "50 * (event_id % 97 + user_id % 5 + 1)"
+
+
+@query(f"select max({_STEP}) as step, 'r/checkpoint-' || max({_STEP}) as path from events where event_type <> 'error' having count(*) > 0")
 def newest_checkpoint(spark, sf):
-    # every event's folder of 50 to 600 steps; only those of even events have a state
-    names = b.table(spark, sf, "events").select(F.expr("'r/checkpoint-' || (50 * (event_id % 12 + 1)) || case when event_id % 2 = 1 then '/trainer_state.json' else '/model.bin' end").alias("path"))
+    # every event is a folder; those of errors have no state
+    names = b.table(spark, sf, "events").select(F.expr(f"'r/checkpoint-' || {_STEP} || case when event_type <> 'error' then '/trainer_state.json' else '0/model.bin' end").alias("path"))
     return gates.newest_checkpoint(names)
 
 

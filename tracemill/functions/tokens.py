@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from .pytext import let
 
 
-def _fences(ids: Column, think_end: int, fence: int) -> Column:
-    """Fold over the ids: struct(after, count, at, close); the count starts anew at each think-end, close is the place of the second fence."""
-    start = F.struct(F.lit(False).alias("after"), F.lit(0).alias("count"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("close"))
+def _close(ids: Column, think_end: int, fence: int) -> Column:
+    """The place of the second fence after a think-end (fences count anew at each), else null.
+
+    The fold's state is one number, as a struct would be made anew for each token: 8 times the place, plus 4 once a
+    think-end has been seen, plus the fences since; and -1 minus the place once the second fence is found.
+    """
+    eight, open_ = F.lit(8).cast("bigint"), F.lit(4).cast("bigint")
 
     def step(s: Column, t: Column) -> Column:
-        opens = s["close"].isNull() & (t == think_end)
-        hit = s["close"].isNull() & s["after"] & (t == fence) & (t != think_end)
-        count = F.when(opens, 0).when(hit, s["count"] + 1).otherwise(s["count"])
-        return F.struct((s["after"] | opens).alias("after"), count.alias("count"), (s["at"] + 1).alias("at"), F.coalesce(s["close"], F.when(hit & (count >= 2), s["at"])).alias("close"))
+        place = F.shiftright(s, 3)
+        fences = F.when(s.bitwiseAND(open_) == 0, s + eight).when(s.bitwiseAND(F.lit(1).cast("bigint")) == 1, -place - 1).otherwise(s + 9)
+        return F.when(s < 0, s).when(t == think_end, place * 8 + 12).when(t == fence, fences).otherwise(s + eight)
 
-    return F.aggregate(ids, start, step)
+    return F.aggregate(ids, F.lit(0).cast("bigint"), step, lambda s: F.when(s < 0, (-s - 1).cast("int")))
 
 
 def fence_mask(ids: Column, mask: Column, think_end: int, fence: int) -> Column:
     """The mask with zeros after the second fence that follows a think-end."""
-    return let(_fences(ids, think_end, fence)["close"], lambda close: F.transform(mask, lambda m, i: F.when(close.isNotNull() & (i > close), 0).otherwise(m)))
+    return let(F.struct(_close(ids, think_end, fence).alias("close"), mask.alias("mask")), lambda x: F.when(x["close"].isNull(), x["mask"]).otherwise(F.transform(x["mask"], lambda m, i: F.when(i > x["close"], 0).otherwise(m))))
 
 
 def fence_done(ids: Column, think_end: int, fence: int) -> Column:
-    """Whether a row has two fences after its last think-end."""
-    start = F.struct(F.lit(False).alias("after"), F.lit(0).alias("count"))
-    step = lambda s, t: F.struct((s["after"] | (t == think_end)).alias("after"), F.when(t == think_end, 0).when(s["after"] & (t == fence), s["count"] + 1).otherwise(s["count"]).alias("count"))
-    return F.aggregate(ids, start, step)["count"] >= 2
+    """Whether a row has two fences after its last think-end. The fold counts them; below zero no think-end has been seen."""
+    return F.aggregate(ids, F.lit(-1), lambda s, t: F.when(t == think_end, 0).when((t == fence) & (s >= 0), s + 1).otherwise(s)) >= 2
 
 
 def budget_reached(ids: Column, budget: int, think_end: int) -> Column:

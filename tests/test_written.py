@@ -81,3 +81,15 @@ def test_kth_smallest_of_close_and_equal_places(spark, monkeypatch):
 def test_rows_of_one_key_stay_together(spark):
     got = pairs.train_eval_split(spark.range(100).select((F.col("id") % 5).alias("key")), "key").groupBy("key").agg(F.countDistinct("fold").alias("n"), F.max("fold").alias("fold")).collect()
     assert {r.n for r in got} == {1} and sum(r.fold == "eval" for r in got) == 1
+
+
+def test_cases_of_any_form_are_seen(spark):
+    wrapper, listed = '{"fn_name": "f", "cases": [{"input": "1", "output": "2"}]}', '[{"type": "call", "input": "1", "output": "2"}]'
+    rows = [(wrapper, None, True), (listed, None, True), ("[]", listed, False), ('{"cases": []}', listed, False), (None, listed, True), (None, "assert f()", False), ("no json", listed, True), (None, None, False)]
+    df = spark.createDataFrame([(a, b, None if b is None else [b], w) for a, b, w in rows], "lcb_tests string, test_cases string, listed array<string>, want boolean")
+    assert all(r.got == r.want for r in df.select(gates.has_cases(df).alias("got"), "want").collect())
+    old = df.drop("lcb_tests").withColumn("test_cases", F.when(F.col("listed").isNotNull(), F.transform("listed", lambda x: F.regexp_replace(x, r"^\[|\]$", ""))))
+    assert [r.got for r in old.select(gates.has_cases(old).alias("got")).collect()] == [False, False, True, True, True, False, True, False]
+    typed = spark.createDataFrame([([("call", "1", "2", "f")], None), ([], listed), (None, listed)], "lcb_tests array<struct<type:string,input:string,output:string,fn_name:string>>, test_cases string")
+    assert [r.got for r in typed.select(gates.has_cases(typed).alias("got")).collect()] == [True, False, True]
+    assert gates.structured_readiness(df).first().ready == sum(w for *_, w in rows)

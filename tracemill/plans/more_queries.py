@@ -142,9 +142,9 @@ def hypothesis_deltas(spark, sf):
     return _checks(spark, sf).select(F.inline("h")).select("id", "verified", "skipped", "delta")
 
 
-@query("select doc_id, lower(case doc_id % 6 when 0 then 'YES' when 1 then 'true' when 2 then '1' when 3 then 'no' when 4 then 'T' else lang end) in ('1', 'true', 't', 'yes', 'y') as flag from documents where lang is not null")
+@query("select doc_id, lower(case doc_id % 6 when 0 then 'YES' when 1 then 'true' when 2 then '1' when 3 then 'no' when 4 then 'T' else lang end) in ('1', 'true', 't', 'yes', 'y') as flag from documents")
 def truthy_text(spark, sf):
-    return b.table(spark, sf, "documents").where("lang is not null").select("doc_id", pytext.truthy(F.expr("case doc_id % 6 when 0 then 'YES' when 1 then 'true' when 2 then '1' when 3 then 'no' when 4 then 'T' else lang end")).alias("flag"))
+    return b.table(spark, sf, "documents").select("doc_id", pytext.truthy(F.expr("case doc_id % 6 when 0 then 'YES' when 1 then 'true' when 2 then '1' when 3 then 'no' when 4 then 'T' else lang end")).alias("flag"))
 
 
 @query(f"with {b.AUDIT_SQL}, {_GRAMS.replace('@TH@', L['thinking']).replace('@CO@', L['collaboration']).replace('@M@', '2')} select count(*) as n, round(avg(coalesce(leaked, 0)::double / nullif(coalesce(grams, 0), 0)) filter (where grams > 0) * count(*) filter (where grams > 0) / count(*), 9) as mean_leak_rate from audit a left join s using (ord)")

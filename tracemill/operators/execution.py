@@ -9,6 +9,7 @@ hostile code: run only programs you may run.
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
 import queue
@@ -40,7 +41,7 @@ class Server:
 
     def __init__(self):
         self.asked, far_asked, far_answers, self.answers = *os.pipe()[::-1], *os.pipe()[::-1]
-        command = [sys.executable, "-I", program_server.__file__, str(far_asked), str(far_answers)]
+        command = [sys.executable, "-I", "-c", inspect.getsource(program_server), str(far_asked), str(far_answers)]  # its source may lie in an archive
         self.process = subprocess.Popen(command, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, pass_fds=(far_asked, far_answers), env={"PATH": "/usr/bin:/bin", "LANG": "C.UTF-8"})
         os.close(far_asked)
         os.close(far_answers)

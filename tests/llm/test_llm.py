@@ -944,4 +944,4 @@ def test_queries_are_registered():
     from tracemill.llm import registry
 
     names = list(registry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and set(registry.oracle_sql()) <= set(names)
